@@ -30,4 +30,5 @@ def load_all() -> None:
     # Importing the modules fills the registries.
     from kinoframe.analogs import (  # noqa: F401
         a_export,
+        a_nest,
     )
