@@ -31,4 +31,5 @@ def load_all() -> None:
     from kinoframe.analogs import (  # noqa: F401
         a_export,
         a_nest,
+        a_merge,
     )
