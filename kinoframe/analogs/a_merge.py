@@ -84,22 +84,30 @@ def keep_first_query(spark, sf_dir):
 
 
 RATINGS_SQL = """
-WITH old AS (SELECT user_id, event_type, avg(value) AS score FROM events
-              WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL),
-     new AS (SELECT user_id, event_type,
+WITH old AS (SELECT user_id, event_type, CASE WHEN hour(ts) < 12 THEN 'am' ELSE 'pm' END AS part,
+                    avg(value) AS score FROM events
+              WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2, 3),
+     new AS (SELECT user_id, event_type, CASE WHEN hour(ts) < 12 THEN 'am' ELSE 'pm' END AS part,
                     CASE WHEN event_type = 'error' THEN NULL ELSE avg(value) END AS score FROM events
-              WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id, event_type)
+              WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2, 3)
 SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type,
+       coalesce(n.part, o.part) AS part,
        round(CASE WHEN n.user_id IS NOT NULL THEN n.score ELSE o.score END, 6) AS score
-  FROM old o FULL JOIN new n ON o.user_id = n.user_id AND o.event_type = n.event_type
+  FROM old o FULL JOIN new n ON o.user_id = n.user_id AND o.event_type = n.event_type AND o.part = n.part
 """
 
+RATING_KEYS = ["user_id", "event_type", "part"]
+
 
 def _rating_batches(spark, sf_dir):
-    ev = t(spark, sf_dir, "events")
+    """Ratings-shaped rows (film = user_id, user = event_type, type = part
+    of day, score = average value): the old batch from the first half of the
+    month, the new batch from the second half ('error' scores are NULL)."""
+    ev = t(spark, sf_dir, "events").withColumn(
+        "part", F.when(F.hour("ts") < 12, "am").otherwise("pm"))
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    old = ev.filter(F.col("ts") < cut).groupBy("user_id", "event_type").agg(F.avg("value").alias("score"))
-    new = ev.filter(F.col("ts") >= cut).groupBy("user_id", "event_type").agg(
+    old = ev.filter(F.col("ts") < cut).groupBy(*RATING_KEYS).agg(F.avg("value").alias("score"))
+    new = ev.filter(F.col("ts") >= cut).groupBy(*RATING_KEYS).agg(
         F.when(F.col("event_type") != "error", F.avg("value")).alias("score"))
     return old, new
 
@@ -109,24 +117,21 @@ def merge_ratings_query(spark, sf_dir):
     """U3 on rows: an entry in the new batch replaces the old one, even when
     its score is NULL (the 'error' type)."""
     old, new = _rating_batches(spark, sf_dir)
-    out = merge_entries(old, new, ["user_id", "event_type"])
-    return out.select("user_id", "event_type", r6("score").alias("score"))
+    out = merge_entries(old, new, RATING_KEYS)
+    return out.select(*RATING_KEYS, r6("score").alias("score"))
 
 
 @register("merge_ratings_map", RATINGS_SQL)
 def merge_ratings_map_query(spark, sf_dir):
-    """U3 on the nested map form: user -> type -> score, deep-merged with
-    ``map_zip_with`` and unnested back to rows."""
+    """U3 on the nested form: per key a map user -> type -> score, deep-merged
+    with ``map_zip_with`` and unnested back to rows."""
     old, new = _rating_batches(spark, sf_dir)
-    def as_map(df, alias):
-        return nest_map2(df.withColumn("k", F.lit(0)).withColumn("user", F.col("user_id").cast("string")),
-                         "k", "user", "event_type", "score", alias=alias)
-    # One record holding every user: a small fixed-key example of the
-    # per-film map; the rows form above is what scales.
-    both = as_map(old, "m_old").join(as_map(new, "m_new"), "k", "full_outer")
-    merged = both.select("k", merge_nested_maps(F.col("m_old"), F.col("m_new")).alias("m"))
-    out = unnest_map2(merged, "k", "m", "user", "event_type", value_name="score")
-    return out.select(F.col("user").cast("long").alias("user_id"), "event_type", r6("score").alias("score"))
+    m_old = nest_map2(old, "user_id", "event_type", "part", "score", alias="m_old")
+    m_new = nest_map2(new, "user_id", "event_type", "part", "score", alias="m_new")
+    both = m_old.join(m_new, "user_id", "full_outer")
+    merged = both.select("user_id", merge_nested_maps(F.col("m_old"), F.col("m_new")).alias("m"))
+    out = unnest_map2(merged, "user_id", "m", "event_type", "part", value_name="score")
+    return out.select(*RATING_KEYS, r6("score").alias("score"))
 
 
 LINE_COLS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
