@@ -32,4 +32,5 @@ def load_all() -> None:
         a_export,
         a_nest,
         a_merge,
+        a_normalize,
     )
