@@ -33,4 +33,5 @@ def load_all() -> None:
         a_nest,
         a_merge,
         a_normalize,
+        a_ingest,
     )
