@@ -34,4 +34,5 @@ def load_all() -> None:
         a_merge,
         a_normalize,
         a_ingest,
+        a_refresh,
     )
