@@ -35,4 +35,5 @@ def load_all() -> None:
         a_normalize,
         a_ingest,
         a_refresh,
+        a_features,
     )
