@@ -36,4 +36,5 @@ def load_all() -> None:
         a_ingest,
         a_refresh,
         a_features,
+        a_models,
     )
