@@ -37,4 +37,5 @@ def load_all() -> None:
         a_refresh,
         a_features,
         a_models,
+        a_streams,
     )

@@ -66,15 +66,22 @@ class TableStore:
         v = _read_text(self.spark, self._pointer(name))
         return f"{self.root}/{name}/{v}" if v else None
 
-    def write(self, name: str, df: DataFrame, bucket_by: str | None = None, buckets: int = 0) -> str:
-        """Write a new snapshot version, then move the pointer."""
-        version = f"v{int(time.time() * 1000):015d}"
+    def write(self, name: str, df: DataFrame, version: str | None = None) -> str:
+        """Write a new snapshot version, then move the pointer.
+
+        With an explicit ``version`` (a stream's batch id) the write is
+        idempotent: a version that was completed before is not rewritten.
+        """
+        version = version or f"v{int(time.time() * 1000):015d}"
         path = f"{self.root}/{name}/{version}"
-        w = df.write.mode("error")
-        w.parquet(path)
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
         _write_text(self.spark, self._pointer(name), version)
         return path
 
+    def exists(self, name: str) -> bool:
+        return self.current_path(name) is not None
+
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """Full scan of the current snapshot; a missing table is created
         empty first when its schema is known."""
