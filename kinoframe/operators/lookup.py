@@ -102,8 +102,9 @@ def popularity_tiers(spark: SparkSession, start_popularity: int, as_of_year: int
 def tier_select(df: DataFrame, band_col: str, year_col: str, tiers: DataFrame) -> DataFrame:
     """Equi join on the band plus a range condition on the year,
     against the fixed-size tier table (broadcast by construction)."""
-    t = fixed_broadcast(tiers)
-    return df.join(t, (F.col(band_col) == t["band"]) & (F.col(year_col) >= t["min_year"]), "inner").drop("band")
+    t = fixed_broadcast(tiers.select(F.col("band").alias("_tier_band"), F.col("min_year").alias("_tier_min")))
+    out = df.join(t, (F.col(band_col) == F.col("_tier_band")) & (F.col(year_col) >= F.col("_tier_min")), "inner")
+    return out.drop("_tier_band").withColumnRenamed("_tier_min", "min_year")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

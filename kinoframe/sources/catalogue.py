@@ -60,7 +60,7 @@ def offers_info(df: DataFrame, json_col: str) -> DataFrame:
     """N13 + A15: offers answer -> link of the first film and whether any
     offer is HD or UHD; no film -> link NULL, flag false."""
     j = F.from_json(F.col(json_col), OFFERS_SCHEMA)
-    first = F.element_at(j["Movies"], 1)
+    first = F.try_element_at(j["Movies"], F.lit(1))
     hd = F.exists(F.coalesce(first["Torrents"], F.array()), lambda x: x["Quality"].isin(*HD_QUALITIES))
     return df.select("*",
                      F.when(first.isNotNull(), F.format_string(OFFER_URL, first["GroupId"])).alias("ptp_url"),
