@@ -111,6 +111,8 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """W5 on rows: first occurrence of each distinct value per group, by
     ``order``. Written as a grouped ``min`` of the position (map-side
     combinable) instead of a window over a possibly hot group."""
+    if len(order) == 1:  # a primitive min stays in the hash aggregate
+        return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
     pos = F.struct(*[F.col(c) for c in order])
     return df.groupBy(*keys).agg(F.min(pos).alias("_first")).select(*keys, "_first.*")
 

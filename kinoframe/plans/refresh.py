@@ -20,7 +20,7 @@ from kinoframe.functions.dates import MICROS_PER_WEEK, ts_lit
 from kinoframe.functions.scoring import (combined_period, curve_a, curve_b, exponential_gap,
                                          period_score, unit_draw, weibull_jitter)
 from kinoframe.operators.prefix import running_sum, running_sum_top_n
-from kinoframe.session import fixed_broadcast
+from kinoframe.session import cut_lineage, fixed_broadcast
 
 # Sources in scheduling order with their period multipliers,
 # the first-time speed-up, the hourly caps per source group, the period cap.
@@ -135,6 +135,9 @@ def sequence(due_tasks: DataFrame, cfg: RefreshConfig, as_of, n: int | None = No
     rows, broadcast). With ``n`` the running sum only sees the first n rows
     per group (arrivals grow within a group, so no later row can enter the
     overall first n); without ``n`` it is the two-level prefix sum."""
+    # The due set is read three times (counts, range sample, rows): compute
+    # it once and cut the lineage (reliable checkpoint in the shared folder).
+    due_tasks = cut_lineage(due_tasks)
     caps = due_tasks.sparkSession.createDataFrame(
         [(g, int(c)) for g, c in cfg.max_per_hour.items()], "source_group string, cap int")
     counts = due_tasks.groupBy("source_group").agg(F.count(F.lit(1)).alias("n_due"))

@@ -58,10 +58,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/kinoframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut the lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder and reading it back (never ``localCheckpoint``).
+
+    One computation plus a columnar write (``Dataset.checkpoint`` would
+    compute an unpersisted plan twice); the re-read table survives executor
+    loss and gives AQE real size statistics.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
