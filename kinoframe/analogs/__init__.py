@@ -38,4 +38,5 @@ def load_all() -> None:
         a_features,
         a_models,
         a_streams,
+        a_scalar,
     )
