@@ -28,7 +28,7 @@ EXPORT_HEADER = [
     "omdb_updated", "ptp_updated", "netflix_updated"]
 
 
-def film_wide_export(t: dict[str, DataFrame], user: str = "tijl") -> DataFrame:
+def film_wide_export(t: dict[str, DataFrame], user: str) -> DataFrame:
     """J1 + P1: one row per film, 52 columns. Persons are aggregated in ONE
     pass (three filtered ordered lists), ratings pivoted in one pass; every
     child is aggregated before the join."""

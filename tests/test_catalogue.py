@@ -36,20 +36,20 @@ def tables(spark):
         "taglines": mk("taglines", [(1234, "Free your mind", 1)], "crit_id int, tagline string, rank int"),
         "vote_details": mk("vote_details", [(1234, "aged 18-29", 1000, 8.5)],
                            "crit_id int, demographic string, votes int, rating double"),
-        "ratings": mk("ratings", [(1234, "tijl", "rating", 90.0), (1234, "tijl", "psi", 80.0)],
+        "ratings": mk("ratings", [(1234, "ann", "rating", 90.0), (1234, "ann", "psi", 80.0)],
                       "crit_id int, user string, type string, score double"),
     }
 
 
 def test_wide_export(spark):
-    rows = {r["crit_id"]: r for r in film_wide_export(tables(spark)).collect()}
+    rows = {r["crit_id"]: r for r in film_wide_export(tables(spark), "ann").collect()}
     m = rows[1234]
     assert m["actors"] == "Keanu Reeves / Laurence Fishburne"  # rank 6 excluded
     assert m["directors"] == "Lilly Wachowski / Lana Wachowski"
     assert m["genres"] == "Action / Sci-Fi" and m["languages"] == "English / French"
-    assert m["rating_tijl"] == 90.0 and m["pred_score_tijl"] is None
+    assert m["rating_ann"] == 90.0 and m["pred_score_ann"] is None
     assert rows[49141]["genres"] is None and rows[49141]["writers"] is None
-    assert len(film_wide_export(tables(spark)).columns) == 52
+    assert len(film_wide_export(tables(spark), "ann").columns) == 52
 
 
 def test_roundtrip(spark):
@@ -67,7 +67,7 @@ def test_roundtrip(spark):
 def test_apply_batch(spark):
     t = tables(spark)
     batch = spark.createDataFrame(
-        [(1234, None, 2000, ["Dutch"], {"tijl": {"psi": 60.0, "pred_score": 1.0}}, dt.datetime(2019, 1, 1))],
+        [(1234, None, 2000, ["Dutch"], {"ann": {"psi": 60.0, "pred_score": 1.0}}, dt.datetime(2019, 1, 1))],
         "crit_id int, title string, year int, languages array<string>, "
         "my_ratings map<string,map<string,double>>, date_added timestamp")
     new = apply_film_batch(t, batch)

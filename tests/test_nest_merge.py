@@ -41,11 +41,11 @@ def test_languages_sorted_rank_and_empty_lists(spark):
 
 
 def test_ratings_map_roundtrip(spark):
-    rows = [(1, "tijl", "rating", 80.0), (1, "tijl", "psi", 70.0), (1, "bob", "rating", 50.0), (2, "tijl", "psi", None)]
+    rows = [(1, "ann", "rating", 80.0), (1, "ann", "psi", 70.0), (1, "bob", "rating", 50.0), (2, "ann", "psi", None)]
     df = spark.createDataFrame(rows, "crit_id int, user string, type string, score double")
     m = nest_map2(df, "crit_id", "user", "type", "score", alias="my_ratings")
     rec = {r["crit_id"]: r["my_ratings"] for r in m.collect()}
-    assert rec[1] == {"tijl": {"rating": 80.0, "psi": 70.0}, "bob": {"rating": 50.0}}
+    assert rec[1] == {"ann": {"rating": 80.0, "psi": 70.0}, "bob": {"rating": 50.0}}
     back = unnest_map2(m, "crit_id", "my_ratings", "user", "type", "score")
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
     hdr = spark.createDataFrame([(1,), (3,)], "crit_id int")
@@ -93,9 +93,9 @@ def test_fold_equals_sequential_merges(spark):
 
 
 def test_merge_entries_null_replaces(spark):
-    old = spark.createDataFrame([(1, "tijl", "rating", 80.0), (1, "tijl", "psi", 70.0)],
+    old = spark.createDataFrame([(1, "ann", "rating", 80.0), (1, "ann", "psi", 70.0)],
                                 "crit_id int, user string, type string, score double")
-    new = spark.createDataFrame([(1, "tijl", "psi", None), (1, "tijl", "pred_score", 3.0)],
+    new = spark.createDataFrame([(1, "ann", "psi", None), (1, "ann", "pred_score", 3.0)],
                                 "crit_id int, user string, type string, score double")
     got = {(r["type"]): r["score"] for r in merge_entries(old, new, ["crit_id", "user", "type"]).collect()}
     assert got == {"rating": 80.0, "psi": None, "pred_score": 3.0}

@@ -102,15 +102,15 @@ def test_parse_votes(spark, raw, expect):
 
 
 def test_person_and_dedupe(spark):
-    r = one(spark, person_record, ("Tijl Kindt", "1234"), "p struct<name:string,personID:string>")
-    assert r.asDict() == {"canonical_name": "Kindt, Tijl", "name": "Tijl Kindt", "person_id": 1234}
-    people = [("Kindt, Tijl", "1"), ("A B", "x"), ("Tijl Kindt", "1"), ("C D", "2")]
+    r = one(spark, person_record, ("Ada Lovelace", "1234"), "p struct<name:string,personID:string>")
+    assert r.asDict() == {"canonical_name": "Lovelace, Ada", "name": "Ada Lovelace", "person_id": 1234}
+    people = [("Lovelace, Ada", "1"), ("A B", "x"), ("Ada Lovelace", "1"), ("C D", "2")]
     lst = one(spark, people_list, people, "p array<struct<name:string,personID:string>>")
-    assert [p["name"] for p in lst] == ["Tijl Kindt", "C D"]  # unparseable dropped, first kept
+    assert [p["name"] for p in lst] == ["Ada Lovelace", "C D"]  # unparseable dropped, first kept
 
 
 def test_strip_author(spark):
-    assert one(spark, strip_author, "This is a plot.::Tijl Kindt") == "This is a plot."
+    assert one(spark, strip_author, "This is a plot.::Ada Lovelace") == "This is a plot."
     assert one(spark, strip_author, "This is a plot.") == "This is a plot."
     assert one(spark, strip_author, "Two\nlines::someone") == "Two\nlines"
 

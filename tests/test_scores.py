@@ -22,9 +22,9 @@ def test_score_and_writeback(spark):
     assert s[1]["pred_seeit"] == pytest.approx(0.9 ** 0.25)
     assert s[1]["show"] == 1 and s[2]["show"] == 0
     assert s[1]["score"] == pytest.approx((0.9 ** 0.25 * 0.8 ** 3) ** 0.25 * 100)
-    ratings = spark.createDataFrame([(1, "tijl", "rating", 70.0), (1, "tijl", "pred_score", 1.0)],
+    ratings = spark.createDataFrame([(1, "ann", "rating", 70.0), (1, "ann", "pred_score", 1.0)],
                                     "crit_id int, user string, type string, score double")
-    w = writeback(ratings, score(films, draw=F.lit(0.5)), "tijl")
+    w = writeback(ratings, score(films, draw=F.lit(0.5)), "ann")
     got = {(r["crit_id"], r["type"]) for r in w.collect()}
     assert (1, "rating") in got and len(got) == 9
 
