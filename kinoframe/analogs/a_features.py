@@ -62,7 +62,7 @@ WITH agg AS (
     FROM orders GROUP BY o_custkey),
 movies AS (
   SELECT c.c_custkey AS crit_id, CASE WHEN c.c_nationkey % 5 <> 0 THEN CAST(c.c_nationkey AS BIGINT) END AS imdbid,
-         c.c_name AS title, coalesce(year(a.first_date), 1995) AS year, c.c_acctbal AS crit_rating,
+         c.c_name AS title, CAST(coalesce(year(a.first_date), 1995) AS INTEGER) AS year, c.c_acctbal AS crit_rating,
          a.n_orders AS crit_votes, a.avg_total / 70000 AS imdb_rating, CAST(NULL AS BIGINT) AS imdb_votes,
          c.c_mktsegment AS kind, CASE WHEN c.c_custkey % 7 <> 0 THEN c.c_nationkey * 4 END AS metacritic_score,
          CASE WHEN a.n_orders % 4 <> 0 THEN a.n_orders * 10 END AS runtime,
