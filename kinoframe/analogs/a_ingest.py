@@ -54,7 +54,7 @@ WITH items AS (
   SELECT CAST(p_partkey AS VARCHAR) AS netflixid, p_name AS title,
          CASE WHEN p_size % 5 = 0 THEN '' ELSE CAST(p_retailprice AS VARCHAR) END AS rating,
          CASE p_partkey % 10 WHEN 0 THEN 'notfound' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'unknown'
-              ELSE 'tt' || lpad(CAST(p_size AS VARCHAR), 7, '0') END AS imdbid,
+              ELSE 'tt' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') END AS imdbid,
          p_retailprice, p_partkey, p_size
     FROM part)
 """
@@ -66,7 +66,7 @@ def _catalogue_pages(spark, sf_dir):
     p = t(spark, sf_dir, "part")
     imdb = (F.when(F.col("p_partkey") % 10 == 0, "notfound").when(F.col("p_partkey") % 10 == 1, "")
             .when(F.col("p_partkey") % 10 == 2, F.lit(None)).when(F.col("p_partkey") % 10 == 3, "unknown")
-            .otherwise(F.format_string("tt%07d", F.col("p_size"))))
+            .otherwise(F.format_string("tt%07d", F.col("p_partkey"))))
     item = F.struct(F.col("p_partkey").cast("string").alias("netflixid"), F.col("p_name").alias("title"),
                     F.when(F.col("p_size") % 5 == 0, F.lit("")).otherwise(F.col("p_retailprice").cast("string"))
                     .alias("rating"), imdb.alias("imdbid"))
@@ -77,31 +77,32 @@ def _catalogue_pages(spark, sf_dir):
 
 @register("catalogue_clean", ITEMS_CTE + """
 SELECT CAST(i.netflixid AS BIGINT) AS netflix_id, i.title AS netflix_title,
-       round(TRY_CAST(i.rating AS DOUBLE), 6) AS netflix_rating, CAST(i.p_size AS BIGINT) AS imdbid,
-       s.s_suppkey AS crit_id
-  FROM items i JOIN supplier s ON CAST(i.p_size AS BIGINT) = s.s_nationkey
+       round(TRY_CAST(i.rating AS DOUBLE), 6) AS netflix_rating, i.p_partkey AS imdbid,
+       m.l_suppkey AS crit_id
+  FROM items i JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) m ON i.p_partkey = m.l_partkey
  WHERE i.imdbid IS NOT NULL AND i.imdbid NOT IN ('', 'notfound', 'unknown')
 """)
 def catalogue_clean_query(spark, sf_dir):
     """S7 + N9 + P10 + J5: items parsed, sentinels dropped, bridged to
-    internal ids (one external id may map to several ids: fan-out)."""
+    internal ids (external id = part key; it maps to every supplier that
+    shipped the part: a bounded fan-out)."""
     items = clean_catalogue_items(catalogue_items(_catalogue_pages(spark, sf_dir)))
-    mapping = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("imdbid"),
-                                                  F.col("s_suppkey").alias("crit_id"))
+    mapping = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("imdbid"),
+                                                  F.col("l_suppkey").alias("crit_id"))
     out = bridge(items, mapping, "imdbid", "crit_id")
     return out.select("netflix_id", "netflix_title", r6("netflix_rating").alias("netflix_rating"),
                       "imdbid", "crit_id")
 
 
 @register("bridge_fanout", """
-SELECT CAST(s_nationkey AS BIGINT) AS imdbid,
-       string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS crit_ids, count(*) AS n
-  FROM supplier GROUP BY s_nationkey
+SELECT l_partkey AS imdbid,
+       string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS crit_ids, count(*) AS n
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey
 """)
 def bridge_fanout_query(spark, sf_dir):
-    """J5 map view: external id -> set of internal ids."""
-    m = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("imdbid"),
-                                            F.col("s_suppkey").alias("crit_id"))
+    """J5 map view: external id (part) -> set of internal ids (suppliers)."""
+    m = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("imdbid"),
+                                            F.col("l_suppkey").alias("crit_id"))
     s = bridge_sets(m, "imdbid", "crit_id")
     return s.select("imdbid", F.array_join(F.transform("crit_ids", lambda x: x.cast("string")), ",").alias("crit_ids"),
                     F.size("crit_ids").cast("long").alias("n"))
@@ -229,11 +230,12 @@ SELECT p_brand, string_agg(DISTINCT w, ',' ORDER BY w) AS words
   FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_brand
 """)
 def distinct_sorted_query(spark, sf_dir):
-    """Distinct + sorted words per brand (per-row arrays de-duplicated
-    first, so less crosses the shuffle)."""
+    """Distinct + sorted words per brand."""
     from kinoframe.operators.lookup import distinct_sorted
-    p = t(spark, sf_dir, "part").select("p_brand", distinct_sorted(F.split("p_name", " ")).alias("w"))
-    g = p.groupBy("p_brand").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("w"))
+    # collect_set de-duplicates map-side: a task holds the distinct words of
+    # its brands, never all rows of a brand.
+    p = t(spark, sf_dir, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("w"))
+    g = p.groupBy("p_brand").agg(F.collect_set("w").alias("w"))
     return g.select("p_brand", F.array_join(distinct_sorted("w"), ",").alias("words"))
 
 

@@ -135,33 +135,34 @@ def parse_votes_query(spark, sf_dir):
 
 @register("person_names", """
 WITH p AS (
-  SELECT p_brand, p_partkey,
+  SELECT p_partkey // 8 AS film, p_partkey,
          upper(w[1][1]) || w[1][2:] AS first, upper(w[2][1]) || w[2][2:] AS last,
          CAST(p_size AS BIGINT) AS person_id
     FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)
    WHERE p_size % 7 <> 0),
-d AS (SELECT p_brand, last || ', ' || first AS canonical_name, first || ' ' || last AS name, person_id,
+d AS (SELECT film, last || ', ' || first AS canonical_name, first || ' ' || last AS name, person_id,
              min(p_partkey) AS first_pos
         FROM p GROUP BY ALL)
-SELECT p_brand, canonical_name, name, person_id,
-       row_number() OVER (PARTITION BY p_brand ORDER BY first_pos) AS rank
+SELECT film, canonical_name, name, person_id,
+       row_number() OVER (PARTITION BY film ORDER BY first_pos) AS rank
   FROM d
 """)
 def person_names_query(spark, sf_dir):
-    """N5 + W5: person records (half in 'Last, First' form, ids that do not
-    parse for p_size divisible by 7) per brand, normalised, de-duplicated
-    keeping first occurrence, ranked."""
-    p = t(spark, sf_dir, "part")
+    """N5 + W5: person records of each film (a film = 8 consecutive parts, so
+    the list stays small like a real cast), half in 'Last, First' form, ids
+    that do not parse for p_size divisible by 7; normalised, de-duplicated
+    keeping the first occurrence, ranked."""
+    p = t(spark, sf_dir, "part").withColumn("film", F.floor(F.col("p_partkey") / 8).cast("long"))
     w = F.split("p_name", " ")
     first, last = F.initcap(w[0]), F.initcap(w[1])
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", first, last)).otherwise(F.concat_ws(", ", last, first))
     pid = F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("string")).otherwise(F.lit("n/a"))
-    persons = p.select("p_brand", "p_partkey", F.struct(name.alias("name"), pid.alias("personID")).alias("person"))
-    lists = persons.groupBy("p_brand").agg(
+    persons = p.select("film", "p_partkey", F.struct(name.alias("name"), pid.alias("personID")).alias("person"))
+    lists = persons.groupBy("film").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "person"))), lambda x: x["person"]).alias("raw"))
-    clean = lists.select("p_brand", people_list("raw").alias("people"))
-    out = clean.select("p_brand", F.posexplode("people").alias("pos", "pp"))
-    return out.select("p_brand", "pp.canonical_name", "pp.name", "pp.person_id",
+    clean = lists.select("film", people_list("raw").alias("people"))
+    out = clean.select("film", F.posexplode("people").alias("pos", "pp"))
+    return out.select("film", "pp.canonical_name", "pp.name", "pp.person_id",
                       (F.col("pos") + 1).cast("long").alias("rank"))
 
 

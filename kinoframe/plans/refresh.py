@@ -70,23 +70,27 @@ def population_stats(films: DataFrame, year: str = "float_year", popularity: str
 def period_scores(films: DataFrame, stats: DataFrame, year: str = "year",
                   popularity: str = "crit_popularity") -> DataFrame:
     """R2 + R3: per film the year score, popularity score (NULL popularity ->
-    median) and the combined base period in weeks. ``stats`` is one row:
-    broadcast cross join by construction."""
-    x = films.crossJoin(fixed_broadcast(stats))
-    pop = F.coalesce(F.col(popularity), F.col("pop_median"))
-    x = x.withColumn("year_score", period_score(F.col("year_max") - F.col(year), F.col("year_a"), F.col("year_b")))
-    x = x.withColumn("pop_score", period_score(F.col("pop_max") - pop, F.col("pop_a"), F.col("pop_b")))
+    median) and the combined base period in weeks. ``stats`` (one row) enters
+    as a scalar subquery: computed once, no join."""
+    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    pop = F.coalesce(F.col(popularity), s["pop_median"])
+    x = films.withColumn("year_score", period_score(s["year_max"] - F.col(year), s["year_a"], s["year_b"]))
+    x = x.withColumn("pop_score", period_score(s["pop_max"] - pop, s["pop_a"], s["pop_b"]))
+    x = x.withColumn("earliest_date_added", s["earliest_date_added"])
     return x.withColumn("base_weeks", combined_period(F.col("year_score"), F.col("pop_score")))
 
 
-def sources_table(spark: SparkSession, cfg: RefreshConfig) -> DataFrame:
-    rows = []
+def sources_array(cfg: RefreshConfig) -> Column:
+    """The configured sources as a literal array of structs (P13: the group
+    is the first configured prefix of the source name)."""
+    items = []
     for i, (name, mult) in enumerate(cfg.sources, start=1):
-        m = mult * cfg.base_multiplier
-        group = next(g for g in cfg.max_per_hour if name.startswith(g))  # P13
-        rows.append((i, name, group, float(m), float(m) / cfg.firsttime_speedup))
-    return spark.createDataFrame(rows, "source_no int, source string, source_group string, "
-                                       "multiplier double, multiplier_firsttime double")
+        m = float(mult * cfg.base_multiplier)
+        group = next(g for g in cfg.max_per_hour if name.startswith(g))
+        items.append(F.struct(F.lit(i).alias("source_no"), F.lit(name).alias("source"),
+                              F.lit(group).alias("source_group"), F.lit(m).alias("multiplier"),
+                              F.lit(m / cfg.firsttime_speedup).alias("multiplier_firsttime")))
+    return F.array(*items)
 
 
 def next_updates(scored: DataFrame, cfg: RefreshConfig, key: str = "crit_id",
@@ -100,9 +104,8 @@ def next_updates(scored: DataFrame, cfg: RefreshConfig, key: str = "crit_id",
     update (first time: earliest date_added of all films) + min(period x
     jitter, cap) weeks. ``jitter_draw`` may use ``source_no`` and the key.
     """
-    spark = scored.sparkSession
-    src = fixed_broadcast(sources_table(spark, cfg))
-    x = scored.crossJoin(src)
+    # film x source: a generator over the literal source list (no join)
+    x = scored.select("*", F.explode(sources_array(cfg)).alias("_src")).select("*", "_src.*").drop("_src")
     x = x.filter(F.col("source").isin(*NO_EXTERNAL_ID_SOURCES) | F.col(external_id).isNotNull())
     stamp = F.coalesce(*[F.when(F.col("source") == s, F.col(f"{stamp_prefix}{s}_updated").cast("timestamp"))
                          for s, _ in cfg.sources if f"{stamp_prefix}{s}_updated" in scored.columns],
@@ -141,9 +144,10 @@ def sequence(due_tasks: DataFrame, cfg: RefreshConfig, as_of, n: int | None = No
     caps = due_tasks.sparkSession.createDataFrame(
         [(g, int(c)) for g, c in cfg.max_per_hour.items()], "source_group string, cap int")
     counts = due_tasks.groupBy("source_group").agg(F.count(F.lit(1)).alias("n_due"))
-    uph = counts.join(F.broadcast(caps), "source_group").select(
+    # caps and per-group rates have one row per configured source group
+    uph = counts.join(fixed_broadcast(caps), "source_group").select(
         "source_group", F.least(F.col("n_due"), F.col("cap")).alias("per_hour"))
-    x = due_tasks.join(F.broadcast(uph), "source_group")
+    x = due_tasks.join(fixed_broadcast(uph), "source_group")
     u = gap_draw if gap_draw is not None else unit_draw(cfg.seed + 1, F.col(key), F.col("source"))
     x = x.withColumn("gap_s", exponential_gap(u, F.lit(3600.0) / F.col("per_hour")))
     order = ["next_update", key, "source"]

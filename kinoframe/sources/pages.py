@@ -12,6 +12,8 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinoframe.session import checked_broadcast
+
 # Where each field sits on a film page and on a film-list page.
 FILM_PAGE_FIELDS = {
     "poster_url": r"""<meta[^>]*itemprop="image"[^>]*content="([^"]*)\"""",
@@ -84,5 +86,5 @@ def extract_film_list(df: DataFrame, html: str = "html", page: str | None = None
     if page is not None and popularity is not None:
         x = x.withColumn("crit_popularity", page_popularity(popularity, page, "nr_pages"))
     if blocked is not None:
-        x = x.join(F.broadcast(blocked.select("crit_id")), "crit_id", "left_anti")
+        x = x.join(checked_broadcast(blocked.select("crit_id").distinct()), "crit_id", "left_anti")
     return x
