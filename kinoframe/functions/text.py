@@ -23,10 +23,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Shapes of the three date forms, tried in the same order as the formats.
+RELEASE_DATE_SHAPES = (r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$", r"^[A-Za-z]+ [0-9]{4}$", r"^[0-9]{4}$")
+
+
 def parse_loose_date(s) -> Column:
-    """N2: 'D MMMM YYYY', else 'MMMM YYYY', else 'YYYY'; NULL if none fits."""
+    """N2: 'D MMMM YYYY', else 'MMMM YYYY', else 'YYYY'; NULL if none fits.
+
+    The shape of the text picks the one format to try, so a row is parsed
+    once instead of failing through the formats (a failed parse is costly)."""
     v = F.trim(_c(s))
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in RELEASE_DATE_FORMATS])
+    out = None
+    for shape, fmt in zip(RELEASE_DATE_SHAPES, RELEASE_DATE_FORMATS):
+        parsed = F.try_to_timestamp(v, F.lit(fmt))
+        out = F.when(v.rlike(shape), parsed) if out is None else out.when(v.rlike(shape), parsed)
+    return out
 
 
 def parse_release(s) -> Column:

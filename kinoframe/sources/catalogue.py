@@ -59,12 +59,15 @@ def genre_page_index(pages: DataFrame) -> DataFrame:
 def offers_info(df: DataFrame, json_col: str) -> DataFrame:
     """N13 + A15: offers answer -> link of the first film and whether any
     offer is HD or UHD; no film -> link NULL, flag false."""
-    j = F.from_json(F.col(json_col), OFFERS_SCHEMA)
-    first = F.try_element_at(j["Movies"], F.lit(1))
+    # Parse once into a column; the fields are then read from it (the
+    # optimizer does not inline an expensive expression used several times).
+    parsed = df.select("*", F.try_element_at(F.from_json(F.col(json_col), OFFERS_SCHEMA)["Movies"],
+                                             F.lit(1)).alias("_first"))
+    first = F.col("_first")
     hd = F.exists(F.coalesce(first["Torrents"], F.array()), lambda x: x["Quality"].isin(*HD_QUALITIES))
-    return df.select("*",
-                     F.when(first.isNotNull(), F.format_string(OFFER_URL, first["GroupId"])).alias("ptp_url"),
-                     F.coalesce(hd, F.lit(False)).alias("ptp_hd_available"))
+    return parsed.select(*[F.col(c) for c in df.columns],
+                         F.when(first.isNotNull(), F.format_string(OFFER_URL, first["GroupId"])).alias("ptp_url"),
+                         F.coalesce(hd, F.lit(False)).alias("ptp_hd_available"))
 
 
 def ratings_link(df: DataFrame, json_col: str, field: str = "tomatoURL") -> DataFrame:
