@@ -16,20 +16,18 @@ AS_OF = "2002-01-01 00:00:00"
 
 
 def _age_sql(x):
+    from kinoframe.functions.dates import AGE_LADDER
     secs = f"(epoch(TIMESTAMP '{AS_OF}') - epoch({x}))"
-    def unit(div, name):
-        n = f"CAST(greatest(round({secs} / {div}), 1) AS BIGINT)"
-        one = "an hour ago" if name == "hour" else f"a {name} ago"
-        return f"CASE WHEN {n} = 1 THEN '{one}' ELSE CAST({n} AS VARCHAR) || ' {name}s ago' END"
-    return (f"CASE WHEN {x} IS NULL THEN 'Not updated before' "
-            f"WHEN {secs} < 10 THEN 'just now' "
-            f"WHEN {secs} < 45 THEN CAST(CAST(floor({secs}) AS BIGINT) AS VARCHAR) || ' seconds ago' "
-            f"WHEN {secs} < 5400 THEN {unit(60, 'minute')} "
-            f"WHEN {secs} < 129600 THEN {unit(3600, 'hour')} "
-            f"WHEN {secs} < 907200 THEN {unit(86400, 'day')} "
-            f"WHEN {secs} < 3888000 THEN {unit(604800, 'week')} "
-            f"WHEN {secs} < 47304000 THEN {unit(2592000, 'month')} "
-            f"ELSE {unit(31536000, 'year')} END")
+    parts = [f"CASE WHEN {x} IS NULL THEN 'Not updated before'"]
+    for limit, word, unit in AGE_LADDER:
+        if unit is None:
+            text = f"'{word}'" if word == "just now" else f"'{word} ago'"
+        elif unit == 1:
+            text = f"CAST(CAST(floor({secs}) AS BIGINT) AS VARCHAR) || ' {word} ago'"
+        else:
+            text = f"CAST(CAST(greatest(floor({secs} / {unit}), 2) AS BIGINT) AS VARCHAR) || ' {word} ago'"
+        parts.append(f"ELSE {text} END" if limit is None else f"WHEN {secs} < {limit} THEN {text}")
+    return " ".join(parts)
 
 
 @register("scalar_dates", f"""

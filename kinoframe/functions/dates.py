@@ -63,19 +63,31 @@ def shift_weeks(ts, weeks) -> Column:
     return F.timestamp_micros(micros)
 
 
+# Thresholds (seconds) of the relative age label, with the unit
+# used above each one; between thresholds the count is floored, at least 2.
+AGE_LADDER = [
+    (10, "just now", None), (45, "seconds", 1), (90, "a minute", None), (2700, "minutes", 60),
+    (5400, "an hour", None), (79200, "hours", 3600), (129600, "a day", None), (554400, "days", 86400),
+    (907200, "a week", None), (2419200, "weeks", 604800), (3888000, "a month", None),
+    (29808000, "months", 2592000), (47260800, "a year", None), (None, "years", 31536000),
+]
+
+
 def humanized_age(ts, as_of, fallback: str = "Not updated before") -> Column:
-    """Coarse 'n units ago' label of ``as_of - ts``; NULL -> fallback."""
+    """Relative age of ``ts`` seen from ``as_of`` ('just now', 'a day
+    ago', '3 weeks ago', ...); NULL -> ``fallback``."""
     secs = (F.unix_micros(ts_lit(as_of)) - F.unix_micros(_c(ts).cast("timestamp"))) / F.lit(1_000_000)
-    def unit(n, name):
-        n = n.cast("long")
-        return F.when(n == 1, F.lit(f"a {name} ago") if name != "hour" else F.lit("an hour ago")) \
-                .otherwise(F.concat(n.cast("string"), F.lit(f" {name}s ago")))
-    label = (F.when(secs < 10, F.lit("just now"))
-             .when(secs < 45, F.concat(F.floor(secs).cast("string"), F.lit(" seconds ago")))
-             .when(secs < 5400, unit(F.greatest(F.round(secs / 60), F.lit(1)), "minute"))
-             .when(secs < 86400 * 1.5, unit(F.greatest(F.round(secs / 3600), F.lit(1)), "hour"))
-             .when(secs < 86400 * 7 * 1.5, unit(F.greatest(F.round(secs / 86400), F.lit(1)), "day"))
-             .when(secs < 86400 * 30 * 1.5, unit(F.greatest(F.round(secs / 604800), F.lit(1)), "week"))
-             .when(secs < 86400 * 365 * 1.5, unit(F.greatest(F.round(secs / 2_592_000), F.lit(1)), "month"))
-             .otherwise(unit(F.greatest(F.round(secs / 31_536_000), F.lit(1)), "year")))
+    label = None
+    for limit, word, unit in AGE_LADDER:
+        if unit is None:
+            text = F.lit(word if word == "just now" else f"{word} ago")
+        elif unit == 1:
+            text = F.concat(F.floor(secs).cast("string"), F.lit(f" {word} ago"))
+        else:
+            n = F.greatest(F.floor(secs / F.lit(unit)), F.lit(2)).cast("long")
+            text = F.concat(n.cast("string"), F.lit(f" {word} ago"))
+        if limit is None:
+            label = label.otherwise(text)
+        else:
+            label = F.when(secs < limit, text) if label is None else label.when(secs < limit, text)
     return F.when(_c(ts).isNull(), F.lit(fallback)).otherwise(label)

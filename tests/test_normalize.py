@@ -127,3 +127,16 @@ def test_shortest_and_median(spark):
     assert {r["k"]: r["t"] for r in shortest_text(df, "k", "t", "p").collect()} == {1: "bb"}
     m = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 4), (3, 1)], "k int, v int")
     assert {r["k"]: r["v"] for r in median_int(m, "k", "v").collect()} == {1: 2, 2: 4, 3: 1}
+
+
+def test_humanized_age(spark):
+    from kinoframe.functions.dates import humanized_age
+    as_of = dt.datetime(2018, 4, 1)
+    cases = [(None, "Not updated before"), (as_of - dt.timedelta(seconds=5), "just now"),
+             (as_of - dt.timedelta(seconds=30), "30 seconds ago"), (as_of - dt.timedelta(minutes=1), "a minute ago"),
+             (as_of - dt.timedelta(hours=3), "3 hours ago"), (as_of - dt.timedelta(days=1), "a day ago"),
+             (as_of - dt.timedelta(days=4), "4 days ago"), (as_of - dt.timedelta(days=400), "a year ago"),
+             (as_of - dt.timedelta(days=1000), "2 years ago")]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "t timestamp")
+    got = [r[0] for r in df.select(humanized_age(F.col("t"), as_of)).collect()]
+    assert got == [e for _, e in cases]
