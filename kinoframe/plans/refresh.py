@@ -162,10 +162,18 @@ def sequence(due_tasks: DataFrame, cfg: RefreshConfig, as_of, n: int | None = No
     return x
 
 
+def film_refresh_input(movies: DataFrame) -> DataFrame:
+    """The film header (schema ``MOVIES``) with the fractional release year
+    used by the population statistics (N15)."""
+    from kinoframe.functions.dates import fractional_year
+    return movies.withColumn("float_year", fractional_year("original_release_date", "imdb_year", "year"))
+
+
 def schedule(films: DataFrame, cfg: RefreshConfig, as_of, n: int | None = None, key: str = "crit_id",
              float_year: str = "float_year") -> DataFrame:
     """Full refresh plan from a film table with columns crit_id, year,
-    float_year, crit_popularity, imdbid, date_added and *_updated stamps."""
+    float_year, crit_popularity, imdbid, date_added and *_updated stamps
+    (``film_refresh_input(movies)`` gives it from the film header)."""
     stats = population_stats(films, year=float_year)
     scored = period_scores(films, stats)
     return sequence(due(next_updates(scored, cfg, key=key), as_of), cfg, as_of, n=n, key=key)

@@ -12,6 +12,28 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors):
+# partitions sized so one shuffle block stays well inside executor memory,
+# AQE to coalesce small partitions and split skewed ones at runtime.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str] = CLUSTER_CONF) -> None:
+    """Apply runtime SQL settings (e.g. :data:`CLUSTER_CONF`) to a session."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "kinoframe") -> SparkSession:
     """Session used by tests and the bench (the cluster passes its own)."""

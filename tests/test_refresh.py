@@ -97,3 +97,14 @@ def test_prefix_sum_matches_window(spark):
     ref = df.withColumn("cum_ref", F.sum("v").over(Window.partitionBy("g").orderBy("o")))
     bad = got.join(ref, ["g", "o"]).filter(F.abs(F.col("cum") - F.col("cum_ref")) > 1e-6).count()
     assert bad == 0 and got.count() == 5000
+
+
+def test_schedule_on_film_header(spark):
+    from kinoframe.plans.refresh import film_refresh_input, schedule
+    from kinoframe.schemas import MOVIES
+    from kinoframe.sources.tables import align_schema
+    f = films(spark).drop("float_year")
+    movies = align_schema(f, MOVIES).select(*MOVIES.fieldNames())
+    plan = schedule(film_refresh_input(movies), RefreshConfig(), AS_OF, n=30).collect()
+    assert 0 < len(plan) <= 30
+    assert [r["arrival"] for r in plan] == sorted(r["arrival"] for r in plan)
