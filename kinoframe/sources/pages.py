@@ -30,7 +30,7 @@ LIST_ITEM_FIELDS = {
     "crit_id": r"""titleid="([0-9]+)\"""",
     "crit_url": r"""<a[^>]*href="([^"]*)\"""",
     "title": r"""<a[^>]*title="([^"]*)\"""",
-    "year": r"""(?s)<a[^>]*>.*\(([0-9]+)\)\s*</a>""",
+    "link_text": r"""(?s)<a[^>]*>(.*?)</a>""",
     "psi": r"""class="pti"[^>]*>\s*([0-9]+)\s*<""",
     "rating": r"""title="Your Ranking"[^>]*>\s*([0-9]+)\s*<""",
 }
@@ -79,9 +79,11 @@ def extract_film_list(df: DataFrame, html: str = "html", page: str | None = None
     items = df.select(*keep, pages.alias("nr_pages"),
                       F.explode(F.regexp_extract_all(F.col(html), F.lit(LIST_ITEM), 0)).alias("_li"))
     x = extract_fields(items, "_li", LIST_ITEM_FIELDS).drop("_li")
+    # year: the last bracketed number preceded by white space in the link text
+    year = F.regexp_extract(F.col("link_text"), r"(?s)^.*\s+\(([0-9]+)\)", 1)
     x = x.select(*keep, "nr_pages",
                  F.col("crit_id").try_cast("int").alias("crit_id"), "crit_url", "title",
-                 F.col("year").try_cast("int").alias("year"),
+                 year.try_cast("int").alias("year"),
                  F.col("psi").try_cast("int").alias("psi"), F.col("rating").try_cast("int").alias("rating"))
     if page is not None and popularity is not None:
         x = x.withColumn("crit_popularity", page_popularity(popularity, page, "nr_pages"))
