@@ -28,7 +28,7 @@ def _movies(spark, sf_dir):
         "crit_id", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey").cast("long")).alias("imdbid"),
         F.col("c_name").alias("title"), F.coalesce(F.year("first_date"), F.lit(1995)).alias("year"),
         F.lit(None).cast("int").alias("imdb_year"), F.col("c_acctbal").alias("crit_rating"),
-        F.col("n_orders").alias("crit_votes"), (F.col("avg_total") / 70000).alias("imdb_rating"),
+        F.col("n_orders").alias("crit_votes"), (F.col("avg_total") / 70001).alias("imdb_rating"),
         F.lit(None).cast("long").alias("imdb_votes"), F.col("c_mktsegment").alias("kind"),
         F.when(F.col("crit_id") % 7 != 0, F.col("c_nationkey") * 4).alias("metacritic_score"),
         F.when(F.col("n_orders") % 4 != 0, F.col("n_orders") * 10).alias("runtime"),
@@ -63,7 +63,7 @@ WITH agg AS (
 movies AS (
   SELECT c.c_custkey AS crit_id, CASE WHEN c.c_nationkey % 5 <> 0 THEN CAST(c.c_nationkey AS BIGINT) END AS imdbid,
          c.c_name AS title, CAST(coalesce(year(a.first_date), 1995) AS INTEGER) AS year, c.c_acctbal AS crit_rating,
-         a.n_orders AS crit_votes, a.avg_total / 70000 AS imdb_rating, CAST(NULL AS BIGINT) AS imdb_votes,
+         a.n_orders AS crit_votes, a.avg_total / 70001 AS imdb_rating, CAST(NULL AS BIGINT) AS imdb_votes,
          c.c_mktsegment AS kind, CASE WHEN c.c_custkey % 7 <> 0 THEN c.c_nationkey * 4 END AS metacritic_score,
          CASE WHEN a.n_orders % 4 <> 0 THEN a.n_orders * 10 END AS runtime,
          floor((epoch_us(TIMESTAMP '{AS_OF}')
@@ -189,7 +189,7 @@ def writeback_query(spark, sf_dir):
 SELECT crit_id, title, round(score, 6) AS score, round(pred_rating, 6) AS pred_rating
   FROM scored
  WHERE rated = 0 AND "show" = 1 AND pred_rating >= 50 AND kind IN ('BUILDING', 'MACHINERY')
-   AND NOT list_contains(genres, '5-LOW')
+   AND NOT coalesce(list_contains(genres, '5-LOW'), false)
  ORDER BY score DESC, crit_id LIMIT 500
 """)
 def recommend_query(spark, sf_dir):
