@@ -69,6 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local "
+                               "folder does not survive the loss of an executor's host")
         configured = os.path.join("/tmp", "kinoframe-checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

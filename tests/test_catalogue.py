@@ -86,3 +86,13 @@ def test_checks(spark):
     res = {(r["table"], r["check"]): r["n"] for r in check_tables(t).collect()}
     assert res[("genres", "duplicate_key")] == 1 and res[("genres", "orphan")] == 1
     assert res[("movies", "duplicate_key")] == 0
+
+
+def test_role_filter_reaches_the_scan(spark):
+    from kinoframe.session import work_path
+    t = tables(spark)
+    path = work_path(spark, "persons-scan")
+    t["persons"].write.parquet(path)
+    t["persons"] = spark.read.parquet(path)
+    plan = film_wide_export(t, "ann")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan or "PushedFilters: [IsNotNull(crit_id), Or(" in plan, plan
