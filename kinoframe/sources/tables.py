@@ -156,6 +156,21 @@ def add_columns(df: DataFrame, cols: dict[str, str], after: str | None = None,
     return df.select(*existing, *added)
 
 
+def migrate(store: TableStore, schemas: dict[str, T.StructType]) -> list[str]:
+    """S3/S4 over many tables: every stored table that lacks declared columns
+    gets them (typed NULLs at their declared place) in a new version; tables
+    already complete are left alone. Returns the names that were migrated."""
+    changed = []
+    for name, schema in schemas.items():
+        if not store.exists(name):
+            continue
+        df = store.read(name)
+        if set(schema.fieldNames()) - set(df.columns):
+            store.write(name, align_schema(df, schema))
+            changed.append(name)
+    return changed
+
+
 def to_storage(df: DataFrame, fmt: str = "yyyy-MM-dd'T'HH:mm:ssXXX") -> DataFrame:
     """Timestamps (and lists of timestamps) to text for a text sink;
     the default Parquet sink keeps native timestamps."""

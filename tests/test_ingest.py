@@ -136,5 +136,9 @@ def test_tables(spark):
     with pytest.raises(ValueError):
         add_columns(old, {"a": "int"}, after="crit_id", first=True)
     assert store.read("movies").first()["title"] == "Amélie"
+    from kinoframe.sources.tables import migrate
+    wider = T.StructType(schema.fields + [T.StructField("runtime", T.IntegerType())])
+    assert migrate(store, {"movies": wider}) == ["movies"] and migrate(store, {"movies": wider}) == []
+    assert store.read("movies").columns == ["crit_id", "title", "year", "runtime"]
     ts = spark.createDataFrame([(dt.datetime(2018, 1, 1, 12),)], "t timestamp")
     assert to_storage(ts).first()["t"] == "2018-01-01T12:00:00Z"
