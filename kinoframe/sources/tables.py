@@ -186,6 +186,39 @@ def to_storage(df: DataFrame, fmt: str = "yyyy-MM-dd'T'HH:mm:ssXXX") -> DataFram
     return df.select(*out)
 
 
+def from_storage(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Inverse of S11 for tables kept with text timestamps and 0/1 flags (a
+    legacy SQL store): cast each declared column to its declared type; text
+    timestamps with an offset ('2018-01-01T00:00:00+01:00') keep their instant."""
+    out = []
+    for f in schema.fields:
+        if f.name not in df.columns:
+            continue
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.TimestampType) and isinstance(df.schema[f.name].dataType, T.StringType):
+            c = F.try_to_timestamp(c)
+        elif isinstance(f.dataType, T.BooleanType):
+            c = c.cast("int").cast("boolean")
+        else:
+            c = c.try_cast(f.dataType) if isinstance(df.schema[f.name].dataType, T.StringType) else c.cast(f.dataType)
+        out.append(c.alias(f.name))
+    return align_schema(df.select(*out, *[x for x in df.columns if x not in schema.fieldNames()]), schema)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict, schema: T.StructType | None = None,
+              partition_column: str | None = None, lower: int = 0, upper: int = 0,
+              partitions: int = 1) -> DataFrame:
+    """S1 from a JDBC store (config only: Spark's built-in JDBC source). With
+    ``partition_column`` the table is read by ``partitions`` parallel range
+    queries; ``schema`` converts text timestamps / flags back (``from_storage``)."""
+    if partition_column:
+        df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                             numPartitions=partitions, properties=properties)
+    else:
+        df = spark.read.jdbc(url, table, properties=properties)
+    return from_storage(df, schema) if schema is not None else df
+
+
 def write_genre_catalogue(store: TableStore, genres: DataFrame, name: str = "netflix_genres",
                           id_col: str = "genreid", names_col: str = "genre_names",
                           stamp_col: str = "movies_updated") -> str:

@@ -142,3 +142,9 @@ def test_tables(spark):
     assert store.read("movies").columns == ["crit_id", "title", "year", "runtime"]
     ts = spark.createDataFrame([(dt.datetime(2018, 1, 1, 12),)], "t timestamp")
     assert to_storage(ts).first()["t"] == "2018-01-01T12:00:00Z"
+    from kinoframe.sources.tables import from_storage
+    legacy = spark.createDataFrame([("1", "2018-01-01T00:00:00+01:00", 1)], "crit_id string, date_added string, hd int")
+    back = from_storage(legacy, T.StructType([T.StructField("crit_id", T.IntegerType()),
+                                              T.StructField("date_added", T.TimestampType()),
+                                              T.StructField("hd", T.BooleanType())])).first()
+    assert (back["crit_id"], back["date_added"], back["hd"]) == (1, dt.datetime(2017, 12, 31, 23, 0), True)
