@@ -14,6 +14,7 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinoframe.operators.merge import fold_log
 from kinoframe.session import work_path
 from kinoframe.sources.tables import TableStore
 
@@ -69,13 +70,9 @@ def current_record(stream: DataFrame, key: str, order: Sequence[str], columns: S
     """Streaming fold of partial records (U8): per key and column the
     latest non-NULL value by ``order``; ``keep_first`` columns the earliest.
     Order-free, so late rows land in the right place. State: one row per
-    key (inherent to a current-record view)."""
-    ordering = F.struct(*[F.col(c) for c in order])
-    aggs = []
-    for c in columns:
-        pick = F.min_by if c in keep_first else F.max_by
-        aggs.append(pick(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), ordering)).alias(c))
-    return stream.groupBy(key).agg(*aggs)
+    key (inherent to a current-record view). The same aggregation as the
+    batch fold, run as a streaming aggregation."""
+    return fold_log(stream, key, order, columns, keep_first)
 
 
 def to_pairs(log: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
