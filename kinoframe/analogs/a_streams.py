@@ -59,8 +59,9 @@ def stream_dedup_query(spark, sf_dir):
     a = file_stream(spark, sf_dir, "events.parquet", ts_cols=["ts"])
     b = file_stream(spark, sf_dir, "events.parquet", ts_cols=["ts"])
     d = dedupe(a.unionByName(b), ["event_id"], "ts", "1 day")
-    out = run_available(d.select("event_id", "user_id", "event_type", "value"), "dedup", output_mode="append")
-    return read_output(spark, out).select("event_id", "user_id", "event_type", r6("value").alias("value"))
+    d = d.select("event_id", "user_id", "event_type", "value")
+    out = run_available(d, "dedup", output_mode="append")
+    return read_output(spark, out, d.schema).select("event_id", "user_id", "event_type", r6("value").alias("value"))
 
 
 CAPS = {"click": 400, "error": 40, "purchase": 800, "signup": 400, "view": 400}

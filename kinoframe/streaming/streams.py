@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.operators.merge import fold_log
 from kinoframe.session import work_path
-from kinoframe.sources.tables import TableStore
+from kinoframe.sources.tables import TableStore, path_exists
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, max_files_per_trigger: int | None = None,
@@ -60,7 +60,10 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "update",
 
 
 def read_output(spark: SparkSession, out: str, schema=None) -> DataFrame:
-    """Read a :func:`run_available` folder (batch folders unioned)."""
+    """Read a :func:`run_available` folder (batch folders unioned); a stream
+    that had no data yet gives an empty frame when ``schema`` is known."""
+    if schema is not None and not path_exists(spark, out):
+        return spark.createDataFrame([], schema)
     df = spark.read.parquet(out) if schema is None else spark.read.schema(schema).parquet(out)
     return df.drop("batch") if "batch" in df.columns else df
 
