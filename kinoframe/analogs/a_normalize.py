@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinoframe.analogs import register
 from kinoframe.analogs.common import t, ts_text
 from kinoframe.functions.text import (parse_aka, parse_release, parse_votes, people_list,
-                                      strip_author)
+                                      strip_author, to_int_or_null)
 from kinoframe.operators.priority import median_int, pick_release_dates, pick_titles, shortest_text
 
 # priority -> tag text appended after the date (three tags: only the last two survive)
@@ -120,17 +120,20 @@ def priority_title_query(spark, sf_dir):
 @register("parse_votes", """
 SELECT c_custkey,
        CASE c_custkey % 4 WHEN 0 THEN CAST(floor(abs(c_acctbal * 100)) AS BIGINT)
-                          WHEN 1 THEN CAST(floor(abs(c_acctbal * 100)) AS BIGINT) END AS votes
+                          WHEN 1 THEN CAST(floor(abs(c_acctbal * 100)) AS BIGINT) END AS votes,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS metascore
   FROM customer
 """)
 def parse_votes_query(spark, sf_dir):
-    """Vote texts in three shapes ('1234', 'x (1,234)', junk) and NULL."""
+    """Vote texts in three shapes ('1234', 'x (1,234)', junk) and NULL;
+    N7: a score text to int or NULL."""
     c = t(spark, sf_dir, "customer")
     n = F.floor(F.abs(F.col("c_acctbal") * 100)).cast("long")
     raw = (F.when(F.col("c_custkey") % 4 == 0, n.cast("string"))
            .when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("x ("), F.format_number(n, 0), F.lit(")")))
            .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("xdfw"), F.format_number(n, 0), F.lit(")"))))
-    return c.select("c_custkey", parse_votes(raw).alias("votes"))
+    score_txt = F.when(F.col("c_custkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", parse_votes(raw).alias("votes"), to_int_or_null(score_txt).alias("metascore"))
 
 
 @register("person_names", """

@@ -116,3 +116,14 @@ def test_partition_count_independent(spark):
     a = nest_values(df.repartition(1), "k", "v", order=["r"]).collect()
     b = nest_values(df.repartition(13), "k", "v", order=["r"]).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_export_independent_of_partitioning(spark):
+    from kinoframe.operators.export import ChildPart, CondAvg, ListAgg, wide_export
+    child = spark.range(0, 3000).select((F.col("id") % 97).alias("k"), (F.col("id") % 5).alias("rank"),
+                                        F.col("id").cast("string").alias("v"), (F.col("id") % 3).alias("x"))
+    header = spark.range(0, 100).select(F.col("id").alias("k"))
+    def run(n):
+        part = ChildPart(child.repartition(n), [ListAgg("vs", "v", ["rank"], "rank <= 2"), CondAvg("ax", "x", "rank = 1")])
+        return sorted(map(tuple, wide_export(header.repartition(n), "k", [part]).collect()), key=str)
+    assert run(1) == run(11)
