@@ -8,8 +8,9 @@ from kinoframe.analogs.a_merge import TYPES
 from kinoframe.analogs.common import r6, t
 from kinoframe.session import work_path
 from kinoframe.sources.tables import TableStore
-from kinoframe.streaming.streams import (current_record, dedupe, file_stream, from_pairs, rate_monitor,
-                                         read_output, run_available, snapshot_writer)
+from kinoframe.streaming.streams import (current_record, dedupe, file_stream, from_pairs,
+                                         partial_snapshot_writer, rate_monitor, read_output,
+                                         read_partial_snapshot, run_available, snapshot_writer)
 
 FOLD_SQL = """
 SELECT user_id,
@@ -40,6 +41,19 @@ def stream_current_query(spark, sf_dir):
     return _final(spark.read.parquet(run_available(cur, "current", output_mode="complete")))
 
 
+@register("stream_snapshot_buckets", FOLD_SQL)
+def stream_snapshot_buckets_query(spark, sf_dir):
+    """T2 at scale: micro-batches (one file per trigger, the events file read
+    by two landings) folded into a bucket-partitioned snapshot, rewriting only
+    the touched buckets."""
+    path = work_path(spark, "snapshot-buckets")
+    s = _log(file_stream(spark, sf_dir, "events.parquet", ts_cols=["ts"]))
+    run_available(s, "snapshot-buckets", output_mode="append",
+                  batch_fn=partial_snapshot_writer(path, "user_id", ["ts", "event_id"], COLUMNS,
+                                                   keep_first=["first_ts"], buckets=16))
+    return _final(read_partial_snapshot(spark, path, "user_id", COLUMNS))
+
+
 @register("stream_snapshot", FOLD_SQL)
 def stream_snapshot_query(spark, sf_dir):
     """Each micro-batch folded into a versioned snapshot table."""
