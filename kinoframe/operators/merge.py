@@ -28,7 +28,7 @@ def header_projection(df: DataFrame, header_cols: Sequence[str]) -> DataFrame:
 
 def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str] | None = None,
                     keep_first: Sequence[str] = (), supplied: Sequence[str] | None = None,
-                    replace_whole: Sequence[str] = ()) -> DataFrame:
+                    replace_whole: Sequence[str] = (), small_batch_rows: int | None = 1_000_000) -> DataFrame:
     """Merge partial records ``new`` into ``old`` on ``key``.
 
     * default: new value wins unless it is NULL (``coalesce(new, old)``);
@@ -38,23 +38,40 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
     * ``replace_whole``: list / map columns replaced whole when new is
       non-NULL (same rule as the default, named for clarity).
     Keys only in ``new`` are inserted, keys only in ``old`` are kept.
+
+    Plan: a batch of at most ``small_batch_rows`` rows (counted first) is
+    broadcast, so the big table is neither shuffled nor sorted: a left join
+    updates it in place and the inserts are the batch keys not found by a
+    semi join. A larger batch uses one full outer join (both sides hashed
+    on the key, or bucketed so that no shuffle is needed).
     """
     keys = _keys(key)
     cols = list(columns) if columns is not None else [c for c in old.columns if c not in keys]
     upd = set(supplied) if supplied is not None else set(new.columns)
     o = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols])
     n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in cols if c in upd and c in new.columns])
-    j = o.join(n, on=keys, how="full_outer")
-    out = []
-    for c in cols:
-        oc = F.col(f"_o_{c}")
-        if f"_n_{c}" not in j.columns:
-            out.append(oc.alias(c))
-        elif c in keep_first:
-            out.append(F.coalesce(oc, F.col(f"_n_{c}")).alias(c))
-        else:
-            out.append(F.coalesce(F.col(f"_n_{c}"), oc).alias(c))
-    return j.select(*keys, *out)
+
+    def combine(j: DataFrame) -> DataFrame:
+        out = []
+        for c in cols:
+            oc = F.col(f"_o_{c}") if f"_o_{c}" in j.columns else F.lit(None)
+            if f"_n_{c}" not in j.columns:
+                out.append(oc.alias(c))
+            elif c in keep_first:
+                out.append(F.coalesce(oc, F.col(f"_n_{c}")).alias(c))
+            else:
+                out.append(F.coalesce(F.col(f"_n_{c}"), oc).alias(c))
+        return j.select(*keys, *out)
+
+    if small_batch_rows is not None and n.count() <= small_batch_rows:
+        small = F.broadcast(n)
+        updated = combine(o.join(small, on=keys, how="left"))
+        found = o.select(*keys).join(F.broadcast(n.select(*keys)), on=keys, how="left_semi")
+        inserts = n.join(F.broadcast(found), on=keys, how="left_anti")
+        inserted = combine(inserts.select(*keys, *[F.lit(None).cast(old.schema[c].dataType).alias(f"_o_{c}")
+                                                   for c in cols], *[c for c in inserts.columns if c not in keys]))
+        return updated.unionByName(inserted)
+    return combine(o.join(n, on=keys, how="full_outer"))
 
 
 def merge_entries(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
