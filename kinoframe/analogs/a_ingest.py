@@ -1,7 +1,6 @@
 """Ingest, lookup and selection analogs (S5-S8, N9, N13, N14, A9, A15, A16,
 J5, P4, P5, P9, P10, P12, P16, O1, W4, W5, X1-X3)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinoframe.analogs import register

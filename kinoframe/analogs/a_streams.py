@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.analogs import register
 from kinoframe.analogs.a_merge import TYPES
-from kinoframe.analogs.common import r6, t
+from kinoframe.analogs.common import r6
 from kinoframe.session import work_path
 from kinoframe.sources.tables import TableStore
 from kinoframe.streaming.streams import (current_record, dedupe, file_stream, from_pairs,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.operators.export import ChildPart, CondAvg, ListAgg, wide_export
 from kinoframe.operators.merge import merge_entries, merge_null_safe, replace_children
-from kinoframe.operators.nest import (attach, nest_by_role, nest_list, nest_map, nest_map2, nest_values,
+from kinoframe.operators.nest import (attach, nest_by_role, nest_map, nest_map2, nest_values,
                                       unnest_list, unnest_map, unnest_map2, unnest_roles)
 from kinoframe.operators.quality import check_unique, find_orphans
 from kinoframe.schemas import CHILD_TABLES, HEADER_COLUMNS, KEYS, ROLES
