@@ -11,6 +11,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinoframe.operators.prefix import running_sum
+from kinoframe.session import checked_broadcast
+
 
 def check_unique(df: DataFrame, keys: Sequence[str], count_col: str = "n") -> DataFrame:
     """One row per duplicated key with its multiplicity (partial counts
@@ -26,19 +29,51 @@ def find_orphans(child: DataFrame, parent: DataFrame, key: str,
     return child.join(parents, on=key, how="left_anti")
 
 
+def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float] = (0.1, 0.5, 0.9),
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles (linear interpolation, like numpy / DuckDB's
+    ``quantile_cont``) without holding any group in one task: every value
+    gets its rank within its group from the two-level prefix sum (range
+    partitioning), then only the 2 x len(probs) rows per group at the
+    needed ranks are picked and interpolated."""
+    g = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    x = (df.select(g.alias("_g"), F.col(col).cast("double").alias("_v"))
+           .filter(F.col("_v").isNotNull()).withColumn("_one", F.lit(1.0)))
+    ranked = running_sum(x, "_g", ["_v"], "_one", "_rank")
+    n = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        wanted.append(F.struct(F.lit(i).alias("_p"), (F.floor(h) + 1).cast("double").alias("_lo"),
+                               (F.ceil(h) + 1).cast("double").alias("_hi"), (h - F.floor(h)).alias("_frac")))
+    targets = n.select("_g", F.explode(F.array(*wanted)).alias("t")).select("_g", "t.*")
+    ranks = targets.select("_g", "_p", "_frac", F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
+    # groups x probs x 2 rows: size checked before it is broadcast
+    picked = ranked.join(checked_broadcast(ranks), ["_g", "_rank"], "inner")
+    per = picked.groupBy("_g", "_p").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"),
+                                          F.first("_frac").alias("_frac"))
+    per = per.withColumn("_val", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))
+    out = per.groupBy("_g").agg(*[F.max(F.when(F.col("_p") == i, F.col("_val"))).alias(f"p{int(round(p * 100)):02d}")
+                                  for i, p in enumerate(probs)])
+    return out.select(*[F.col("_g")[c].alias(c) for c in by], *[c for c in out.columns if c != "_g"])
+
+
 def percentiles(df: DataFrame, col: str, probs: Sequence[float] = (0.1, 0.5, 0.9),
-                exact: bool = True, accuracy: int = 100_000, by: Sequence[str] = ()) -> DataFrame:
+                method: str = "sorted", accuracy: int = 100_000, by: Sequence[str] = ()) -> DataFrame:
     """Percentiles of a column (linear interpolation, like numpy).
 
-    ``exact`` uses ``percentile``, whose buffer is a value -> count map merged
-    map-side: memory grows with the number of *distinct* values, not rows.
-    For high-cardinality columns at scale pass ``exact=False``
-    (``percentile_approx``, bounded sketch).
+    * ``sorted`` (default): exact, by rank (:func:`exact_percentiles`);
+      scales with any number of rows and distinct values per group;
+    * ``map``: exact ``percentile``, whose buffer is a value -> count map:
+      fine when a group has few distinct values;
+    * ``approx``: ``percentile_approx`` (bounded sketch).
     """
+    if method == "sorted":
+        return exact_percentiles(df, col, probs, by)
     cols = []
     for p in probs:
         name = f"p{int(round(p * 100)):02d}"
-        if exact:
+        if method == "map":
             cols.append(F.percentile(F.col(col), F.lit(p)).alias(name))
         else:
             cols.append(F.percentile_approx(F.col(col), F.lit(p), accuracy).alias(name))

@@ -131,3 +131,17 @@ def test_export_independent_of_partitioning(spark):
         part = ChildPart(child.repartition(n), [ListAgg("vs", "v", ["rank"], "rank <= 2"), CondAvg("ax", "x", "rank = 1")])
         return sorted(map(tuple, wide_export(header.repartition(n), "k", [part]).collect()), key=str)
     assert run(1) == run(11)
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+    from kinoframe.operators.quality import percentiles
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 3000), rng.integers(0, 50, 3000) / 4)]
+    rows += [(9, 1.0)]  # a single-row group
+    df = spark.createDataFrame(rows, "g int, v double")
+    for method in ("sorted", "map"):
+        got = {r["g"]: (r["p10"], r["p50"], r["p90"]) for r in percentiles(df, "v", method=method, by=["g"]).collect()}
+        for g in set(x[0] for x in rows):
+            vals = [v for gg, v in rows if gg == g]
+            assert got[g] == tuple(float(np.percentile(vals, q)) for q in (10, 50, 90)), (method, g)
