@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoframe.operators.prefix import running_sum
-from kinoframe.session import checked_broadcast
 
 
 def check_unique(df: DataFrame, keys: Sequence[str], count_col: str = "n") -> DataFrame:
@@ -48,8 +47,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float] = (0.1, 0.
                                (F.ceil(h) + 1).cast("double").alias("_hi"), (h - F.floor(h)).alias("_frac")))
     targets = n.select("_g", F.explode(F.array(*wanted)).alias("t")).select("_g", "t.*")
     ranks = targets.select("_g", "_p", "_frac", F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
-    # groups x probs x 2 rows: size checked before it is broadcast
-    picked = ranked.join(checked_broadcast(ranks), ["_g", "_rank"], "inner")
+    # groups x probs x 2 rows: AQE broadcasts it from its measured size
+    picked = ranked.join(ranks, ["_g", "_rank"], "inner")
     per = picked.groupBy("_g", "_p").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"),
                                           F.first("_frac").alias("_frac"))
     per = per.withColumn("_val", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))

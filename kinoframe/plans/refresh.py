@@ -20,6 +20,7 @@ from kinoframe.functions.dates import MICROS_PER_WEEK, ts_lit
 from kinoframe.functions.scoring import (combined_period, curve_a, curve_b, exponential_gap,
                                          period_score, unit_draw, weibull_jitter)
 from kinoframe.operators.prefix import running_sum, running_sum_top_n
+from kinoframe.operators.quality import exact_percentiles
 from kinoframe.session import cut_lineage, fixed_broadcast
 
 # Sources in scheduling order with their period multipliers,
@@ -45,21 +46,33 @@ class RefreshConfig:
 
 
 def population_stats(films: DataFrame, year: str = "float_year", popularity: str = "crit_popularity",
-                     date_added: str = "date_added", exact: bool = True) -> DataFrame:
+                     date_added: str = "date_added", method: str = "sorted") -> DataFrame:
     """A10 + R1: one row with min / median / max of the fractional release
     year and of popularity (NULL ignored), the earliest date_added, and the
     curve parameters a, b of both features.
 
-    ``median`` (exact) keeps a value -> count map per task, merged on the
-    driver side of one final task; its size is the number of distinct values.
-    ``exact=False`` uses ``percentile_approx`` for unbounded domains.
+    ``sorted`` (default) computes the exact medians by rank
+    (:func:`exact_percentiles`: no task ever holds a whole column); they
+    enter the one-row result as scalar subqueries. ``map`` uses Spark's
+    ``median`` (value -> count map, fine for few distinct values),
+    ``approx`` uses ``percentile_approx``.
     """
-    def med(c):
-        return F.median(c) if exact else F.percentile_approx(c, 0.5, 100000)
-    s = films.agg(
-        F.min(year).alias("year_min"), med(year).alias("year_median"), F.max(year).alias("year_max"),
-        F.min(popularity).alias("pop_min"), med(popularity).alias("pop_median"),
-        F.max(popularity).alias("pop_max"), F.min(date_added).alias("earliest_date_added"))
+    base = films.agg(
+        F.min(year).alias("year_min"), F.max(year).alias("year_max"),
+        F.min(popularity).alias("pop_min"), F.max(popularity).alias("pop_max"),
+        F.min(date_added).alias("earliest_date_added"))
+    if method == "sorted":
+        long = films.select(F.explode(F.array(
+            F.struct(F.lit("year").alias("feature"), F.col(year).cast("double").alias("value")),
+            F.struct(F.lit("pop").alias("feature"), F.col(popularity).cast("double").alias("value")))).alias("x")
+        ).select("x.*")
+        med = exact_percentiles(long, "value", [0.5], by=["feature"])
+        s = base.select("*", *[med.filter(F.col("feature") == f).select("p50").scalar().alias(f"{f}_median")
+                               for f in ("year", "pop")])
+    else:
+        agg = F.median if method == "map" else (lambda c: F.percentile_approx(c, 0.5, 100000))
+        s = base.select("*", *[films.select(agg(c)).scalar().alias(f"{f}_median")
+                               for f, c in (("year", year), ("pop", popularity))])
     for p in ("year", "pop"):
         s = s.withColumn(f"{p}_b", curve_b(F.col(f"{p}_max") - F.col(f"{p}_median"),
                                            F.col(f"{p}_max") - F.col(f"{p}_min")))
