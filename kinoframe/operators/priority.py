@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinoframe.operators.quality import exact_percentiles
 from kinoframe.functions.text import (ENGLISH_TITLE_TAG, LIMITED_TAG, ORIGINAL_TITLE_TAG,
                                       RE_RELEASE_TAG, USA_COUNTRY, WORLDWIDE_COUNTRY)
 
@@ -62,7 +63,8 @@ def shortest_text(df: DataFrame, key: str, text: str, pos: str) -> DataFrame:
 
 
 def median_int(df: DataFrame, key: str | Sequence[str], value: str, alias: str | None = None) -> DataFrame:
-    """Median (interpolated), rounded half to even, as int.
-    ``median`` keeps a value -> count map per group, merged map-side."""
+    """Median (interpolated), rounded half to even, as int; the exact
+    median is found by rank, so no group is held by one task."""
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(F.bround(F.median(value), 0).cast("int").alias(alias or value))
+    med = exact_percentiles(df, value, [0.5], by=keys)
+    return med.select(*keys, F.bround(F.col("p50"), 0).cast("int").alias(alias or value))
