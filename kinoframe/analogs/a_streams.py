@@ -10,7 +10,8 @@ from kinoframe.session import work_path
 from kinoframe.sources.tables import TableStore
 from kinoframe.streaming.streams import (current_record, dedupe, file_stream, from_pairs,
                                          partial_snapshot_writer, rate_monitor, read_output,
-                                         read_partial_snapshot, run_available, snapshot_writer)
+                                         read_partial_snapshot, run_available, snapshot_writer,
+                                         upsert_writer)
 
 FOLD_SQL = """
 SELECT user_id,
@@ -35,10 +36,13 @@ def _final(df):
 
 @register("stream_current", FOLD_SQL)
 def stream_current_query(spark, sf_dir):
-    """Streaming fold of partial records (complete mode snapshot)."""
+    """Streaming fold of partial records; update mode, the changed
+    current records upserted into a bucket-partitioned table."""
     s = _log(file_stream(spark, sf_dir, "events.parquet", ts_cols=["ts"]))
     cur = current_record(s, "user_id", ["ts", "event_id"], COLUMNS, keep_first=["first_ts"])
-    return _final(spark.read.parquet(run_available(cur, "current", output_mode="complete")))
+    path = work_path(spark, "current-records")
+    run_available(cur, "current", output_mode="update", batch_fn=upsert_writer(path, "user_id", buckets=16))
+    return _final(spark.read.parquet(path))
 
 
 @register("stream_snapshot_buckets", FOLD_SQL)

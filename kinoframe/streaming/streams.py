@@ -140,6 +140,25 @@ def partial_snapshot_writer(path: str, key: str, order: Sequence[str], columns:
     return process
 
 
+def upsert_writer(path: str, key: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+    """T1 sink for a streaming aggregation in *update* mode: each micro-batch
+    carries the new full rows of the keys that changed; they replace those
+    keys in a bucket-partitioned table, rewriting only the touched buckets.
+    Replacing by key is idempotent, so a replayed batch is harmless."""
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("_bucket", bucket_of(key, buckets))
+        if path_exists(spark, path):
+            touched = new.select("_bucket").distinct()  # at most `buckets` rows
+            prev = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
+            new = prev.join(new.select(key), key, "left_anti").unionByName(new)
+        staged = work_path(spark, f"upsert-stage-{batch_id}")
+        new.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
+        (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_bucket").parquet(path))
+    return process
+
+
 def read_partial_snapshot(spark: SparkSession, path: str, key: str, columns: Sequence[str]) -> DataFrame:
     return from_pairs(spark.read.parquet(path), key, columns)
 

@@ -111,3 +111,21 @@ def test_partial_snapshot_buckets(spark):
     got = sorted(map(tuple, read_partial_snapshot(spark, path, "k", COLS).collect()))
     expect = sorted(map(tuple, fold_log(_log(spark, rows), "k", ["ts", "id"], COLS).collect()))
     assert got == expect
+
+
+def test_streaming_update_mode_multi_batch(spark):
+    from kinoframe.streaming.streams import current_record, file_stream, run_available, upsert_writer
+    folder = work_path(spark, "stream-src")
+    rows = [(k, T0 + dt.timedelta(minutes=m), m * 10 + k, float(m) if (m + k) % 3 else None, f"s{m}" if m % 2 else None)
+            for m in range(6) for k in range(5)]
+    # three landed files, the last one with the oldest rows (late data)
+    for i, part in enumerate([rows[10:20], rows[20:], rows[:10]]):
+        _log(spark, part).coalesce(1).write.parquet(f"{folder}/part{i}")
+        spark.read.parquet(f"{folder}/part{i}").coalesce(1).write.mode("overwrite").parquet(f"{folder}/flat{i}")
+    stream = file_stream(spark, f"{folder}/flat*", "*.parquet", max_files_per_trigger=1)
+    cur = current_record(stream, "k", ["ts", "id"], COLS)
+    path = work_path(spark, "stream-upsert")
+    run_available(cur, "multi", output_mode="update", batch_fn=upsert_writer(path, "k", buckets=3))
+    got = sorted(map(tuple, spark.read.parquet(path).select("k", *COLS).collect()))
+    expect = sorted(map(tuple, fold_log(_log(spark, rows), "k", ["ts", "id"], COLS).collect()))
+    assert got == expect
