@@ -15,6 +15,7 @@ from kinoframe.analogs.common import r6, t, ts_text
 from kinoframe.functions.dates import fractional_year
 from kinoframe.plans.refresh import (RefreshConfig, SOURCES, due, next_updates, period_scores,
                                      population_stats, sequence)
+from kinoframe.session import cut_lineage
 
 AS_OF = "2002-01-01 00:00:00"
 SHAPE = 1.5
@@ -30,7 +31,9 @@ def _films(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
     x = c.join(agg, c.c_custkey == agg.o_custkey, "left")
     year = F.coalesce(F.year("first_date"), F.lit(1995))
-    return x.select(
+    # The film header is read several times (statistics, medians, scores):
+    # derive it once and cut the lineage, as a stored header table would be.
+    return cut_lineage(x.select(
         F.col("c_custkey").alias("crit_id"), year.alias("year"),
         fractional_year(F.col("first_date"), F.lit(None), year).alias("float_year"),
         F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.col("c_acctbal")).alias("crit_popularity"),
@@ -38,7 +41,7 @@ def _films(spark, sf_dir):
         F.col("first_date").cast("timestamp").alias("date_added"),
         F.col("criticker_updated").cast("timestamp").alias("criticker_updated"),
         F.col("omdb_updated").cast("timestamp").alias("omdb_updated"),
-        F.col("imdb_main_updated").cast("timestamp").alias("imdb_main_updated"))
+        F.col("imdb_main_updated").cast("timestamp").alias("imdb_main_updated")), "films")
 
 
 def _jitter_u():
