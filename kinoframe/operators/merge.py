@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinoframe.session import cut_lineage
+
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -39,8 +41,8 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
       non-NULL (same rule as the default, named for clarity).
     Keys only in ``new`` are inserted, keys only in ``old`` are kept.
 
-    Plan: a batch of at most ``small_batch_rows`` rows (counted first) is
-    broadcast, so the big table is neither shuffled nor sorted: a left join
+    Plan: the batch is written once (lineage cut); one of at most
+    ``small_batch_rows`` rows is then broadcast, so the big table is neither shuffled nor sorted: a left join
     updates it in place and the inserts are the batch keys not found by a
     semi join. A larger batch uses one full outer join (both sides hashed
     on the key, or bucketed so that no shuffle is needed).
@@ -63,6 +65,10 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
                 out.append(F.coalesce(F.col(f"_n_{c}"), oc).alias(c))
         return j.select(*keys, *out)
 
+    if small_batch_rows is not None:
+        # The batch is read up to four times below (count, update, semi,
+        # inserts): compute it once into the shared folder (lineage cut).
+        n = cut_lineage(n, "merge-batch")
     if small_batch_rows is not None and n.count() <= small_batch_rows:
         small = F.broadcast(n)
         updated = combine(o.join(small, on=keys, how="left"))

@@ -125,14 +125,19 @@ def unnest_list(df: DataFrame, key: str | Sequence[str], array_col: str,
 
 def unnest_roles(df: DataFrame, key: str, role_lists: dict[str, str],
                  role: str = "role", rank: str = "rank", value: str = "value") -> DataFrame:
-    """B2: several per-role lists (cast, director, writer) to one table
-    with the role as a column and the rank per role."""
-    parts = [unnest_list(df, key, col, rank=rank, value=value, extra={role: r})
-             for r, col in role_lists.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """B2: several per-role lists (cast, director, writer) to one table with
+    the role as a column and the rank per role, in ONE pass: the lists are
+    paired with their role in a literal array and exploded twice (no union,
+    so the nested input is computed and read once)."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("_role"), F.col(c).alias("_list")) for r, c in role_lists.items()])
+    x = df.select(key, F.explode(pairs).alias("_rl"))
+    x = x.select(key, F.col("_rl._role").alias(role), F.posexplode(F.col("_rl._list")).alias("_pos", "_el"))
+    el_type = x.schema["_el"].dataType
+    if isinstance(el_type, StructType):
+        vals = [F.col("_el")[f.name].alias(f.name) for f in el_type.fields]
+    else:
+        vals = [F.col("_el").alias(value)]
+    return x.select(key, role, *vals, (F.col("_pos") + 1).alias(rank))
 
 
 def unnest_map(df: DataFrame, key: str, map_col: str, key_name: str,
