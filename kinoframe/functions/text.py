@@ -57,7 +57,7 @@ def parse_release(s) -> Column:
     n = F.size(all_tags)
     last_two = F.when(n > 2, F.slice(all_tags, -2, 2)).otherwise(all_tags)
     kept = F.filter(last_two, lambda x: x != F.lit(""))
-    matched = F.regexp_like(v, F.lit(r"(?s).*::.*"))
+    matched = v.contains("::")
     return F.when(matched, F.struct(
         country.alias("country"),
         parse_loose_date(date_txt).alias("date"),
