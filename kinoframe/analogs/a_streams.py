@@ -94,9 +94,13 @@ SELECT window_start, source_group, n, cap, n > cap AS over_cap
           FROM events GROUP BY 1, 2, 4)
 """)
 def stream_rate_query(spark, sf_dir):
-    """T4: per source group and tumbling hour, the count against the cap."""
+    """T4: per source group and tumbling hour, the count against the cap;
+    update mode, changed (hour, group) rows upserted by key."""
     s = file_stream(spark, sf_dir, "events.parquet", ts_cols=["ts"])
     r = rate_monitor(s, "ts", "event_type", CAPS)
-    out = spark.read.parquet(run_available(r, "rate", output_mode="complete"))
+    path = work_path(spark, "rate")
+    run_available(r, "rate", output_mode="update",
+                  batch_fn=upsert_writer(path, ["window_start", "source_group"], buckets=16))
+    out = spark.read.parquet(path)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "source_group", "n", "cap", "over_cap")

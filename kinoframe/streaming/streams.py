@@ -109,8 +109,9 @@ def snapshot_writer(store: TableStore, table: str, key: str, order: Sequence[str
     return process
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+def bucket_of(key, buckets: int) -> Column:
+    keys = [key] if isinstance(key, str) else list(key)
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
 def partial_snapshot_writer(path: str, key: str, order: Sequence[str], columns: Sequence[str],
@@ -127,6 +128,8 @@ def partial_snapshot_writer(path: str, key: str, order: Sequence[str], columns:
     """
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
         new = to_pairs(batch, key, order, columns).withColumn("_bucket", bucket_of(key, buckets))
         if path_exists(spark, path):
             touched = new.select("_bucket").distinct()  # at most `buckets` rows
@@ -140,18 +143,21 @@ def partial_snapshot_writer(path: str, key: str, order: Sequence[str], columns:
     return process
 
 
-def upsert_writer(path: str, key: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
+def upsert_writer(path: str, key, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """T1 sink for a streaming aggregation in *update* mode: each micro-batch
     carries the new full rows of the keys that changed; they replace those
     keys in a bucket-partitioned table, rewriting only the touched buckets.
     Replacing by key is idempotent, so a replayed batch is harmless."""
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("_bucket", bucket_of(key, buckets))
+        if batch.isEmpty():  # e.g. a batch that only moved the watermark
+            return
+        keys = [key] if isinstance(key, str) else list(key)
+        new = batch.withColumn("_bucket", bucket_of(keys, buckets))
         if path_exists(spark, path):
             touched = new.select("_bucket").distinct()  # at most `buckets` rows
             prev = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
-            new = prev.join(new.select(key), key, "left_anti").unionByName(new)
+            new = prev.join(new.select(*keys), keys, "left_anti").unionByName(new)
         staged = work_path(spark, f"upsert-stage-{batch_id}")
         new.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
         (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
