@@ -129,3 +129,10 @@ def test_streaming_update_mode_multi_batch(spark):
     got = sorted(map(tuple, spark.read.parquet(path).select("k", *COLS).collect()))
     expect = sorted(map(tuple, fold_log(_log(spark, rows), "k", ["ts", "id"], COLS).collect()))
     assert got == expect
+
+
+def test_exploration_grid_size(spark):
+    from kinoframe.plans.models import SEEN_PRODUCTION, _forest, param_grid
+    forest = _forest("classifier", SEEN_PRODUCTION, "rated")
+    assert len(param_grid(forest, SEEN_PRODUCTION, full_grid=True)) == 18
+    assert len(param_grid(forest, SEEN_PRODUCTION)) == 1
