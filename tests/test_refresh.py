@@ -108,3 +108,18 @@ def test_schedule_on_film_header(spark):
     plan = schedule(film_refresh_input(movies), RefreshConfig(), AS_OF, n=30).collect()
     assert 0 < len(plan) <= 30
     assert [r["arrival"] for r in plan] == sorted(r["arrival"] for r in plan)
+
+
+def test_prefix_sum_spreads_a_hot_group(spark):
+    from pyspark.sql import Window
+    from kinoframe.operators.prefix import running_sum
+    # one group holds 90% of the rows
+    df = spark.range(0, 20000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"),
+                                      F.col("id").alias("o"), F.lit(1.0).alias("v"))
+    got = running_sum(df, "g", ["o"], "v", "cum", partitions=8)
+    ref = df.withColumn("cum_ref", F.sum("v").over(Window.partitionBy("g").orderBy("o")))
+    assert got.join(ref, ["g", "o"]).filter(F.col("cum") != F.col("cum_ref")).count() == 0
+    # the hot group is cut into several range slices, i.e. several tasks
+    slices = (df.repartitionByRange(8, "g", "o").withColumn("s", F.spark_partition_id())
+              .filter("g = 'hot'").select("s").distinct().count())
+    assert slices >= 4
