@@ -248,6 +248,8 @@ class BucketedStore(TableStore):
         return f"{self.database}.{name}__{version}"
 
     def write(self, name: str, df: DataFrame, version: str | None = None) -> str:
+        if self.key not in df.columns:  # tables without the film key (genre catalogue)
+            return super().write(name, df, version)
         version = version or f"v{int(time.time() * 1000):015d}"
         path = f"{self.root}/{name}/{version}"
         table = self._table(name, version)
