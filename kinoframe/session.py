@@ -96,14 +96,20 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; otherwise leave the choice to AQE.
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
-    The count is one cheap pass over a small side. Beyond the bound the join
-    falls back to a shuffle (sort-merge or shuffled hash, chosen at runtime).
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it; otherwise leave the choice to AQE.
+
+    One pass counts the rows and the bytes of their JSON form (an upper-ish
+    bound of the serialised size). Beyond either bound the join falls back
+    to a shuffle (sort-merge or shuffled hash, chosen at runtime).
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= max_rows and row["b"] <= max_bytes else df
 
 
 def fixed_broadcast(df: DataFrame) -> DataFrame:
