@@ -35,8 +35,10 @@ def apply_conf(spark: SparkSession, conf: dict[str, str] = CLUSTER_CONF) -> None
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app: str = "kinoframe") -> SparkSession:
-    """Session used by tests and the bench (the cluster passes its own)."""
+                  app: str = "kinoframe", event_log_dir: str | None = None) -> SparkSession:
+    """Session used by tests and the bench (the cluster passes its own).
+    ``event_log_dir`` writes Spark's event log there (stage and task times,
+    read offline; the web UI stays off)."""
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -50,6 +52,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
