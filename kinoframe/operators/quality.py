@@ -89,5 +89,6 @@ def step_counts(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame
         acc = acc & cond
         aggs.append(F.count_if(F.coalesce(acc, F.lit(False))).alias(f"_s{i}"))
     wide = df.agg(*aggs)
-    pairs = ", ".join(f"{i}L, '{name}', _s{i}" for i, (name, _c) in enumerate(steps))
-    return wide.selectExpr(f"stack({len(steps)}, {pairs}) AS (step_no, step, n)")
+    pairs = [x for i, (name, _c) in enumerate(steps)
+             for x in (F.lit(i).cast("long"), F.lit(name), F.col(f"_s{i}"))]
+    return wide.select(F.stack(F.lit(len(steps)), *pairs).alias("step_no", "step", "n"))
