@@ -83,7 +83,10 @@ def apply_film_batch(t: dict[str, DataFrame], batch: DataFrame) -> dict[str, Dat
     """Apply a batch of partial nested film records (any subset of the
     header columns plus any nested lists) to all tables: header null-safe
     merge (date_added kept first), ratings deep-merged entry by entry, other
-    children replaced per film where the batch supplies the list."""
+    children replaced per film where the batch supplies the list. Rows
+    without a film key are left out (U9: report them with
+    ``merge.quarantine(batch, "crit_id")``) instead of failing the batch."""
+    batch = batch.filter(F.col(KEY).isNotNull())
     header_cols = [c for c in HEADER_COLUMNS if c in batch.columns and c != KEY]
     new_t = dict(t)
     new_t["movies"] = merge_null_safe(t["movies"], batch.select(KEY, *header_cols), KEY,

@@ -67,7 +67,8 @@ def test_roundtrip(spark):
 def test_apply_batch(spark):
     t = tables(spark)
     batch = spark.createDataFrame(
-        [(1234, None, 2000, ["Dutch"], {"ann": {"psi": 60.0, "pred_score": 1.0}}, dt.datetime(2019, 1, 1))],
+        [(1234, None, 2000, ["Dutch"], {"ann": {"psi": 60.0, "pred_score": 1.0}}, dt.datetime(2019, 1, 1)),
+         (None, "no key", 1990, ["Xx"], None, None)],
         "crit_id int, title string, year int, languages array<string>, "
         "my_ratings map<string,map<string,double>>, date_added timestamp")
     new = apply_film_batch(t, batch)
