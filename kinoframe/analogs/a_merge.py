@@ -278,3 +278,19 @@ def row_counts_query(spark, sf_dir):
                            ("typed", F.col("event_type").isin("click", "view", "purchase")),
                            ("valued", F.col("value") > 10)])
     return out.select(F.col("step_no").cast("int").alias("step_no"), "step", "n")
+
+
+@register("weibull_percentiles", """
+WITH d AS (SELECT pow(-ln(1.0 - ((c_custkey * 7919) % 1000 + 0.5) / 1000.0), 1.0 / 1.1) AS draw FROM customer)
+SELECT round(pow(10, quantile_cont(draw, 0.1)) - 1, 6) AS p10,
+       round(pow(10, quantile_cont(draw, 0.5)) - 1, 6) AS p50,
+       round(pow(10, quantile_cont(draw, 0.9)) - 1, 6) AS p90
+  FROM d
+""")
+def weibull_percentiles_query(spark, sf_dir):
+    """A19 on drawn values: one Weibull(1.1) draw per customer (repeatable
+    closed-form uniform), percentiles 10/50/90 reported as 10^p - 1."""
+    u = ((F.col("c_custkey") * 7919) % 1000 + 0.5) / 1000.0
+    draws = t(spark, sf_dir, "customer").select(F.pow(-F.log(1.0 - u), 1.0 / 1.1).alias("draw"))
+    p = percentiles(draws, "draw")
+    return p.select(*[r6(F.pow(F.lit(10.0), F.col(c)) - 1).alias(c) for c in ("p10", "p50", "p90")])
