@@ -7,6 +7,7 @@ its task, so there is no shuffle and no group that could become hot.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -214,6 +215,16 @@ def blocks(batch: pa.RecordBatch, column: str, block_bytes: int = BLOCK_BYTES) -
         lo = hi
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (a checkout on a shared path; an installed package needs nothing)."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [home])
+
+
 def annotate(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]],
              work: Callable[[Block], dict[str, object]], keep: list[str] | None = None,
              block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -223,6 +234,7 @@ def annotate(df: DataFrame, text_col: str, add: list[tuple[str, T.DataType]],
     named as a result (in any case) gives way to it. No shuffle; an empty
     table gives an empty table; a null text is an empty one.
     """
+    importable(df.sparkSession)
     names = {n.lower() for n, _ in add}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     fields = [df.schema[c] for c in keep] + [T.StructField(n, t) for n, t in add]
