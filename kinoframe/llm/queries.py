@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinoframe.llm import bpe, decontaminate, license_scan, quality, secret_scan
+from kinoframe.llm import bpe, decontaminate, license_scan, quality, secret_scan, toxicity, warc
 from kinoframe.llm.shards import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs, keep=["doc_id"])
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,3 +57,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
