@@ -63,15 +63,21 @@ class Polynomial:
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A fingerprint of data[s:e] for each span; spans ascend, and memory
         stays at a segment of the data plus eight bytes a span."""
-        out = np.empty(len(starts), dtype=np.uint64)
+        return self.prefixes(data, starts, ends, [])[0]
+
+    def prefixes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+                 stops: list[np.ndarray]) -> list[np.ndarray]:
+        """Fingerprints of the spans, and of their parts up to each of stops."""
+        out = [np.empty(len(starts), dtype=np.uint64) for _ in range(1 + len(stops))]
         at = 0
         while at < len(starts):
             lo = int(starts[at])
             upto = max(at + 1, int(np.searchsorted(ends, lo + _SEGMENT, "right")))
             s, e = starts[at:upto] - lo, ends[at:upto] - lo
             sums = self.sums(data[lo:lo + int(e[-1])])
-            raw = (sums[e] - sums[s]) * self.powers(len(sums))[0][s]
-            out[at:upto] = _mixed(raw + (e - s).astype(np.uint64))
+            shift = self.powers(len(sums))[0][s]
+            for made, stop in zip(out, [e, *(x[at:upto] - lo for x in stops)]):
+                made[at:upto] = _mixed((sums[stop] - sums[s]) * shift + (stop - s).astype(np.uint64))
             at = upto
         return out
 

@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinoframe.llm.shards import (LOWER, POLY, Block, annotate, byte_class, column_bytes, importable, written)
+from kinoframe.llm.shards import (LOWER, POLY, WORD_BYTES, Block, annotate, byte_class, column_bytes, importable, written)
 
 
 SAMPLE_DOCS = 20_000       # bound of the labelled sample that the model is fitted on
 THRESHOLD = 0.3
-MIN_SUPPORT, MIN_PRECISION = 8, 0.9
+MIN_SUPPORT, MIN_PRECISION = 8, 0.6
+SHORT_STEM_PRECISION = 0.95   # of stems of three characters
 CLAUSE_WORDS = 12          # how far a clause reaches on either side of a matched word
-STEMS = (4, 5)
+STEMS = (3, 4, 5, 6, 7, 8)
 
 # Small closed word classes in the four languages of the corpus.
 TARGETS = "you your yours u he she they them him her du dich dir ihr euch sie tu te toi vous eres usted ustedes tú ti".split()
@@ -140,31 +141,33 @@ class Model:
         return {"lexicon": self.lexicon, "coefficients": self.coefficients, "_tables": None}
 
     def features(self, block: Block) -> np.ndarray:
-        """For each text the log of the weights matched in each way."""
+        """For each text the log of the weights matched in each way, and of the
+        weight in a hundred words."""
         lexicon, symbols = self.tables()
         data = LOWER[block.data]
-        words = block.words()
-        weight = lexicon[0].get(words.hash)
-        if any(len(lexicon[n].keys) for n in STEMS):
-            letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            first = np.searchsorted(letters, words.starts)
-            for n in STEMS:
-                stop = letters[np.minimum(first + n, len(letters) - 1)]
-                longer = np.flatnonzero(stop < words.ends)   # a stem is followed by more
-                found = lexicon[n].get(POLY.spans(data, words.starts[longer], stop[longer]))
-                weight[longer] = np.maximum(weight[longer], found)
-        kinds = symbols.get(words.hash)
+        starts, ends = block.runs(WORD_BYTES[data])
+        first_word = np.searchsorted(starts, block.off)
+        letters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        first = np.searchsorted(letters, starts)
+        used = [n for n in STEMS if len(lexicon[n].keys)]
+        stops = [np.minimum(letters[np.minimum(first + n, len(letters) - 1)], ends) for n in used]
+        marks, *stems = POLY.prefixes(data, starts, ends, stops)
+        weight = lexicon[0].get(marks)
+        for n, stop, stem in zip(used, stops, stems):
+            longer = np.flatnonzero(stop < ends)   # a stem is followed by more
+            weight[longer] = np.maximum(weight[longer], lexicon[n].get(stem[longer]))
+        kinds = symbols.get(marks)
         centre = np.flatnonzero((weight > 0) | (kinds == THREAT))
-        out = np.zeros((block.n, len(WAYS)))
+        out = np.zeros((block.n, len(WAYS) + 1))
         if not len(centre):
             return out
         breaks = np.concatenate([np.flatnonzero(BREAK[data]), block.off])
         breaks.sort()
-        cut = np.searchsorted(breaks, words.starts[centre], "right")
-        lo = np.searchsorted(words.starts, breaks[cut - 1])
-        hi = np.searchsorted(words.starts, breaks[np.minimum(cut, len(breaks) - 1)])
+        cut = np.searchsorted(breaks, starts[centre], "right")
+        lo = np.searchsorted(starts, breaks[cut - 1])
+        hi = np.searchsorted(starts, breaks[np.minimum(cut, len(breaks) - 1)])
         lo, hi = np.maximum(lo, centre - CLAUSE_WORDS), np.minimum(hi, centre + CLAUSE_WORDS + 1)
-        doc = np.searchsorted(words.first, centre, "right") - 1
+        doc = np.searchsorted(first_word, centre, "right") - 1
         at = {w: k for k, w in enumerate(WAYS)}
         for c, a, b, d in zip(centre.tolist(), lo.tolist(), hi.tolist(), doc.tolist()):
             marked = [INSULT if w else k for w, k in zip(weight[a:b].tolist(), kinds[a:b].tolist())]
@@ -174,6 +177,7 @@ class Model:
                 out[d, at[said[c - a]]] += weight[c]
             elif MENACE in said[c - a:]:
                 out[d, at[MENACE]] += 1.0
+        out[:, -1] = 100 * out.sum(axis=1) / np.maximum(np.diff(first_word), 1)
         return np.log1p(out)
 
     def score(self, block: Block) -> np.ndarray:
@@ -241,7 +245,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     counts = (sample.mapInArrow(count, "feature string, n long, k long").groupBy("feature")
               .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-              .where((F.col("n") >= MIN_SUPPORT) & (F.col("k") >= MIN_PRECISION * F.col("n"))))
+              .where((F.col("n") >= MIN_SUPPORT) & (F.col("k") >= F.col("n") * F.when(
+                  F.col("feature").endswith("*") & (F.length("feature") == 4), SHORT_STEM_PRECISION)
+                  .otherwise(MIN_PRECISION))))
     candidates = {r[0]: (r[1], r[2]) for r in counts.collect()}   # bounded by the sample
 
     def contexts(batches):
@@ -267,12 +273,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         if support.get(f, 0) >= MIN_SUPPORT:
             odds = math.log((k + 0.5) / (toxic + 1)) - math.log((n - k + 0.5) / (total - toxic + 1))
             if odds > 1:
-                lexicon[f] = odds
-    model = Model(lexicon, np.zeros(1 + len(WAYS)))
+                lexicon[f] = odds - 1
+    model = Model(lexicon, np.zeros(2 + len(WAYS)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = annotate(sample, "__text", [("__x", T.ArrayType(T.DoubleType()))],
                     lambda b: {"__x": list(shared.value.features(b))}, keep=["__toxic"]).collect()
-    x = np.array([r["__x"] for r in rows]).reshape(len(rows), len(WAYS))
+    x = np.array([r["__x"] for r in rows]).reshape(len(rows), len(WAYS) + 1)
     model.coefficients = fit_logistic(x, np.array([r["__toxic"] for r in rows], float))
     return model
 
