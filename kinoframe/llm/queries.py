@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinoframe.llm import bpe, decontaminate, license_scan, quality, secret_scan, toxicity, warc
+from kinoframe.llm import bpe, decontaminate, license_scan, quality, secret_scan, suffix_dedup, toxicity, warc
 from kinoframe.llm.shards import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
