@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinoframe.llm import bpe, decontaminate, license_scan, quality, secret_scan, suffix_dedup, toxicity, warc
+from kinoframe.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, quality, secret_scan, suffix_dedup, toxicity, warc
 from kinoframe.llm.shards import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = line_dedup.dedup_lines(docs)
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, verdict = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return verdict.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")

@@ -215,7 +215,7 @@ def shard_table(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, b
 
 
 def _bucketed(df: DataFrame, buckets: int, name: str) -> DataFrame:
-    table = f"llm_{name}_{uuid.uuid4().hex}"
+    table = f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     (df.write.format("parquet").bucketBy(buckets, "shard").option("compression", "zstd")
      .option("path", work_path(df.sparkSession, name)).saveAsTable(table))
     return df.sparkSession.table(table)
