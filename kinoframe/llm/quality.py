@@ -68,6 +68,8 @@ class Texts:
         cut = np.flatnonzero(b.data == NEWLINE)
         starts = np.unique(np.concatenate([b.off[:-1], cut + 1]))
         starts = starts[starts < len(b.data)]
+        if not len(starts):
+            return starts, np.zeros(0, np.uint64), starts
         ends = np.minimum(np.append(starts[1:], len(b.data)), len(b.data))
         # a line ends before its newline; one that a text's end cuts has none
         ends = ends - (b.data[ends - 1] == NEWLINE)
