@@ -57,12 +57,6 @@ def years_since(ts, as_of) -> Column:
     return whole_days(ts, ts_lit(as_of)) / F.lit(DAYS_PER_YEAR)
 
 
-def shift_weeks(ts, weeks) -> Column:
-    """Timestamp + fractional weeks, at microsecond precision."""
-    micros = F.unix_micros(_c(ts).cast("timestamp")) + F.round(_c(weeks) * F.lit(MICROS_PER_WEEK)).cast("long")
-    return F.timestamp_micros(micros)
-
-
 # Thresholds (seconds) of the relative age label, with the unit
 # used above each one; between thresholds the count is floored, at least 2.
 AGE_LADDER = [

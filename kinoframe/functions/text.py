@@ -79,8 +79,8 @@ def parse_aka(s) -> Column:
 def parse_votes(s) -> Column:
     """An integer, else the digits inside '(1,234)', else NULL."""
     v = _c(s)
-    inner = F.regexp_replace(F.regexp_extract(v, r"\(([0-9,]+)\)", 1), ",", "")
-    return F.coalesce(v.try_cast("bigint"), F.nullif(inner, F.lit("")).try_cast("bigint"))
+    inner = F.when(v.contains("("), F.substring_index(F.substring_index(v, "(", -1), ")", 1))
+    return F.coalesce(v.try_cast("bigint"), F.translate(inner, ",", "").try_cast("bigint"))
 
 
 def to_int_or_null(s) -> Column:
@@ -96,13 +96,19 @@ def display_name(name) -> Column:
                   ).otherwise(v)
 
 
+# Words that begin a surname, and names that come before them.
+SURNAME_PREFIXES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "ten", "ter", "el", "al"]
+
+
 def canonical_name(name) -> Column:
-    """N5: 'First Last' -> 'Last, First' (last word is the surname);
-    already canonical or one-word names are unchanged."""
-    v = F.trim(_c(name))
-    last = F.regexp_extract(v, r"^(.*)\s+(\S+)$", 2)
-    first = F.regexp_extract(v, r"^(.*)\s+(\S+)$", 1)
-    return F.when(v.contains(", ") | (last == ""), v).otherwise(F.concat_ws(", ", last, first))
+    """N5: 'First Last' -> 'Last, First'. The surname is the last word with
+    the prefixes right before it ('Anna van der Berg' -> 'van der Berg,
+    Anna'); a name keeps at least one word before the surname. Already
+    canonical or one-word names are unchanged."""
+    v = F.regexp_replace(F.trim(_c(name)), r"\s+", " ")
+    pattern = rf"^(\S.*?) ((?:(?:{'|'.join(SURNAME_PREFIXES)}) )*\S+)$"
+    first, last = F.regexp_extract(v, "(?i)" + pattern, 1), F.regexp_extract(v, "(?i)" + pattern, 2)
+    return F.when(v.contains(", ") | (last == ""), F.trim(_c(name))).otherwise(F.concat_ws(", ", last, first))
 
 
 def person_record(person) -> Column:
@@ -123,9 +129,11 @@ def people_list(arr) -> Column:
 
 
 def strip_author(s) -> Column:
-    """N8: 'plot text::author' -> 'plot text' (up to the first '::').
-    Multi-line texts are handled whole (dot matches newlines)."""
-    return F.regexp_extract(F.trim(_c(s)), r"(?s)^(.+?)(::(.*))?$", 1)
+    """N8: 'plot text::author' -> 'plot text' (up to the first '::'); a text
+    that begins with the mark stays whole."""
+    v = F.trim(_c(s))
+    plot = F.substring_index(v, "::", 1)
+    return F.when(plot == "", v).otherwise(plot)
 
 
 def pad_id(i, width: int = 7) -> Column:

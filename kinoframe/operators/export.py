@@ -51,13 +51,16 @@ class ListAgg:
 
 @dataclass(frozen=True)
 class CondAvg:
-    """``avg(value)`` over the rows satisfying ``where`` (a pivot cell)."""
+    """``avg(value)`` over the rows satisfying ``where`` (a pivot cell): SQL
+    text, or a Column where it holds a value from outside."""
 
     alias: str
     value: str
-    where: str
+    where: str | Column
 
     def column(self) -> Column:
+        if isinstance(self.where, Column):
+            return F.avg(F.when(self.where, F.col(_q(self.value)))).alias(self.alias)
         return F.expr(f"avg({_q(self.value)}) FILTER (WHERE {self.where})").alias(self.alias)
 
 
@@ -76,10 +79,13 @@ def aggregate_child(part: ChildPart, key: str) -> DataFrame:
         df = df.filter(part.prefilter)
     else:
         wheres = [a.where for a in part.aggs]
-        if wheres and all(wheres):
+        if wheres and all(w is not None for w in wheres):
             # Every aggregate is filtered: rows matching none of them can go
             # before the shuffle (and into the Parquet scan as a pushed filter).
-            df = df.filter(" OR ".join(f"({w})" for w in wheres))
+            any_of = F.lit(False)
+            for w in wheres:
+                any_of = any_of | (w if isinstance(w, Column) else F.expr(w))
+            df = df.filter(any_of)
     return df.groupBy(key).agg(*[a.column() for a in part.aggs])
 
 
@@ -93,8 +99,3 @@ def wide_export(header: DataFrame, key: str, parts: Sequence[ChildPart],
     for part in parts:
         out = out.join(aggregate_child(part, key), on=key, how="left")
     return out
-
-
-def conditional_pivot(df: DataFrame, key: str, value: str, cells: dict[str, str]) -> DataFrame:
-    """Pivot to one column per named predicate: ``{alias: predicate}``."""
-    return df.groupBy(key).agg(*[CondAvg(a, value, w).column() for a, w in cells.items()])

@@ -79,23 +79,23 @@ def recent_first(df: DataFrame, id_col: str, stamp_cols: Sequence[str], n: int =
     return df.withColumn("last_touched", g).orderBy(F.col("last_touched").desc(), F.col(id_col)).limit(n)
 
 
-def fibonacci(n: int) -> int:
-    a, b = 0, 1
-    for _ in range(n):
-        a, b = b, a + b
-    return a
+GOLDEN = (1 + 5 ** 0.5) / 2
+
+
+def _nth_fibonacci(n: int) -> int:
+    """Closed form; exact for the handful of bands of a tier table."""
+    return round(GOLDEN ** n / 5 ** 0.5)
 
 
 def popularity_tiers(spark: SparkSession, start_popularity: int, as_of_year: int,
                      top: int = 10) -> DataFrame:
-    """P16 tier table (at most ``top`` rows, built from the rule): band p
-    keeps films from year >= cutoff(p); cutoff(start) = as_of_year + 1 - F(2),
-    and each next band subtracts the next Fibonacci number."""
-    rows, year = [], as_of_year + 1
-    for i, p in enumerate(range(start_popularity, top + 1)):
-        year -= fibonacci(i + 2)
-        rows.append((p, year))
-    return spark.createDataFrame(rows, "band int, min_year int")
+    """P16 tier table (at most ``top`` rows, from the rule): the band at step
+    i above the first keeps films from year as_of_year + 3 - F(i + 4) on,
+    F being the Fibonacci numbers (their sums telescope)."""
+    bands = spark.range(start_popularity, top + 1).select(F.col("id").cast("int").alias("band"))
+    years = F.create_map(*[F.lit(x) for i, p in enumerate(range(start_popularity, top + 1))
+                           for x in (p, as_of_year + 3 - _nth_fibonacci(i + 4))])
+    return bands.select("band", years[F.col("band")].alias("min_year"))
 
 
 def tier_select(df: DataFrame, band_col: str, year_col: str, tiers: DataFrame) -> DataFrame:
@@ -127,8 +127,3 @@ def append_frames(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
-
-
-def top_k(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
-    """Top ``k`` by score descending, key as tie-break."""
-    return df.orderBy(F.col(score).desc_nulls_last(), F.col(key)).limit(k)

@@ -15,8 +15,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinoframe.session import cut_lineage
-
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -30,7 +28,7 @@ def header_projection(df: DataFrame, header_cols: Sequence[str]) -> DataFrame:
 
 def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str] | None = None,
                     keep_first: Sequence[str] = (), supplied: Sequence[str] | None = None,
-                    replace_whole: Sequence[str] = (), small_batch_rows: int | None = 1_000_000) -> DataFrame:
+                    replace_whole: Sequence[str] = (), order: Sequence[str] | None = None) -> DataFrame:
     """Merge partial records ``new`` into ``old`` on ``key``.
 
     * default: new value wins unless it is NULL (``coalesce(new, old)``);
@@ -41,12 +39,17 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
       non-NULL (same rule as the default, named for clarity).
     Keys only in ``new`` are inserted, keys only in ``old`` are kept.
 
-    Plan: the batch is written once (lineage cut); one of at most
-    ``small_batch_rows`` rows is then broadcast, so the big table is neither shuffled nor sorted: a left join
-    updates it in place and the inserts are the batch keys not found by a
-    semi join. A larger batch uses one full outer join (both sides hashed
-    on the key, or bucketed so that no shuffle is needed).
+    A batch may hold a key more than once: with ``order`` (columns of
+    ``new``; ``[]``: the rows' arrival) it is folded first (:func:`fold_log`),
+    so the latest non-NULL value wins, as if it had been applied row by row.
+
+    Plan: one full outer join on the key at every size (both sides hashed on
+    it, or bucketed so that no shuffle is needed). Rows without a key match
+    nothing; they pass by the join, so they never gather in one task.
     """
+    if order is not None:
+        new, order = (new, list(order)) if order else (new.withColumn("_seq", F.monotonically_increasing_id()), ["_seq"])
+        new = fold_log(new, key, order, [c for c in new.columns if c not in _keys(key) and c not in order], keep_first)
     keys = _keys(key)
     cols = list(columns) if columns is not None else [c for c in old.columns if c not in keys]
     upd = set(supplied) if supplied is not None else set(new.columns)
@@ -65,19 +68,14 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
                 out.append(F.coalesce(F.col(f"_n_{c}"), oc).alias(c))
         return j.select(*keys, *out)
 
-    if small_batch_rows is not None:
-        # The batch is read up to four times below (count, update, semi,
-        # inserts): compute it once into the shared folder (lineage cut).
-        n = cut_lineage(n, "merge-batch")
-    if small_batch_rows is not None and n.count() <= small_batch_rows:
-        small = F.broadcast(n)
-        updated = combine(o.join(small, on=keys, how="left"))
-        found = o.select(*keys).join(F.broadcast(n.select(*keys)), on=keys, how="left_semi")
-        inserts = n.join(F.broadcast(found), on=keys, how="left_anti")
-        inserted = combine(inserts.select(*keys, *[F.lit(None).cast(old.schema[c].dataType).alias(f"_o_{c}")
-                                                   for c in cols], *[c for c in inserts.columns if c not in keys]))
-        return updated.unionByName(inserted)
-    return combine(o.join(n, on=keys, how="full_outer"))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    nothing = lambda side, prefix: [F.lit(None).cast(side.schema[c].dataType).alias(c)
+                                    for c in side.columns if c.startswith(prefix)]
+    joined = combine(o.where(~no_key).join(n.where(~no_key), on=keys, how="full_outer"))
+    return (joined.unionByName(combine(o.where(no_key).select("*", *nothing(n, "_n_"))))
+            .unionByName(combine(n.where(no_key).select("*", *nothing(o, "_o_")))))
 
 
 def merge_entries(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,9 +148,10 @@ def quarantine(df: DataFrame, key, parent: DataFrame | None = None,
     if parent is not None:
         pk = parent_key or keys[0]
         present = parent.select(F.col(pk).alias("_pk")).distinct().withColumn("_hit", F.lit(True))
-        out = out.join(present, F.col(keys[0]) == F.col("_pk"), "left").drop("_pk")
-        tag = (F.when(null_key, "null_key").when(F.col("_hit").isNull(), "orphan").otherwise("ok"))
-        return out.withColumn(reason, tag).drop("_hit")
+        # rows without a key are tagged before the join: as one key they would meet in one task
+        keyed = out.where(~null_key).join(present, F.col(keys[0]) == F.col("_pk"), "left").drop("_pk")
+        keyed = keyed.withColumn(reason, F.when(F.col("_hit").isNull(), "orphan").otherwise("ok")).drop("_hit")
+        return keyed.unionByName(out.where(null_key).withColumn(reason, F.lit("null_key")))
     return out.withColumn(reason, F.when(null_key, "null_key").otherwise("ok"))
 
 
@@ -163,7 +162,7 @@ def apply_batch(header: DataFrame, children: dict[str, DataFrame], batch: DataFr
     unnest of that list); returns (new_header, {name: new_child})."""
     new_header = merge_null_safe(header, header_projection(batch, [key, *header_cols]), key,
                                  columns=[c for c in header.columns if c != key],
-                                 keep_first=keep_first)
+                                 keep_first=keep_first, order=[])
     new_children = {name: replace_children(children[name], fn(batch), key)
                     for name, fn in child_specs.items()}
     return new_header, new_children

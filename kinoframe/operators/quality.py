@@ -31,24 +31,25 @@ def find_orphans(child: DataFrame, parent: DataFrame, key: str,
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float] = (0.1, 0.5, 0.9),
                       by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles (linear interpolation, like numpy / DuckDB's
-    ``quantile_cont``) without holding any group in one task: every value
-    gets its rank within its group from the two-level prefix sum (range
-    partitioning), then only the 2 x len(probs) rows per group at the
-    needed ranks are picked and interpolated."""
+    ``quantile_cont``) without holding any group in one task: rows are first
+    counted per (group, value), map-side, so ties and repeated values weigh
+    one row; the counts' two-level prefix sum gives each value its ranks, and
+    only the values at the 2 x len(probs) wanted ranks of a group are kept."""
     g = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
-    x = (df.select(g.alias("_g"), F.col(col).cast("double").alias("_v"))
-           .filter(F.col("_v").isNotNull()).withColumn("_one", F.lit(1.0)))
-    ranked = running_sum(x, "_g", ["_v"], "_one", "_rank")
-    n = x.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    x = (df.select(g.alias("_g"), F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+           .groupBy("_g", "_v").agg(F.count(F.lit(1)).cast("double").alias("_c")))
+    ranked = running_sum(x, "_g", ["_v"], "_c", "_rank")
+    n = ranked.groupBy("_g").agg(F.max("_rank").alias("_n"))
     wanted = []
     for i, p in enumerate(probs):
         h = F.lit(float(p)) * (F.col("_n") - 1)
         wanted.append(F.struct(F.lit(i).alias("_p"), (F.floor(h) + 1).cast("double").alias("_lo"),
                                (F.ceil(h) + 1).cast("double").alias("_hi"), (h - F.floor(h)).alias("_frac")))
     targets = n.select("_g", F.explode(F.array(*wanted)).alias("t")).select("_g", "t.*")
-    ranks = targets.select("_g", "_p", "_frac", F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
+    ranks = targets.select(F.col("_g").alias("_tg"), "_p", "_frac", F.explode(F.array("_lo", "_hi")).alias("_want")).distinct()
     # groups x probs x 2 rows: AQE broadcasts it from its measured size
-    picked = ranked.join(ranks, ["_g", "_rank"], "inner")
+    picked = ranked.join(ranks, F.col("_g").eqNullSafe(F.col("_tg")) & (F.col("_want") <= F.col("_rank"))
+                         & (F.col("_want") > F.col("_rank") - F.col("_c")), "inner")
     per = picked.groupBy("_g", "_p").agg(F.min("_v").alias("_vlo"), F.max("_v").alias("_vhi"),
                                           F.first("_frac").alias("_frac"))
     per = per.withColumn("_val", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo")))

@@ -4,15 +4,18 @@ records, and the key checks (B1-B7, J1, J2, U1-U7, S9, S10)."""
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoframe.operators.export import ChildPart, CondAvg, ListAgg, wide_export
-from kinoframe.operators.merge import merge_entries, merge_null_safe, replace_children
+from kinoframe.operators.merge import fold_log, merge_entries, merge_nested_maps, merge_null_safe, replace_children
 from kinoframe.operators.nest import (attach, nest_by_role, nest_map, nest_map2, nest_values,
                                       unnest_list, unnest_map, unnest_map2, unnest_roles)
 from kinoframe.operators.quality import check_unique, find_orphans
 from kinoframe.schemas import CHILD_TABLES, HEADER_COLUMNS, KEYS, ROLES
+from kinoframe.session import cut_lineage
 
 KEY = "crit_id"
 # Export list limits per role, and the score types pivoted.
@@ -35,9 +38,9 @@ def film_wide_export(t: dict[str, DataFrame], user: str) -> DataFrame:
     persons = ChildPart(t["persons"], [
         ListAgg(alias, "name", ["rank"], f"role = '{role}' AND rank <= {limit}")
         for role, (alias, limit) in ROLE_LIMITS.items()])
-    user_lit = user.replace("'", "''")
     ratings = ChildPart(t["ratings"], [
-        CondAvg(f"{ty}_{user}", "score", f"user = '{user_lit}' AND type = '{ty}'") for ty in PIVOT_TYPES])
+        CondAvg(f"{ty}_{user}", "score", (F.col("user") == F.lit(user)) & (F.col("type") == F.lit(ty)))
+        for ty in PIVOT_TYPES])
     parts = [ChildPart(t["genres"], [ListAgg("genres", "genre")]),
              ChildPart(t["languages"], [ListAgg("languages", "language", ["rank"])]),
              ChildPart(t["countries"], [ListAgg("countries", "country", ["rank"])]),
@@ -79,14 +82,33 @@ def explode_films(films: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def apply_film_batch(t: dict[str, DataFrame], batch: DataFrame) -> dict[str, DataFrame]:
+def fold_film_batch(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One record per film of a batch that may hold a film several times: the
+    latest non-NULL value of each column by ``order`` (default: arrival);
+    ratings are merged entry by entry. A batch holds few records of a film."""
+    order = list(order) or ["_seq"]
+    seq = batch.withColumn("_seq", F.monotonically_increasing_id()) if order == ["_seq"] else batch
+    columns = [c for c in batch.columns if c not in (KEY, "my_ratings", *order)]
+    folded = fold_log(seq, KEY, order, columns, keep_first=["date_added"])
+    if "my_ratings" not in batch.columns:
+        return folded
+    empty = F.create_map().cast(_LIST_TYPES["my_ratings"])
+    rated = (seq.where(F.col("my_ratings").isNotNull()).groupBy(KEY)
+             .agg(F.array_sort(F.collect_list(F.struct(*order, F.to_json("my_ratings").alias("r")))).alias("_all")))
+    each = F.transform("_all", lambda x: F.from_json(x["r"], _LIST_TYPES["my_ratings"]))
+    rated = rated.select(F.col(KEY), F.aggregate(each, empty, lambda acc, x: merge_nested_maps(acc, x)).alias("my_ratings"))
+    return folded.join(rated, KEY, "left")
+
+
+def apply_film_batch(t: dict[str, DataFrame], batch: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Apply a batch of partial nested film records (any subset of the
     header columns plus any nested lists) to all tables: header null-safe
-    merge (date_added kept first), ratings deep-merged entry by entry, other
-    children replaced per film where the batch supplies the list. Rows
+    merge (date_added kept first), ratings deep-merged entry by entry, people
+    replaced per film and role, other children per film, where the batch
+    supplies the list. A film's records are folded first, by ``order``. Rows
     without a film key are left out (U9: report them with
     ``merge.quarantine(batch, "crit_id")``) instead of failing the batch."""
-    batch = batch.filter(F.col(KEY).isNotNull())
+    batch = cut_lineage(fold_film_batch(batch.filter(F.col(KEY).isNotNull()), order), "film-batch")
     header_cols = [c for c in HEADER_COLUMNS if c in batch.columns and c != KEY]
     new_t = dict(t)
     new_t["movies"] = merge_null_safe(t["movies"], batch.select(KEY, *header_cols), KEY,
@@ -101,7 +123,8 @@ def apply_film_batch(t: dict[str, DataFrame], batch: DataFrame) -> dict[str, Dat
             continue
         supplied = _list_columns(name)
         if any(c in nested_cols for c in supplied):
-            new_t[name] = replace_children(t[name], exploded[name].select(*t[name].columns), KEY)
+            key = [KEY, "role"] if name == "persons" else KEY
+            new_t[name] = replace_children(t[name], exploded[name].select(*t[name].columns), key)
     return new_t
 
 

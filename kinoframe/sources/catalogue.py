@@ -26,9 +26,10 @@ HD_QUALITIES = ("High Definition", "Ultra High Definition")
 OFFER_URL = "https://passthepopcorn.me/torrents.php?id=%s"
 
 
-def read_catalogue_json(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue pages (one JSON document per line, or multiLine files)."""
-    return spark.read.schema(CATALOGUE_SCHEMA).option("multiLine", "true").json(path)
+def read_catalogue_json(spark: SparkSession, path: str, one_document_per_file: bool = False) -> DataFrame:
+    """Catalogue pages, one JSON document per line (files are split);
+    ``one_document_per_file`` for files whose only document spans lines."""
+    return spark.read.schema(CATALOGUE_SCHEMA).option("multiLine", one_document_per_file).json(path)
 
 
 def catalogue_items(pages: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def genre_page_index(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("genreid").agg(F.array_sort(F.collect_set("genre_name")).alias("genre_names"))
 
 
-def offers_info(df: DataFrame, json_col: str) -> DataFrame:
+def offers_info(df: DataFrame, json_col: str, url: str = OFFER_URL) -> DataFrame:
     """N13 + A15: offers answer -> link of the first film and whether any
     offer is HD or UHD; no film -> link NULL, flag false."""
     # Parse once into a column; the fields are then read from it (the
@@ -66,7 +67,7 @@ def offers_info(df: DataFrame, json_col: str) -> DataFrame:
     first = F.col("_first")
     hd = F.exists(F.coalesce(first["Torrents"], F.array()), lambda x: x["Quality"].isin(*HD_QUALITIES))
     return parsed.select(*[F.col(c) for c in df.columns],
-                         F.when(first.isNotNull(), F.format_string(OFFER_URL, first["GroupId"])).alias("ptp_url"),
+                         F.when(first.isNotNull(), F.format_string(url, first["GroupId"])).alias("ptp_url"),
                          F.coalesce(hd, F.lit(False)).alias("ptp_hd_available"))
 
 
