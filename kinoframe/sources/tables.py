@@ -1,15 +1,17 @@
-"""Table maintenance on Parquet (S1-S6, S11) and versioned snapshots.
+"""Table maintenance on Parquet.
 
-Tables live under a root folder (a shared file system on a cluster); every
-write goes to a new versioned folder and the version pointer is moved last,
-so a reader never sees a half-written table and a failed job leaves the
-previous snapshot intact. File-system calls use Hadoop's FileSystem API
-through the session, so the same code works on HDFS / object stores.
+Tables are catalog tables of a database that lies under a root folder (a
+shared file system on a cluster). Every write is a new table; a view of the
+table's name then moves to it (``CREATE OR REPLACE VIEW``), so a reader never
+sees a half-written table and a failed job leaves the previous one intact.
+The catalog is the session's: a shared metastore on a cluster.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,88 +19,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    reader = spark.sparkContext._jvm.java.io.BufferedReader(
-        spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        return reader.readLine()
-    finally:
-        reader.close()
-
-
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
-
-
 class TableStore:
     """Named Parquet tables with declared schemas and keys under ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, database: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_CURRENT"
-
-    def current_path(self, name: str) -> str | None:
-        v = _read_text(self.spark, self._pointer(name))
-        return f"{self.root}/{name}/{v}" if v else None
-
-    def write(self, name: str, df: DataFrame, version: str | None = None) -> str:
-        """Write a new snapshot version, then move the pointer.
-
-        With an explicit ``version`` (a stream's batch id) the write is
-        idempotent: a version that was completed before is not rewritten.
-        """
-        version = version or f"v{int(time.time() * 1000):015d}"
-        path = f"{self.root}/{name}/{version}"
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(path)
-        _write_text(self.spark, self._pointer(name), version)
-        return path
+        self.database = database or "store_" + hashlib.md5(self.root.encode()).hexdigest()[:16]
+        place = self.root.replace("'", "\\'")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}` LOCATION '{place}'")
+
+    def _name(self, name: str) -> str:
+        return f"`{self.database}`.`{name}`"
+
+    def _versions(self, name: str) -> list[str]:
+        rows = self.spark.sql(f"SHOW TABLES IN `{self.database}` LIKE '{name}__v*'").collect()
+        return sorted(r["tableName"] for r in rows)
+
+    def _save(self, df: DataFrame, table: str) -> None:
+        df.write.format("parquet").saveAsTable(self._name(table))
+
+    def write(self, name: str, df: DataFrame) -> str:
+        """Write a new version, then move the name to it (S5/U7/T2). The
+        version before stays for its readers, older ones go."""
+        old = self._versions(name)
+        version = f"{name}__v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+        self._save(df, version)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self._name(name)} AS SELECT * FROM {self._name(version)}")
+        for table in old[:-1]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
+        return version
 
     def exists(self, name: str) -> bool:
-        return self.current_path(name) is not None
+        return self.spark.catalog.tableExists(f"{self.database}.{name}")
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        """Full scan of the current snapshot; a missing table is created
+        """Full scan of the current version; a missing table is created
         empty first when its schema is known."""
-        path = self.current_path(name)
-        if path is None:
+        if not self.exists(name):
             if schema is None:
                 raise FileNotFoundError(name)
             self.write(name, self.spark.createDataFrame([], schema))
-            path = self.current_path(name)
-        df = self.spark.read.parquet(path)
+        df = self.spark.table(self._name(name))
         return align_schema(df, schema) if schema is not None else df
 
     def drop(self, name: str) -> None:
         """Drop table if exists."""
-        fs, p = _fs(self.spark, f"{self.root}/{name}")
-        if fs.exists(p):
-            fs.delete(p, True)
+        self.spark.sql(f"DROP VIEW IF EXISTS {self._name(name)}")
+        for table in self._versions(name):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(table)}")
 
     def copy(self, src: str, tgt: str) -> str:
         """Copy table as select."""
@@ -132,10 +100,6 @@ def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*declared, *extras)
 
 
-class ColumnExists(Warning):
-    pass
-
-
 def add_columns(df: DataFrame, cols: dict[str, str], after: str | None = None,
                 first: bool = False) -> DataFrame:
     """Add columns ``{name: sql_type}`` (NULL values) at the end, first,
@@ -231,37 +195,15 @@ def write_genre_catalogue(store: TableStore, genres: DataFrame, name: str = "net
 class BucketedStore(TableStore):
     """Film tables co-located by key: every table is written ``bucketBy(n,
     key)`` (same n), so child aggregations by key and header-child joins read
-    matching buckets with no shuffle (SURVEY section 4, item 2).
-
-    Bucket metadata lives in the session catalog (a shared metastore on a
-    cluster). Each write is a new versioned table registered under
-    ``{database}.{name}__{version}``; the pointer file moves last.
-    """
+    matching buckets with no shuffle (SURVEY section 4, item 2)."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "crit_id", buckets: int = 64,
-                 database: str = "kinoframe"):
-        super().__init__(spark, root)
-        self.key, self.buckets, self.database = key, buckets, database
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+                 database: str | None = None):
+        super().__init__(spark, root, database)
+        self.key, self.buckets = key, buckets
 
-    def _table(self, name: str, version: str) -> str:
-        return f"{self.database}.{name}__{version}"
-
-    def write(self, name: str, df: DataFrame, version: str | None = None) -> str:
+    def _save(self, df: DataFrame, table: str) -> None:
         if self.key not in df.columns:  # tables without the film key (genre catalogue)
-            return super().write(name, df, version)
-        version = version or f"v{int(time.time() * 1000):015d}"
-        path = f"{self.root}/{name}/{version}"
-        table = self._table(name, version)
-        if not self.spark.catalog.tableExists(table):
-            (df.write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
-               .option("path", path).mode("overwrite").saveAsTable(table))
-        _write_text(self.spark, self._pointer(name), version)
-        return path
-
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        version = _read_text(self.spark, self._pointer(name))
-        if version is None or not self.spark.catalog.tableExists(self._table(name, version)):
-            return super().read(name, schema)  # plain files: correct, but not co-located
-        df = self.spark.table(self._table(name, version))
-        return align_schema(df, schema) if schema is not None else df
+            return super()._save(df, table)
+        (df.write.format("parquet").bucketBy(self.buckets, self.key).sortBy(self.key)
+           .saveAsTable(self._name(table)))

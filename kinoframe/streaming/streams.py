@@ -9,14 +9,16 @@ it stopped. Timestamps arrive as ``timestamp_ntz`` and are cast to
 
 from __future__ import annotations
 
+import logging
 from typing import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinoframe.operators.merge import fold_log
 from kinoframe.session import work_path
-from kinoframe.sources.tables import TableStore, path_exists
+from kinoframe.sources.tables import TableStore
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, max_files_per_trigger: int | None = None,
@@ -56,15 +58,28 @@ def run_available(stream: DataFrame, name: str, output_mode: str = "update",
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    late = sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in q.recentProgress for o in p["stateOperators"])
+    if late:
+        logging.getLogger(__name__).warning("%s: %d rows were later than the watermark and dropped", name, late)
     return out
 
 
+def written_so_far(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None before its first write."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_output(spark: SparkSession, out: str, schema=None) -> DataFrame:
     """Read a :func:`run_available` folder (batch folders unioned); a stream
     that had no data yet gives an empty frame when ``schema`` is known."""
-    if schema is not None and not path_exists(spark, out):
+    df = written_so_far(spark, out) if schema is None else written_so_far(spark, out, schema)
+    if df is None:
         return spark.createDataFrame([], schema)
-    df = spark.read.parquet(out) if schema is None else spark.read.schema(schema).parquet(out)
     return df.drop("batch") if "batch" in df.columns else df
 
 
@@ -98,14 +113,15 @@ def from_pairs(pairs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 def snapshot_writer(store: TableStore, table: str, key: str, order: Sequence[str], columns: Sequence[str],
                     keep_first: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: fold the micro-batch into the current
-    snapshot and write it as a new version named by the batch id (a
-    replayed batch id is skipped, so the sink is idempotent). The previous
-    version is read, never overwritten."""
+    snapshot and write it as a new version. The fold is a maximum over
+    stamped pairs, so a replayed batch (also one from a new checkpoint on an
+    old store) changes nothing. The previous version is read, never
+    overwritten."""
     def process(batch: DataFrame, batch_id: int) -> None:
         new = to_pairs(batch, key, order, columns)
         if store.exists(table):
             new = store.read(table).unionByName(new)
-        store.write(table, fold_pairs(new, key, columns, keep_first), version=f"b{batch_id:012d}")
+        store.write(table, fold_pairs(new, key, columns, keep_first))
     return process
 
 
@@ -127,41 +143,47 @@ def partial_snapshot_writer(path: str, key: str, order: Sequence[str], columns:
     snapshot path is never read and overwritten in one plan.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
         new = to_pairs(batch, key, order, columns).withColumn("_bucket", bucket_of(key, buckets))
-        if path_exists(spark, path):
-            touched = new.select("_bucket").distinct()  # at most `buckets` rows
-            prev = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
-            new = prev.unionByName(new)
-        merged = fold_pairs(new, key, columns, keep_first).withColumn("_bucket", bucket_of(key, buckets))
-        staged = work_path(spark, f"snapshot-stage-{batch_id}")
-        merged.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
-        (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_bucket").parquet(path))
+        _rewrite_touched(path, new, batch_id, lambda prev, rows: fold_pairs(
+            prev.unionByName(rows), key, columns, keep_first).withColumn("_bucket", bucket_of(key, buckets)),
+            lambda rows: fold_pairs(rows, key, columns, keep_first).withColumn("_bucket", bucket_of(key, buckets)))
     return process
 
 
+def _rewrite_touched(path: str, new: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame],
+                     first: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge a micro-batch into the buckets it touches. The batch is computed
+    once (persisted); a bucket's rows meet before each write, so a batch
+    leaves one file a bucket (AQE splits larger ones)."""
+    spark = new.sparkSession
+    new = new.persist()
+    try:
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        if not touched:  # e.g. a batch that only moved the watermark
+            return
+        old = written_so_far(spark, path)
+        out = first(new) if old is None else merge(old.where(F.col("_bucket").isin(touched)), new)
+        if old is None:
+            out.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+            return
+        staged = work_path(spark, f"stage-{batch_id}")
+        out.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(staged)
+        (spark.read.schema(out.schema).parquet(staged).hint("rebalance", "_bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
+    finally:
+        new.unpersist()
+
+
 def upsert_writer(path: str, key, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """T1 sink for a streaming aggregation in *update* mode: each micro-batch
     carries the new full rows of the keys that changed; they replace those
     keys in a bucket-partitioned table, rewriting only the touched buckets.
     Replacing by key is idempotent, so a replayed batch is harmless."""
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():  # e.g. a batch that only moved the watermark
-            return
         keys = [key] if isinstance(key, str) else list(key)
         new = batch.withColumn("_bucket", bucket_of(keys, buckets))
-        if path_exists(spark, path):
-            touched = new.select("_bucket").distinct()  # at most `buckets` rows
-            prev = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
-            new = prev.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        staged = work_path(spark, f"upsert-stage-{batch_id}")
-        new.write.mode("overwrite").partitionBy("_bucket").parquet(staged)
-        (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("_bucket").parquet(path))
+        _rewrite_touched(path, new, batch_id, lambda prev, rows: prev.join(rows.select(*keys), keys, "left_anti")
+                         .unionByName(rows), lambda rows: rows)
     return process
 
 
@@ -178,7 +200,8 @@ def dedupe(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 day"
 def rate_monitor(stream: DataFrame, ts: str, group: Column | str, caps: dict[str, int],
                  window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """T4: fetches per source group and tumbling hour, against the caps.
-    State is one row per (hour, group): bounded by time x groups."""
+    State is one row per (hour, group): bounded by time x groups. Rows later
+    than ``delay`` are not counted; :func:`run_available` reports how many."""
     g = F.col(group) if isinstance(group, str) else group
     counted = (stream.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), g.alias("source_group"))
                .agg(F.count(F.lit(1)).alias("n")))
