@@ -39,4 +39,5 @@ def load_all() -> None:
         a_models,
         a_streams,
         a_scalar,
+        a_film,
     )
