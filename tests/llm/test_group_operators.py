@@ -178,6 +178,6 @@ def test_equal_simhash_lines_are_verified_by_edits(spark):
     a = "one two three four five six seven eight nine ten"
     texts = [a, a.replace("ten", "tem"), prose(77, 12, 9000)]
     shards = suffix_dedup.shard_table(documents(spark, texts).select(F.struct("doc_id").alias("row"), "text"), "row", "text", 1 << 20, 4)
-    lines, _ = line_dedup.line_groups(shards)
+    _, lines, _ = line_dedup.line_groups(shards)
     pairs = lines.select(F.col("id").alias("a")).crossJoin(lines.select(F.col("id").alias("b"))).where("a < b")
     assert line_dedup._verified(pairs, lines, shards, 0.8).count() == 1
