@@ -20,6 +20,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE["op7_warc"] = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top, CAST(from_hex(digest) AS BIT)::VARCHAR AS bits FROM p)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT
+                + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT
+                + substr(bits, 5 * i + 5, 1)::INT AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to, coalesce(url, '') AS target_uri,
+       CAST(CASE WHEN page_id = top THEN greatest(1, ceil(octet_length(body) / 1048576.0)) ELSE 1 END AS BIGINT) AS n_chunks
+  FROM m
+"""
+
+ORACLE["op8_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+win AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS g
+          FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+          FROM d, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(s)),
+hit AS (SELECT DISTINCT doc_id, pos.n, s, item_id FROM pos JOIN win ON pos.n = win.n AND pos.g = win.g),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM hit, unnest(range(s, s + n)) AS u(i) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -57,7 +92,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    got = decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return got.drop("longest_match", "longest_item", "longest_at")
 
 
 @query
