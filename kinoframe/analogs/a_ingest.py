@@ -147,7 +147,8 @@ def genre_catalogue_query(spark, sf_dir):
 
 
 @register("stale_first", """
-SELECT user_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS movies_updated
+SELECT user_id, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS movies_updated,
+       row_number() OVER (ORDER BY last_ts, user_id) AS order_no
   FROM (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id)
  WHERE floor(epoch_us(TIMESTAMP '2024-02-06 12:00:00' - last_ts) / 86400000000) >= 7
 """)
@@ -156,7 +157,7 @@ def stale_first_query(spark, sf_dir):
     days before as_of, oldest first."""
     last = t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("movies_updated"))
     s = stale_first(last, "user_id", "movies_updated", "2024-02-06 12:00:00")
-    return s.select("user_id", ts_text("movies_updated").alias("movies_updated"))
+    return s.select("user_id", ts_text("movies_updated").alias("movies_updated"), "order_no")
 
 
 @register("recent_first", """

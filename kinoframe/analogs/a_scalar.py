@@ -15,19 +15,23 @@ from kinoframe.sources.tables import add_columns, align_schema
 AS_OF = "2002-01-01 00:00:00"
 
 
-def _age_sql(x):
-    from kinoframe.functions.dates import AGE_LADDER
-    secs = f"(epoch(TIMESTAMP '{AS_OF}') - epoch({x}))"
-    parts = [f"CASE WHEN {x} IS NULL THEN 'Not updated before'"]
-    for limit, word, unit in AGE_LADDER:
-        if unit is None:
-            text = f"'{word}'" if word == "just now" else f"'{word} ago'"
-        elif unit == 1:
-            text = f"CAST(CAST(floor({secs}) AS BIGINT) AS VARCHAR) || ' {word} ago'"
-        else:
-            text = f"CAST(CAST(greatest(floor({secs} / {unit}), 2) AS BIGINT) AS VARCHAR) || ' {word} ago'"
-        parts.append(f"ELSE {text} END" if limit is None else f"WHEN {secs} < {limit} THEN {text}")
-    return " ".join(parts)
+# The labels of an age in seconds, stated apart from the code that makes them.
+AGE_SQL = """
+       CASE WHEN rel IS NULL THEN 'Not updated before'
+            WHEN age < 10 THEN 'just now'
+            WHEN age < 45 THEN CAST(CAST(floor(age) AS BIGINT) AS VARCHAR) || ' seconds ago'
+            WHEN age < 90 THEN 'a minute ago'
+            WHEN age < 45 * 60 THEN CAST(greatest(floor(age / 60), 2)::BIGINT AS VARCHAR) || ' minutes ago'
+            WHEN age < 90 * 60 THEN 'an hour ago'
+            WHEN age < 22 * 3600 THEN CAST(greatest(floor(age / 3600), 2)::BIGINT AS VARCHAR) || ' hours ago'
+            WHEN age < 36 * 3600 THEN 'a day ago'
+            WHEN age < 154 * 3600 THEN CAST(greatest(floor(age / 86400), 2)::BIGINT AS VARCHAR) || ' days ago'
+            WHEN age < 252 * 3600 THEN 'a week ago'
+            WHEN age < 28 * 86400 THEN CAST(greatest(floor(age / 604800), 2)::BIGINT AS VARCHAR) || ' weeks ago'
+            WHEN age < 45 * 86400 THEN 'a month ago'
+            WHEN age < 345 * 86400 THEN CAST(greatest(floor(age / 2592000), 2)::BIGINT AS VARCHAR) || ' months ago'
+            WHEN age < 547 * 86400 THEN 'a year ago'
+            ELSE CAST(greatest(floor(age / 31536000), 2)::BIGINT AS VARCHAR) || ' years ago' END"""
 
 
 @register("scalar_dates", f"""
@@ -37,7 +41,8 @@ WITH x AS (
          CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS rel,
          CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS local_rel,
          CASE WHEN o_orderkey % 7 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 11 = 0 THEN NULL
-              ELSE o_totalprice END AS metric
+              ELSE o_totalprice END AS metric,
+         epoch(TIMESTAMP '{AS_OF}') - epoch(rel) AS age
     FROM orders)
 SELECT o_orderkey, printf('%07d', o_orderkey) AS padded,
        round(coalesce(year(rel) + (epoch_us(rel) - epoch_us(make_timestamp(year(rel), 1, 1, 0, 0, 0)))
@@ -49,7 +54,7 @@ SELECT o_orderkey, printf('%07d', o_orderkey) AS padded,
        round(floor((epoch_us(TIMESTAMP '{AS_OF}')
                     - epoch_us(coalesce(local_rel, rel, make_timestamp(coalesce(imdb_year, year, 1900), 1, 1, 0, 0, 0))))
                    / 86400000000) / 365.25, 6) AS years_since_release,
-       {_age_sql('rel')} AS age_label,
+       {AGE_SQL} AS age_label,
        round(coalesce(CASE WHEN isnan(metric) THEN NULL ELSE metric END, -1.0), 6) AS metric
   FROM x
 """)

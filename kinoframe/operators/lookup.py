@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinoframe.functions.dates import ts_lit, whole_days
+from kinoframe.operators.prefix import running_sum
 from kinoframe.session import checked_broadcast, fixed_broadcast
 
 
@@ -62,12 +63,15 @@ def genre_catalogue(rows: DataFrame, id_col: str = "genreid", name_col: str = "g
 def stale_first(df: DataFrame, id_col: str, stamp_col: str, as_of, min_age_days: int = 7,
                 never: str = "2000-01-01") -> DataFrame:
     """Never updated, or at least ``min_age_days`` whole days old;
-    oldest first, a missing stamp counting as ``never``. Adds ``order_no``
-    (1-based) computed from a global sort (range-partitioned, no single
-    partition window)."""
+    oldest first, a missing stamp counting as ``never``; ids break ties.
+    Adds ``order_no`` (1-based) by the two-level prefix sum (no window over
+    one partition)."""
     stamp = F.coalesce(F.col(stamp_col).cast("timestamp"), ts_lit(never))
     due = df.filter(F.col(stamp_col).isNull() | (whole_days(F.col(stamp_col), ts_lit(as_of)) >= min_age_days))
-    return due.withColumn("_sort_stamp", stamp).orderBy("_sort_stamp", id_col).drop("_sort_stamp")
+    due = due.withColumn("_sort_stamp", stamp).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1.0))
+    numbered = running_sum(due, "_all", ["_sort_stamp", id_col], "_one", "order_no")
+    return (numbered.withColumn("order_no", F.col("order_no").cast("long")).drop("_sort_stamp", "_all", "_one")
+            .orderBy("order_no"))
 
 
 def recent_first(df: DataFrame, id_col: str, stamp_cols: Sequence[str], n: int = 10,
