@@ -1,9 +1,12 @@
 """The pipeline: stages keep the columns and take effect."""
 
+import pytest
+
 import corpus_pipeline
 from kinoframe.llm import queries
 from kinoframe.llm.shards import written
 from tests.llm.fixtures import words
+from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,9 @@ def test_stages(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    res = compare(queries.QUERIES[name](spark, SF), queries.ORACLE[name], SF, duck(SF))
+    assert res["ok"], res
