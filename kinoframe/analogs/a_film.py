@@ -5,8 +5,10 @@ columns, not by the library's patterns."""
 from pyspark.sql import functions as F
 
 from kinoframe.analogs import register
-from kinoframe.analogs.common import t
+from kinoframe.analogs.a_ingest import _catalogue_pages
+from kinoframe.analogs.common import r6, t, ts_text
 from kinoframe.plans.catalogue import apply_film_batch
+from kinoframe.plans.raw_records import enrich_films, main_records, stamp_genres
 from kinoframe.schemas import SCHEMAS
 from kinoframe.sources.pages import extract_film_list, extract_film_page
 
@@ -124,3 +126,69 @@ def film_batch_query(spark, sf_dir):
     out = (new["movies"].select("crit_id", "title", F.col("year").cast("int").alias("year")).join(people, "crit_id", "left")
            .join(genres, "crit_id", "left").join(ratings, "crit_id", "left"))
     return out.withColumn("crit_id", F.col("crit_id").cast("long"))
+
+
+@register("main_record", """
+SELECT CAST(p_partkey AS BIGINT) AS crit_id,
+       CASE WHEN p_partkey % 3 = 0 THEN '2001-01-01' ELSE '1999-03-05' END AS original_release_date,
+       CASE WHEN p_partkey % 4 = 0 THEN '2002-03-01' END AS dutch_release_date,
+       p_name || ' orig' AS original_title, p_name || ' ww' AS imdb_title,
+       CASE WHEN p_partkey % 5 > 0 THEN 1000 + p_size END AS imdb_votes,
+       round(CASE WHEN p_partkey % 2 = 0 THEN p_size / 4.0 END, 6) AS imdb_rating,
+       p_brand || ',' || 'x' AS genres, 'short ' || p_partkey AS plot_storyline,
+       CAST(p_size + 10 AS INTEGER) AS runtime, 'Doe, Jo ' || p_size || '|van Dam, Al' AS cast_names,
+       '2020-01-01 00:00:00' AS imdb_main_updated
+  FROM part
+""")
+def main_record_query(spark, sf_dir):
+    """Raw text records made of parts, turned into film records."""
+    p = t(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    person = lambda name, i: F.struct(name.alias("name"), F.lit(i).alias("personID"))
+    raw = p.select(
+        k.alias("crit_id"), F.array_compact(F.array(
+            F.when(k % 3 == 0, "USA::1 January 2001").otherwise("USA::5 March 1999"), F.lit("UK::2 May 1990 (re-release)"),
+            F.when(k % 4 == 0, "Netherlands::March 2002 (limited)"))).alias("releases"),
+        F.array(text(F.lit("(original title)::"), F.col("p_name"), " orig"), text("World-wide::", F.col("p_name"), " ww"),
+                text("USA::", F.col("p_name"), " usa")).alias("akas"),
+        F.when(k % 5 > 0, text("(1,", F.lpad(size.cast("string"), 3, "0"), ")")).alias("votes"),
+        F.when(k % 2 == 0, (size / 4.0).cast("string")).otherwise("n/a").alias("score"),
+        F.array(F.lit("x"), F.col("p_brand"), F.lit("x")).alias("genres"), F.array(F.lit("k")).alias("keywords"),
+        F.array(text("a much longer plot ", k, "::me"), text("short ", k, "::you")).alias("plots"),
+        F.array(size.cast("string"), F.lit("none"), (size + 20).cast("string")).alias("runtimes"),
+        F.array(person(text("Jo ", size, " Doe"), "1"), person(F.lit("Al van Dam"), "2"), person(F.lit("No Id"), "x"),
+                person(text("Jo ", size, " Doe"), "1")).alias("cast"),
+        F.lit("2020-01-01").cast("timestamp").alias("fetched_at"))
+    got = main_records(raw)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return got.select(F.col("crit_id").cast("long").alias("crit_id"), day("original_release_date"), day("dutch_release_date"),
+                      "original_title", "imdb_title", "imdb_votes", r6("imdb_rating").alias("imdb_rating"),
+                      F.array_join("genres", ",").alias("genres"), "plot_storyline", "runtime",
+                      F.array_join(F.transform("cast", lambda x: x["canonical_name"]), "|").alias("cast_names"),
+                      ts_text("imdb_main_updated").alias("imdb_main_updated"))
+
+
+@register("catalogue_enrich", """
+SELECT p_partkey AS crit_id, p_name AS title, CASE WHEN p_partkey % 10 > 3 THEN p_partkey END AS netflix_id,
+       CASE WHEN p_partkey % 10 > 3 THEN p_name WHEN p_partkey % 2 = 0 THEN 'old' END AS netflix_title,
+       round(CASE WHEN p_partkey % 10 > 3 AND p_size % 5 > 0 THEN p_retailprice WHEN p_partkey % 2 = 0 THEN 1.5 END, 6) AS netflix_rating,
+       CASE WHEN p_partkey % 10 > 3 THEN '2021-02-03 00:00:00' END AS netflix_updated,
+       CASE WHEN p_size % 5 = 0 THEN '2021-02-03 00:00:00' END AS genre_stamp
+  FROM part
+""")
+def catalogue_enrich_query(spark, sf_dir):
+    """Catalogue items (pages fetched twice), bridge, merge and genre stamps."""
+    p = t(spark, sf_dir, "part")
+    old = F.col("p_partkey") % 2 == 0
+    movies = p.select(F.col("p_partkey").alias("crit_id"), F.col("p_partkey").alias("imdbid"), F.col("p_name").alias("title"),
+                      F.lit(None).cast("long").alias("netflix_id"), F.when(old, "old").alias("netflix_title"),
+                      F.when(old, 1.5).alias("netflix_rating"), F.lit(None).cast("timestamp").alias("netflix_updated"),
+                      F.col("p_size").alias("genreid"))
+    pages = _catalogue_pages(spark, sf_dir)
+    films = enrich_films(movies, pages.unionByName(pages), "2021-02-03")
+    genres = movies.select("genreid").distinct().withColumn("movies_updated", F.lit(None).cast("timestamp"))
+    stamped = stamp_genres(genres, genres.where("genreid % 5 = 0"), "2021-02-03")
+    return (films.join(stamped, "genreid", "left")
+            .select("crit_id", "title", "netflix_id", "netflix_title", r6("netflix_rating").alias("netflix_rating"),
+                    ts_text("netflix_updated").alias("netflix_updated"), ts_text("movies_updated").alias("genre_stamp")))
