@@ -2,8 +2,8 @@
 
 Texts are weighted sets of five-word shingles (term frequency times smoothed
 inverse document frequency, counted over all documents in 2**20 hashed
-cells). Consistent weighted samples, banded by five, propose pairs, a bit of
-each sample drops those that cannot be similar, and weighted Jaccard
+cells). Consistent weighted samples, banded by five, propose pairs, four bits
+of each sample drop those that cannot be similar, and weighted Jaccard
 similarity verifies the rest. Every member of a band bucket meets the
 bucket's first member; members of buckets that still hold several classes
 then meet those of the other classes.
@@ -26,7 +26,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 5, 12        # a pair at 0.8 shares no band once in 118 cases, at 0.85 once in 1,100
 SAMPLES = ROWS * BANDS
-MIN_BITS = 46              # of a bit from each of 60 samples: at 0.8, 54 agree on average, under 46 once in 8,000
+MIN_AGREE = 38             # of 4 bits from each of 60 samples: at 0.8, 49 agree on average, under 38 once in 10,000
+SKETCH = ["s0", "s1", "s2", "s3"]   # 15 samples of 4 bits each
 CELLS = 1 << 20            # of the frequency table: 4 MB to each executor, at every corpus size
 CHUNK = 1 << 14
 IDF_SHARE = 0.5            # weights run from 1 (in every text) to 1.5 (in one)
@@ -141,13 +142,13 @@ def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndar
 
 
 def _sampled(texts: DataFrame, table) -> DataFrame:
-    """(id, m1, m2, sketch, bands): a row for each text with words; m1 and m2
-    tell equal word sequences; the sketch has a bit of each sample."""
+    """(id, m1, m2, s0..s3, bands): a row for each text with words; m1 and m2
+    tell equal word sequences; the sketch has four bits of each sample."""
     def work(block: Block) -> dict:
         first, mark, count, w = shingles(block)
         weight = count * table.value[(mark % np.uint64(CELLS)).astype(np.int64)]
         bands: list = [None] * block.n
-        sketch = np.zeros(block.n, np.int64)
+        sketch = np.zeros((block.n, len(SKETCH)), np.int64)
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
             sig = signatures(first, mark, weight).astype(np.uint64)
@@ -157,17 +158,25 @@ def _sampled(texts: DataFrame, table) -> DataFrame:
             keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             for i, k in zip(some.tolist(), keys):
                 bands[i] = k
-            bits = (sig & np.uint64(1)) << np.arange(SAMPLES, dtype=np.uint64)
-            sketch[some] = np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+            bits = (sig & np.uint64(15)).reshape(len(some), len(SKETCH), -1)
+            bits = bits << (4 * np.arange(bits.shape[2], dtype=np.uint64))
+            sketch[some] = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
         same = [_sequence(w.hash[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
         both = np.array(same, np.uint64).reshape(-1, 2).view(np.int64)
-        return {"m1": both[:, 0], "m2": both[:, 1], "sketch": sketch, "bands": bands}
-    return annotate(texts, "__text", [("m1", T.LongType()), ("m2", T.LongType()), ("sketch", T.LongType()),
-                                      ("bands", T.ArrayType(T.LongType()))], work, keep=["id"]).where("bands is not null")
+        return {"m1": both[:, 0], "m2": both[:, 1], "bands": bands} | {n: sketch[:, k] for k, n in enumerate(SKETCH)}
+    add = [(n, T.LongType()) for n in ("m1", "m2", *SKETCH)] + [("bands", T.ArrayType(T.LongType()))]
+    return annotate(texts, "__text", add, work, keep=["id"]).where("bands is not null")
 
 
 def _plausible(a: str, b: str) -> F.Column:
-    return SAMPLES - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) >= MIN_BITS
+    """Whether enough samples of two rows agree: equal groups of four bits."""
+    differ = F.lit(0)
+    for n in SKETCH:
+        x = F.col(a + n).bitwiseXOR(F.col(b + n))
+        some = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(
+            F.shiftrightunsigned(x, 3))
+        differ = differ + F.bit_count(some.bitwiseAND(F.lit(0x111111111111111)))
+    return F.lit(SAMPLES) - differ >= MIN_AGREE
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, table, similarity: float) -> DataFrame:
@@ -215,18 +224,18 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = written(rows.groupBy("m1", "m2").agg(F.min("id").alias("rep")), "distinct-texts")
     member = rows.select("id", "m1", "m2").join(reps, ["m1", "m2"]).select("id", "rep")
     banded = (rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-              .select("id", "sketch", F.explode("bands").alias("bucket")).repartition("bucket"))
+              .select("id", *SKETCH, F.explode("bands").alias("bucket")).repartition("bucket"))
     # one exchange of bands serves the search for shared ones and the joins with them
-    first = (banded.groupBy("bucket").agg(F.min(F.struct("id", "sketch")).alias("f"), F.max("id").alias("hi"))
-             .where("f.id < hi").select("bucket", F.col("f.id").alias("b"), F.col("f.sketch").alias("sb")))
+    first = (banded.groupBy("bucket").agg(F.min(F.struct("id", *SKETCH)).alias("f"), F.max("id").alias("hi"))
+             .where("f.id < hi").select("bucket", F.col("f.id").alias("b"), *[F.col(f"f.{n}").alias(f"f_{n}") for n in SKETCH]))
     members = written(banded.join(first, "bucket"), "bands")
-    star = members.where((F.col("id") != F.col("b")) & _plausible("sketch", "sb")).select(F.col("id").alias("a"), "b").distinct()
+    star = members.where((F.col("id") != F.col("b")) & _plausible("", "f_")).select(F.col("id").alias("a"), "b").distinct()
     links = written(_verified(star, texts, table, similarity), "near-links")
-    rest = open_members(members.select("bucket", "id", "sketch"), connected_components(links.select("a", "b")))
+    rest = open_members(members.select("bucket", "id", *SKETCH), connected_components(links.select("a", "b")))
     rest = written(rest, "near-rest")
     x, y = rest.where("minor").alias("x"), rest.alias("y")
     cross = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class"))
-                    & _plausible("x.sketch", "y.sketch"))
+                    & _plausible("x.", "y."))
              .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
              .join(star, ["a", "b"], "left_anti"))
     more = _verified(cross, texts, table, similarity)
