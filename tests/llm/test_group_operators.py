@@ -181,3 +181,57 @@ def test_equal_simhash_lines_are_verified_by_edits(spark):
     _, lines, _ = line_dedup.line_groups(shards)
     pairs = lines.select(F.col("id").alias("a")).crossJoin(lines.select(F.col("id").alias("b"))).where("a < b")
     assert line_dedup._verified(pairs, lines, shards, 0.8).count() == 1
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed_lines():
+    """Lines and later ones with some words of each changed."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 7)))
+    first, later = [], []
+    for n in (10, 20, 40):
+        for k in range(20):
+            w = [word() for _ in range(n)]
+            first.append(" ".join(w))
+            for _ in range(1 + k % (n // 10)):
+                w[r.randrange(n)] = word()
+            later.append(" ".join(w))
+    return first, later
+
+
+@pytest.mark.parametrize("small", [256, 1])
+def test_lines_with_changed_words_are_removed(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    first, later = changed_lines()
+    near = [k for k, (a, b) in enumerate(zip(first, later)) if edit_distance(a, b) <= 0.2 * max(len(a), len(b)) and a != b]
+    assert len(near) >= 50
+    rows = by_id(line_dedup.dedup_lines(documents(spark, first + later).coalesce(1), keep=["doc_id"]))
+    for k in near:
+        assert rows[k]["kept"] == first[k] and rows[len(first) + k]["kept"] == "", (first[k], later[k])
+    assert not any(rows[k]["n_removed"] for k in range(len(first)))
+
+
+def test_edit_distances_do_not_pass_the_bits_of_the_sketch():
+    import numpy as np
+    first, later = changed_lines()
+    raw = [(t + "\n").encode() for t in first + later]
+    lines = line_dedup.Lines(np.frombuffer(b"".join(raw), np.uint8), np.array([0, sum(map(len, raw))]))
+    sim, keys = lines.sketches(np.arange(len(raw)))
+    n = len(first)
+    assert np.bitwise_count(sim[:n] ^ sim[n:]).sum(1).max() <= line_dedup.MAX_BITS
+    alone = [lines.sketches(np.array([k])) for k in range(5)]
+    assert all((a[0][0] == sim[k]).all() and (a[1][0] == keys[k]).all() for k, a in enumerate(alone))
+    was, line_dedup.WINDOWS = line_dedup.WINDOWS, 64   # lines worked on in several parts
+    try:
+        parts = lines.sketches(np.arange(len(raw)))
+    finally:
+        line_dedup.WINDOWS = was
+    assert (parts[0] == sim).all() and (parts[1] == keys).all()
