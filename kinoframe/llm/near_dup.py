@@ -2,7 +2,7 @@
 
 Texts are weighted sets of five-word shingles (term frequency times smoothed
 inverse document frequency, counted over all documents in 2**20 hashed
-cells). Consistent weighted samples, banded by five, propose pairs, four bits
+cells). Consistent weighted samples, banded by three, propose pairs, four bits
 of each sample drop those that cannot be similar, and weighted Jaccard
 similarity verifies the rest. Every member of a band bucket meets the
 bucket's first member; members of buckets that still hold several classes
@@ -24,9 +24,9 @@ from kinoframe.llm.shards import Block, _mixed, annotate, blob, blocks, importab
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 5, 12        # a pair at 0.8 shares no band once in 118 cases, at 0.85 once in 1,100
-SAMPLES = ROWS * BANDS
-MIN_AGREE = 38             # of 4 bits from each of 60 samples: at 0.8, 49 agree on average, under 38 once in 10,000
+ROWS, BANDS = 3, 12        # a pair at 0.8 shares no band once in 5,500 cases, at 0.85 once in 92,000
+SAMPLES = 60               # the bands use the first 36, the sketch all
+MIN_AGREE = 34             # of 4 bits from each of 60 samples: at 0.8, 49 agree on average, under 34 once in 340,000
 SKETCH = ["s0", "s1", "s2", "s3"]   # 15 samples of 4 bits each
 CELLS = 1 << 20            # of the frequency table: 4 MB to each executor, at every corpus size
 CHUNK = 1 << 14
@@ -134,6 +134,14 @@ def signatures(first: np.ndarray, mark: np.ndarray, weight: np.ndarray) -> np.nd
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The BANDS bucket keys of each row of samples."""
+    keys = np.zeros((len(sig), BANDS), np.uint64)
+    for r in range(ROWS):
+        keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, r:ROWS * BANDS:ROWS])
+    return _mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def similarity_of(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two texts (sorted shingles, their weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -152,11 +160,7 @@ def _sampled(texts: DataFrame, table) -> DataFrame:
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
             sig = signatures(first, mark, weight).astype(np.uint64)
-            keys = np.zeros((len(some), BANDS), np.uint64)
-            for r in range(ROWS):
-                keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
-            keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            for i, k in zip(some.tolist(), keys):
+            for i, k in zip(some.tolist(), band_keys(sig)):
                 bands[i] = k
             bits = (sig & np.uint64(15)).reshape(len(some), len(SKETCH), -1)
             bits = bits << (4 * np.arange(bits.shape[2], dtype=np.uint64))

@@ -158,6 +158,19 @@ def test_weighted_samples_estimate_similarity():
     assert near_dup.similarity_of((mark[a], w[a]), (mark[b], w[b])) == pytest.approx(true)
 
 
+def test_pairs_at_the_threshold_share_a_band():
+    import numpy as np
+    r = np.random.default_rng(4)
+    n, each, both = 2000, 100, 89   # 89 of 111 shingles shared: 0.80
+    mark = r.integers(0, 2**63, (n, 2 * each - both), dtype=np.uint64)
+    first, weight = np.arange(n + 1) * each, np.ones(n * each)
+    a, b = (near_dup.signatures(first, m.ravel(), weight).astype(np.uint64) for m in (mark[:, :each], mark[:, -each:]))
+    shared = (near_dup.band_keys(a) == near_dup.band_keys(b)).any(1)
+    assert (~shared).sum() <= 3
+    agree = ((a & np.uint64(15)) == (b & np.uint64(15))).sum(1)
+    assert (agree < near_dup.MIN_AGREE).sum() <= 1
+
+
 @pytest.mark.parametrize("shard_bytes", [1 << 22, 2000])
 def test_line_dedup(spark, shard_bytes):
     common, other = "This very common line stands in many texts of this small corpus.", prose(31, 40, 5000)
