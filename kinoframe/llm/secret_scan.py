@@ -26,10 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ADDED = [
     ("key", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
-    ("git", re.compile(r"gh[opsur]_[A-Za-z0-9]{36,255}")),
-    ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,255}")),
+    ("git", re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}")),
+    ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:([^\s/:@]{3,128})@")),
+    ("url", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:([^\s/:@]{3,})@")),
 ]
 KINDS = ["assign", "access", "hex"] + [k for k, _ in ADDED]
 HINTS = {"key": b"PRIVATE KEY-----", "git": b"gh", "chat": b"xox", "jwt": b"eyJ", "url": b"://"}
