@@ -29,6 +29,19 @@ def test_stages(spark):
     assert last.count() == n[-1] and {"doc_id", "n_tokens", "ids_sha256"} <= set(last.columns)
 
 
+def test_documents_without_lines_of_their_own_go(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 200").limit(1)
+    row = given.first().asDict()
+    text = "the first long line of this text stands here\nand a second one follows it at once"
+    rows = [row | {"doc_id": k, "text": t, "n_chars": len(t or "")} for k, t in
+            enumerate([text, text, text + "\n!!", text + "\nshort", "", None, "..."])]
+    docs = spark.createDataFrame([tuple(r[c] for c in given.columns) for r in rows], given.schema).coalesce(1)
+    kept = written(corpus_pipeline.drop_lines(spark, docs, SF), "test-stage")
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, kept, SF).collect()}
+    assert left == {0: text, 3: "short", 4: "", 5: "", 6: "..."}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
