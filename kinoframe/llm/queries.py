@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, quality, secret_scan, suffix_dedup, toxicity, warc
+from kinoframe.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, parity_join, quality, secret_scan, suffix_dedup, toxicity, warc
 from kinoframe.llm.shards import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, verdict = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return verdict.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+@query
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
