@@ -116,9 +116,9 @@ def band_edges(largest: int, num: int, den: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
-def block_keys(first: np.ndarray, mark: np.ndarray, rarity: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """For each set the keys of the sketch blocks to join, in its own band and
-    as a larger set in the one below.
+def block_keys(first: np.ndarray, mark: np.ndarray, rarity: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key): the keys of the sketch blocks to join of each set, in its
+    own band and as a larger set in the one below.
 
     In a band whose links differ by at most d, SPREAD * (d + 1) blocks are cut
     by the marks' high bits. Linked sets agree in all blocks but d, so they
@@ -131,20 +131,19 @@ def block_keys(first: np.ndarray, mark: np.ndarray, rarity: np.ndarray, num: int
     top = low[1:] - 1
     differ = most_differing(top + top * den // num, num, den)
     own = np.searchsorted(low, size, "right") - 1
-    bits = mark & np.uint64((1 << 44) - 1)
-    flips = _mixed(bits * ODD + np.uint64(1))
+    flips = _mixed((mark & np.uint64((1 << 44) - 1)) * ODD + np.uint64(1))
     rare = rarity[(mark & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.int64)
-    made: list[list[np.ndarray]] = [[] for _ in size]
+    sets, made = [], []
     for step in (0, 1):
-        band = own - step
-        some = np.flatnonzero((size > 0) & (band >= 0))
-        some = some[differ[band[some]] > 0]
-        if not len(some):
+        band = np.maximum(own - step, 0)
+        joins = (size > 0) & (own >= step)
+        joins[joins] = differ[band[joins]] > 0
+        if not joins.any():
             continue
         want = np.zeros(len(size), np.int64)
-        want[some] = differ[band[some]] + 1
+        want[joins] = differ[band[joins]] + 1
         doc = np.repeat(np.arange(len(size)), size)
-        used = want[doc] > 0
+        used = joins[doc]
         doc, m = doc[used], (want * SPREAD).astype(np.uint64)
         place = ((mark[used] >> np.uint64(MARK_BITS - 32)) * m[doc]) >> np.uint64(32)
         new = np.ones(len(doc), bool)
@@ -154,17 +153,28 @@ def block_keys(first: np.ndarray, mark: np.ndarray, rarity: np.ndarray, num: int
         score = np.add.reduceat(rare[used], heads)
         doc, place = doc[heads], place[heads]
         keys = _mixed(word ^ _mixed(place * ODD + band[doc].astype(np.uint64) + np.uint64(1)))
-        order = np.lexsort((keys, -score, doc))
-        doc, keys, place = doc[order], keys[order], place[order]
         at = np.searchsorted(doc, np.arange(len(size) + 1))
-        for i in some.tolist():
-            got = keys[at[i]:at[i + 1]][:want[i]]
-            if len(got) < want[i]:   # empty blocks can be equal too
-                void = np.setdiff1d(np.arange(int(m[i]), dtype=np.uint64), place[at[i]:at[i + 1]])
-                void = np.sort(_mixed(_mixed(void * ODD + np.uint64(band[i] + 1))))
-                got = np.concatenate([got, void[:want[i] - len(got)]])
-            made[i].append(got)
-    return [np.concatenate(k) if k else np.zeros(0, np.uint64) for k in made]
+        for i in np.flatnonzero(joins & (np.diff(at) < want)).tolist():   # empty blocks can be equal too
+            void = np.setdiff1d(np.arange(int(m[i]), dtype=np.uint64), place[at[i]:at[i + 1]])
+            void = np.sort(_mixed(_mixed(void * ODD + np.uint64(band[i] + 1))))[:want[i] - (at[i + 1] - at[i])]
+            sets.append(np.full(len(void), i))
+            made.append(void)
+        order = np.lexsort((keys, -score, doc))
+        first_ones = (np.arange(len(doc)) - at[doc]) < want[doc]
+        sets.append(doc[first_ones])
+        made.append(keys[order][first_ones])
+    if not made:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(sets), np.concatenate(made)
+
+
+def set_ids(first: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each set: equal sets have one id."""
+    sums = np.zeros((2, len(mark) + 1), np.uint64)
+    for k in (0, 1):
+        np.cumsum(_mixed(mark * ODD + np.uint64(17 + k)), out=sums[k, 1:])
+    f = sums[:, first[1:]] - sums[:, first[:-1]]
+    return _mixed(f[0] * ODD ^ _mixed(f[1] + np.diff(first).astype(np.uint64))).view(np.int64)
 
 
 def folded(first: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -219,17 +229,20 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
             & (apart * (den + num) <= sizes * (den - num)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; texts are (id, __text)."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of sets that are linked."""
+    ids = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = written(sketches.join(ids, "set").groupBy("set").agg(F.min("id").alias("id")), "parity-wanted")
 
     def sets(block: Block) -> dict:
         first, mark = shingle_sets(block)
-        raw = np.ascontiguousarray(mark).view(np.uint8).reshape(-1, 8)[:, :7]   # 56 of 64 bits are used
-        return {"keys": [blob(raw[x:y]) for x, y in zip(first[:-1], first[1:])]}
+        raw = np.ascontiguousarray(mark).view(np.uint8).reshape(-1, 8)[:, :7]   # 52 of 64 bits are used
+        return {"set": set_ids(first, mark), "keys": [blob(raw[x:y]) for x, y in zip(first[:-1], first[1:])]}
 
-    given = texts.join(ids, "id", "left_semi")
-    vectors = written(annotate(given, "__text", [("keys", T.BinaryType())], sets, keep=["id"]), "parity-sets")
+    some = wanted.select(F.col("id").alias("w")).distinct()
+    given = texts.join(some, F.col("id").eqNullSafe(F.col("w")), "left_semi")
+    vectors = annotate(given, "__text", [("set", T.LongType()), ("keys", T.BinaryType())], sets, keep=[])
+    vectors = written(vectors.join(ids, "set", "left_semi").dropDuplicates(["set"]), "parity-sets")
     both = pairs.join(vectors.toDF("a", "ka"), "a").join(vectors.toDF("b", "kb"), "b")
 
     def wide(raw: bytes) -> np.ndarray:
@@ -244,72 +257,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
                 x, y = wide(ka.as_py()), wide(kb.as_py())
                 shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(shared * den >= (len(x) + len(y) - shared) * num)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
+                pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(compare, "a long, b long")
 
 
-def link_classes(sketches: DataFrame, texts: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(id, class) of every linked id: class is the smallest id reachable.
-
-    ``sketches`` has one row for each distinct set (id, n, keys, FOLD).
-    """
+def link_classes(texts: DataFrame, sketches: DataFrame, rarity, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(id, class) of every linked set: class is the smallest set id that
+    links reach. ``sketches`` has (id, set, n, FOLD) of every text."""
     num, den = similarity
-    spread = sketches.select("id", F.explode("keys").alias("key")).repartition("key")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, "__text"):
+                first, mark = shingle_sets(block)
+                at, key = block_keys(first, mark, rarity.value, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(set_ids(first, mark)[at])],
+                                                 names=["key", "set"])
+
+    spread = texts.select("__text").mapInArrow(keyed, "key long, set long").repartition("key")
     # one exchange of keys serves the search for shared ones and the join with them
-    shared = (spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
-    members = written(spread.join(shared, "key", "left_semi"), "parity-members")
-    info = sketches.select("id", "n", *FOLD)
-    ties = members.groupBy("id").agg(F.count(F.lit(1)).alias("ties"))
-    members = members.join(ties, "id")
-    centre = (members.groupBy("key").agg(F.max_by("id", F.struct("ties", -F.col("id"))).alias("b"),
-                                         F.count(F.lit(1)).alias("size")))
-    members = written(members.join(centre, "key").where("id <> b"), "parity-centred")
-    star = members.select(F.col("id").alias("a"), "b").distinct()
-    star = (star.join(info.select(F.col("id").alias("a"), F.col("n").alias("a_n"), *[F.col(s).alias("a_" + s) for s in FOLD]), "a")
-            .join(info.select(F.col("id").alias("b"), F.col("n").alias("b_n"), *[F.col(s).alias("b_" + s) for s in FOLD]), "b")
+    shared = spread.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
+    members = written(spread.join(shared, "key", "left_semi").distinct(), "parity-members")
+    info = sketches.groupBy("set").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in FOLD])
+    info = written(info.join(members.select("set").distinct(), "set", "left_semi"), "parity-info")
+    ties = members.groupBy("set").agg(F.count(F.lit(1)).alias("ties"))
+    members = members.join(ties, "set")
+    centre = (members.groupBy("key").agg(F.max_by("set", F.struct("ties", "set")).alias("b"), F.count(F.lit(1)).alias("size")))
+    members = written(members.join(centre, "key").where("set <> b"), "parity-centred")
+    of = lambda c: info.select(F.col("set").alias(c), F.col("n").alias(c + "_n"), *[F.col(s).alias(f"{c}_{s}") for s in FOLD])
+    star = (members.select(F.col("set").alias("a"), "b").distinct().join(of("a"), "a").join(of("b"), "b")
             .where(_near("a_", "b_", num, den)).select("a", "b"))
-    links = written(_verified(written(star, "parity-stars"), texts, num, den), "parity-links")
+    links = written(_verified(written(star, "parity-stars"), sketches, texts, num, den), "parity-links")
     # members that the centre did not bring together meet those of other classes
-    named = with_class(members.where("size > 2").select("key", "id", "size"), connected_components(links))
-    several = (named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high"))
-    rest = (named.join(several.select("key", "low"), "key").join(info, "id")
+    named = with_class(members.where("size > 2").select("key", "set", "size"), connected_components(links), "set")
+    several = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rest = (named.join(several.select("key", "low"), "key").join(info, "set")
             .withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int")))
     rest = written(rest, "parity-rest")
-    x = rest.where("class <> low").withColumn("piece", F.pmod(F.hash("id"), "pieces")).alias("x")
+    x = rest.where("class <> low").withColumn("piece", F.pmod(F.hash("set"), "pieces")).alias("x")
     y = rest.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
     cross = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.piece") == F.col("y.piece"))
                     & (F.col("x.class") != F.col("y.class")) & _near("x.", "y.", num, den))
-             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
-    more = _verified(written(cross, "parity-cross"), texts, num, den)
+             .select(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b")).distinct())
+    more = _verified(written(cross, "parity-cross"), sketches, texts, num, den)
     return connected_components(links.unionByName(more))
 
 
-def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                     similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """A written table with a row for each document: row, id, __text, n (set
-    size), two fingerprints of the set, its sketch and its block keys."""
-    num, den = similarity
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
-                        F.col(f"`{text_col}`").cast("string").alias("__text"))
-    table = docs.sparkSession.sparkContext.broadcast(rarity_table(texts, "__text"))
-
-    def work(block: Block) -> dict:
-        first, mark = shingle_sets(block)
-        size = np.diff(first)
-        sums = np.zeros((2, len(mark) + 1), np.uint64)
-        for k in (0, 1):
-            np.cumsum(_mixed(mark * ODD + np.uint64(17 + k)), out=sums[k, 1:])
-        f = (sums[:, first[1:]] - sums[:, first[:-1]]).view(np.int64)
-        fold = folded(first, mark)
-        keys = [k.view(np.int64) for k in block_keys(first, mark, table.value, num, den)]
-        return {"n": size, "f1": f[0], "f2": f[1], "keys": keys} | {s: fold[:, k] for k, s in enumerate(FOLD)}
-
-    add = [("n", T.LongType()), ("f1", T.LongType()), ("f2", T.LongType()), *[(s, T.LongType()) for s in FOLD],
-           ("keys", T.ArrayType(T.LongType()))]
-    return written(annotate(texts, "__text", add, work, keep=["row", "id", "__text"]), "parity-sketches")
-
-
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """For each row of ``docs``: ``id_col``, n_shingles, component_id and
@@ -322,20 +317,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingle and are linked with nothing. Repeated rows and repeated ids are
     documents of their own; a null id counts only where no other is reached.
     An empty table gives no rows; other columns are not regarded. Shingles are
-    compared by 52-bit hashes.
+    compared by 52-bit hashes, equal sets by 64-bit ones.
     """
-    rows = sketch_documents(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    def sketch(block: Block) -> dict:
+        first, mark = shingle_sets(block)
+        fold = folded(first, mark)
+        return {"n": np.diff(first), "set": set_ids(first, mark)} | {s: fold[:, k] for k, s in enumerate(FOLD)}
+
+    add = [(c, T.LongType()) for c in ("n", "set", *FOLD)]
+    rows = written(annotate(texts, "__text", add, sketch, keep=["id"]), "parity-sketches")
     some = rows.where("n > 0")
-    reps = written(some.groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("low"),
-                                                    F.count(F.lit(1)).alias("copies")), "parity-reps")
-    sketches = (some.where(F.size("keys") > 0).join(reps.select(F.col("rep").alias("row")), "row", "left_semi")
-                .select(F.col("row").alias("id"), "n", "keys", *FOLD))
-    texts = rows.select(F.col("row").alias("id"), "__text")
-    classes = link_classes(sketches, texts, similarity)
-    named = written(with_class(reps.withColumnRenamed("rep", "rid"), classes, "rid"), "parity-classes")
+    rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(texts, "__text"))
+    classes = link_classes(texts, some, rarity, similarity)
+    sets = some.groupBy("set").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    named = written(with_class(sets, classes, "set"), "parity-classes")
     least = named.groupBy("class").agg(F.min("low").alias("component_id"), F.sum("copies").alias("class_size"))
-    found = named.join(least, "class").select("f1", "f2", "n", "component_id", "class_size")
-    return (rows.select("id", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left")
+    found = named.join(least, "class").select("set", "component_id", "class_size")
+    return (rows.select("id", "n", "set").join(found, "set", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-                    F.coalesce("class_size", F.lit(1)).alias("class_size")))
+                    F.when(F.col("n") > 0, F.col("class_size")).otherwise(F.lit(1)).alias("class_size")))
