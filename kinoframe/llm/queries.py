@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinoframe.llm import bpe, decontaminate, license_scan, line_dedup, near_dup, parity_join, quality, secret_scan, spelling, suffix_dedup, toxicity, warc
+from kinoframe.llm import bpe, conversation_repair, decontaminate, license_scan, line_dedup, near_dup, parity_join, quality, secret_scan, spelling, suffix_dedup, toxicity, warc
 from kinoframe.llm.shards import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
