@@ -40,4 +40,5 @@ def load_all() -> None:
         a_streams,
         a_scalar,
         a_film,
+        a_batches,
     )

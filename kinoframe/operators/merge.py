@@ -28,7 +28,8 @@ def header_projection(df: DataFrame, header_cols: Sequence[str]) -> DataFrame:
 
 def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str] | None = None,
                     keep_first: Sequence[str] = (), supplied: Sequence[str] | None = None,
-                    replace_whole: Sequence[str] = (), order: Sequence[str] | None = None) -> DataFrame:
+                    replace_whole: Sequence[str] = (), order: Sequence[str] | None = None,
+                    null_keys: bool = True) -> DataFrame:
     """Merge partial records ``new`` into ``old`` on ``key``.
 
     * default: new value wins unless it is NULL (``coalesce(new, old)``);
@@ -45,7 +46,8 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
 
     Plan: one full outer join on the key at every size (both sides hashed on
     it, or bucketed so that no shuffle is needed). Rows without a key match
-    nothing; they pass by the join, so they never gather in one task.
+    nothing; they pass by the join, so they never gather in one task. With
+    ``null_keys=False`` (neither side has such rows) each side is read once.
     """
     if order is not None:
         new, order = (new, list(order)) if order else (new.withColumn("_seq", F.monotonically_increasing_id()), ["_seq"])
@@ -68,6 +70,8 @@ def merge_null_safe(old: DataFrame, new: DataFrame, key, columns: Sequence[str]
                 out.append(F.coalesce(F.col(f"_n_{c}"), oc).alias(c))
         return j.select(*keys, *out)
 
+    if not null_keys:
+        return combine(o.join(n, on=keys, how="full_outer"))
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

@@ -109,11 +109,17 @@ def apply_film_batch(t: dict[str, DataFrame], batch: DataFrame, order: Sequence[
     without a film key are left out (U9: report them with
     ``merge.quarantine(batch, "crit_id")``) instead of failing the batch."""
     batch = cut_lineage(fold_film_batch(batch.filter(F.col(KEY).isNotNull()), order), "film-batch")
+    return dict(t) | apply_folded(t, batch)
+
+
+def apply_folded(t: dict[str, DataFrame], batch: DataFrame, null_keys: bool = True) -> dict[str, DataFrame]:
+    """The tables that a batch of one record a film changes (see
+    :func:`apply_film_batch`); ``null_keys=False`` where no header lacks its
+    key."""
     header_cols = [c for c in HEADER_COLUMNS if c in batch.columns and c != KEY]
-    new_t = dict(t)
-    new_t["movies"] = merge_null_safe(t["movies"], batch.select(KEY, *header_cols), KEY,
-                                      columns=[c for c in t["movies"].columns if c != KEY],
-                                      keep_first=["date_added"])
+    new_t = {"movies": merge_null_safe(t["movies"], batch.select(KEY, *header_cols), KEY,
+                                       columns=[c for c in t["movies"].columns if c != KEY],
+                                       keep_first=["date_added"], null_keys=null_keys)}
     nested_cols = [c for c in batch.columns if c not in HEADER_COLUMNS]
     exploded = explode_films(_with_all_lists(batch))
     for name in CHILD_TABLES:
