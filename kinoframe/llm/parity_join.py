@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ CELLS = 1 << CELL_BITS
 CHUNK = 1 << 14
 FOLD = [f"s{k}" for k in range(8)]   # the folded sketch, 64 bits each
 PIECE = 2000               # members of a bucket that one salted piece compares with all others
+BLOCK_BYTES = 1 << 20      # of texts that a task works on at a time
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -197,7 +198,7 @@ def rarity_table(texts: DataFrame, column: str) -> np.ndarray:
         from pyspark import TaskContext
         n = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for block in blocks(batch, column):
+            for block in blocks(batch, column, BLOCK_BYTES):
                 n += np.bincount((shingle_marks(block)[1] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
         part = TaskContext.get().partitionId() % 1024
         for c in range(CELLS // CHUNK):
@@ -241,7 +242,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, num: int,
 
     some = wanted.select(F.col("id").alias("w")).distinct()
     given = texts.join(some, F.col("id").eqNullSafe(F.col("w")), "left_semi")
-    vectors = annotate(given, "__text", [("set", T.LongType()), ("keys", T.BinaryType())], sets, keep=[])
+    vectors = annotate(given, "__text", [("set", T.LongType()), ("keys", T.BinaryType())], sets, keep=[], block_bytes=BLOCK_BYTES)
     vectors = written(vectors.join(ids, "set", "left_semi").dropDuplicates(["set"]), "parity-sets")
     both = pairs.join(vectors.toDF("a", "ka"), "a").join(vectors.toDF("b", "kb"), "b")
 
@@ -270,16 +271,17 @@ def link_classes(texts: DataFrame, sketches: DataFrame, rarity, similarity: tupl
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch, "__text"):
+            for block in blocks(batch, "__text", BLOCK_BYTES):
                 first, mark = shingle_sets(block)
                 at, key = block_keys(first, mark, rarity.value, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(set_ids(first, mark)[at])],
                                                  names=["key", "set"])
 
-    spread = texts.select("__text").mapInArrow(keyed, "key long, set long").repartition("key")
-    # one exchange of keys serves the search for shared ones and the join with them
-    shared = spread.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("key")
-    members = written(spread.join(shared, "key", "left_semi").distinct(), "parity-members")
+    # one exchange of keys; a window streams a bucket's rows, however many
+    spread = texts.select("__text").mapInArrow(keyed, "key long, set long")
+    bucket = Window.partitionBy("key")
+    spread = spread.withColumn("lo", F.min("set").over(bucket)).withColumn("hi", F.max("set").over(bucket))
+    members = written(spread.where("lo < hi").select("key", "set").distinct(), "parity-members")
     info = sketches.groupBy("set").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in FOLD])
     info = written(info.join(members.select("set").distinct(), "set", "left_semi"), "parity-info")
     ties = members.groupBy("set").agg(F.count(F.lit(1)).alias("ties"))
@@ -327,7 +329,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return {"n": np.diff(first), "set": set_ids(first, mark)} | {s: fold[:, k] for k, s in enumerate(FOLD)}
 
     add = [(c, T.LongType()) for c in ("n", "set", *FOLD)]
-    rows = written(annotate(texts, "__text", add, sketch, keep=["id"]), "parity-sketches")
+    rows = written(annotate(texts, "__text", add, sketch, keep=["id"], block_bytes=BLOCK_BYTES), "parity-sketches")
     some = rows.where("n > 0")
     rarity = docs.sparkSession.sparkContext.broadcast(rarity_table(texts, "__text"))
     classes = link_classes(texts, some, rarity, similarity)
