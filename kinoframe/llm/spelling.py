@@ -103,9 +103,9 @@ def _first_shared(parts: list[str]) -> Column:
     letters = F.array(*[F.lit(p) for p in parts])
 
     def same_but(k: Column) -> Column:
-        # no other letter differs, so the edit lies within part k
+        # both letters of the edit belong to part k
         gone = F.element_at(letters, (k + 1).cast("int"))
-        without = lambda c: F.call_function("translate", sorted_letters(F.col(c)), gone, F.lit(""))
+        without = lambda c: F.call_function("translate", F.col(c), gone, F.lit(""))
         return without("x.word") == without("y.word")
 
     first = F.when(same_but(a), (a == 0) & (b == 1) | (a == 0) & (b == 0)).when(same_but(b), a == 0).otherwise(True)
@@ -119,9 +119,13 @@ def near_pairs(words: DataFrame, parts: list[str]) -> DataFrame:
     x, y = signed.alias("x"), signed.alias("y")
     role_x, role_y = F.floor(F.col("x.place") / 200), F.floor(F.col("y.place") / 200)
     rest = F.lit(200)
+    last = lambda c: F.right(F.col(c), F.lit(1))
+    but_last = lambda c: F.substring(F.col(c), F.lit(1), F.char_length(c) - 1)
+    # an edit that is not the last letter's leaves that alone: a cheap test before the edit distance
+    ends = (last("x.word") == last("y.word")) | (but_last("x.word") == but_last("y.word")) | (role_x == 1)
     return (x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.place") % rest == F.col("y.place") % rest)
                    & ((role_x == 0) & (role_y == 0) & (F.col("x.word") < F.col("y.word")) | (role_x == 1) & (role_y == 2))
-                   & (F.levenshtein("x.word", "y.word", 1) == 1) & _first_shared(parts))
+                   & ends & (F.levenshtein("x.word", "y.word", 1) == 1) & _first_shared(parts))
             .select(F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n")))
 
 
