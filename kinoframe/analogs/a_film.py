@@ -139,9 +139,14 @@ SELECT CAST(p_partkey AS BIGINT) AS crit_id,
        CAST(p_size + 10 AS INTEGER) AS runtime, 'Doe, Jo ' || p_size || '|van Dam, Al' AS cast_names,
        '2020-01-01 00:00:00' AS imdb_main_updated
   FROM part
+UNION ALL
+SELECT CAST(p_partkey AS BIGINT), '2007-07-07', NULL, NULL, NULL, p_size, 1.5, 'z', 'new ' || p_partkey,
+       CAST(p_size + 200 AS INTEGER), '', '2021-01-01 00:00:00'
+  FROM part WHERE p_partkey % 7 = 0
 """)
 def main_record_query(spark, sf_dir):
-    """Raw text records made of parts, turned into film records."""
+    """Raw text records made of parts, turned into film records; every
+    seventh film was fetched a second time, with other values."""
     p = t(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size").cast("int")
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
@@ -160,6 +165,11 @@ def main_record_query(spark, sf_dir):
         F.array(person(text("Jo ", size, " Doe"), "1"), person(F.lit("Al van Dam"), "2"), person(F.lit("No Id"), "x"),
                 person(text("Jo ", size, " Doe"), "1")).alias("cast"),
         F.lit("2020-01-01").cast("timestamp").alias("fetched_at"))
+    again = {"crit_id": k, "releases": F.array(F.lit("Chile::7 July 2007")), "votes": size.cast("string"), "score": F.lit("1.5"),
+             "genres": F.array(F.lit("z")), "plots": F.array(text("new ", k, "::me")),
+             "runtimes": F.array((size + 200).cast("string")), "cast": F.array(), "fetched_at": F.lit("2021-01-01")}
+    raw = raw.unionByName(p.where(k % 7 == 0).select(
+        *[again.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in raw.schema.fields]))
     got = main_records(raw)
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return got.select(F.col("crit_id").cast("long").alias("crit_id"), day("original_release_date"), day("dutch_release_date"),

@@ -1,7 +1,10 @@
-"""Priority picks per group (A11-A14, N3, N4, N8): the earliest date or the
-alphabetically first title of the best non-empty priority class. Each pick
-is one ``groupBy`` with filtered ``min`` aggregates (map-side combinable,
-so a hot key never gathers its rows in one task) and a ``coalesce``.
+"""Priority picks (A11-A14, N3, N4, N8): the earliest date or the
+alphabetically first title of the best non-empty priority class.
+
+Over rows each pick is one ``groupBy`` with filtered ``min`` aggregates
+(map-side combinable, so a hot key never gathers its rows in one task) and a
+``coalesce``. Over a list that stands in the row (``*_of``) it is an
+expression on the list, without any exchange.
 """
 
 from __future__ import annotations
@@ -68,3 +71,41 @@ def median_int(df: DataFrame, key: str | Sequence[str], value: str, alias: str |
     keys = [key] if isinstance(key, str) else list(key)
     med = exact_percentiles(df, value, [0.5], by=keys)
     return med.select(*keys, F.bround(F.col("p50"), 0).cast("int").alias(alias or value))
+
+
+def _best_of(items: Column, value: str, classes: Sequence) -> Column:
+    """The least value of the first class with one, over a list of structs."""
+    return F.coalesce(*[F.array_min(F.transform(F.filter(items, c), lambda x: x[value])) for c in classes])
+
+
+def release_dates_of(releases: str, country: str = "Netherlands") -> tuple[Column, Column]:
+    """N3 + A11 on a list of parsed releases: (original, local) date."""
+    tags = lambda r: F.coalesce(r["tags"], F.array().cast("array<string>"))
+    dated = F.filter(F.col(releases), lambda r: r["date"].isNotNull() & ~F.array_contains(tags(r), RE_RELEASE_TAG))
+    classes = [lambda r: r["tags"].isNull(), lambda r: F.array_contains(tags(r), LIMITED_TAG), lambda r: r["date"].isNotNull()]
+    local = F.filter(dated, lambda r: r["country"] == country)
+    return _best_of(dated, "date", classes), _best_of(local, "date", classes)
+
+
+def titles_of(akas: str) -> tuple[Column, Column]:
+    """A12 + N4 on a list of parsed titles: (original, English) title."""
+    items = F.col(akas)
+    worldwide = lambda a: a["country"] == WORLDWIDE_COUNTRY
+    english = lambda a: a["tag"] == ENGLISH_TITLE_TAG
+    original = _best_of(items, "title", [lambda a: a["tag"] == ORIGINAL_TITLE_TAG])
+    found = _best_of(items, "title", [lambda a: worldwide(a) & english(a), worldwide, english, lambda a: a["country"] == USA_COUNTRY])
+    return original, F.when(original.isNotNull(), found)
+
+
+def shortest_of(texts: Column) -> Column:
+    """A13 on a list: the shortest text, the first of equal ones."""
+    placed = F.transform(texts, lambda x, i: F.struct(F.length(x).alias("size"), i.alias("at"), x.alias("text")))
+    return F.array_min(F.filter(placed, lambda x: x["text"].isNotNull()))["text"]
+
+
+def median_of(numbers: Column) -> Column:
+    """A14 on a list: the median, rounded half to even, as int."""
+    x = F.array_sort(F.array_compact(numbers))
+    n = F.size(x)
+    at = lambda i: F.get(x, i.cast("int")).cast("double")
+    return F.when(n > 0, F.bround((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 0).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kinoframe.functions.text import parse_aka, parse_release, parse_votes, people_list, strip_author, to_int_or_null
 from kinoframe.operators.lookup import bridge
 from kinoframe.operators.merge import merge_null_safe
-from kinoframe.operators.priority import median_int, pick_release_dates, pick_titles, shortest_text
+from kinoframe.operators.priority import median_of, release_dates_of, shortest_of, titles_of
 from kinoframe.schemas import ROLES
 from kinoframe.sources.catalogue import catalogue_items, clean_catalogue_items
 
@@ -24,28 +24,23 @@ def main_records(raw: DataFrame, stamp_col: str = "fetched_at", stamp_as: str =
     """One film record per raw record (key, releases, akas, plots, runtimes,
     genres, keywords, cast / director / writer lists, votes, score, a stamp).
 
-    Each list is exploded once and reduced by its own pick (dates, titles,
-    shortest plot, median runtime) with one aggregation by key; genres and
-    keywords become sorted sets. Fields that are missing stay NULL, so the
-    merge keeps what is stored.
+    Every pick (dates, titles, shortest plot, median runtime) is made from the
+    lists that stand in the row, so nothing moves and a film that was fetched
+    twice gives two records, each with its own values; genres and keywords
+    become sorted sets. Fields that are missing stay NULL, so the merge keeps
+    what is stored.
     """
-    def each(col: str, name: str) -> DataFrame:
-        return raw.select(KEY, F.posexplode(col).alias("pos", name))
-
-    releases = each("releases", "s").select(KEY, parse_release("s").alias("r")).select(KEY, "r.*")
-    dates = pick_release_dates(releases.where("date is not null"), KEY).withColumnRenamed(
-        "local_release_date", "dutch_release_date")
-    akas = each("akas", "s").select(KEY, parse_aka("s").alias("a")).select(KEY, "a.*")
-    titles = pick_titles(akas, KEY).withColumnRenamed("english_title", "imdb_title")
-    plots = shortest_text(each("plots", "p").withColumn("plot_storyline", strip_author("p")), KEY, "plot_storyline", "pos")
-    runtimes = median_int(each("runtimes", "s").select(KEY, to_int_or_null("s").alias("runtime")), KEY, "runtime")
-    head = raw.select(
+    parsed = raw.withColumns({"_releases": F.transform("releases", parse_release), "_akas": F.transform("akas", parse_aka),
+                              "_plots": F.transform("plots", strip_author), "_runtimes": F.transform("runtimes", to_int_or_null)})
+    original_date, local_date = release_dates_of("_releases")
+    original, english = titles_of("_akas")
+    return parsed.select(
         KEY, parse_votes("votes").cast("int").alias("imdb_votes"), F.col("score").try_cast("double").alias("imdb_rating"),
         F.array_sort(F.array_distinct("genres")).alias("genres"), F.array_sort(F.array_distinct("keywords")).alias("keywords"),
-        *[people_list(r).alias(r) for r in ROLES.values() if r in raw.columns], F.col(stamp_col).alias(stamp_as))
-    for part in (dates, titles, plots, runtimes):
-        head = head.join(part, KEY, "left")
-    return head
+        *[people_list(r).alias(r) for r in ROLES.values() if r in raw.columns], F.col(stamp_col).alias(stamp_as),
+        original_date.alias("original_release_date"), local_date.alias("dutch_release_date"),
+        original.alias("original_title"), english.alias("imdb_title"), shortest_of(F.col("_plots")).alias("plot_storyline"),
+        median_of(F.col("_runtimes")).alias("runtime"))
 
 
 def enrich_films(movies: DataFrame, pages: DataFrame, stamp) -> DataFrame:

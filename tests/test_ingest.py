@@ -18,14 +18,14 @@ from kinoframe.sources.tables import TableStore, add_columns, align_schema, crea
 
 def test_catalogue_items(spark, tmp_path):
     page = {"COUNT": "3", "ITEMS": [
-        {"netflixid": "80192014", "title": "Larceny", "rating": "0", "imdbid": "tt4797160"},
-        {"netflixid": "80192015", "title": "X", "rating": "", "imdbid": "tt4797160"},
-        {"netflixid": "80192016", "title": "Y", "rating": "1", "imdbid": "notfound"}]}
+        {"netflixid": "501", "title": "Red Kite", "rating": "2.5", "imdbid": "tt0000321"},
+        {"netflixid": "502", "title": "Blue Kite", "rating": "", "imdbid": "tt0000321"},
+        {"netflixid": "503", "title": "No Kite", "rating": "1", "imdbid": "notfound"}]}
     path = tmp_path / "page.json"
     path.write_text(json.dumps(page))
     items = clean_catalogue_items(catalogue_items(read_catalogue_json(spark, str(path)))).collect()
     assert [(r["netflix_id"], r["netflix_rating"], r["imdbid"]) for r in items] == [
-        (80192014, 0.0, 4797160), (80192015, None, 4797160)]
+        (501, 2.5, 321), (502, None, 321)]
 
 
 def test_genre_page_inversion(spark):

@@ -1,4 +1,4 @@
-"""Normalisation expressions on the literal cases of the reference's tests."""
+"""Normalisation expressions on invented records."""
 
 import datetime as dt
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from kinoframe.functions.dates import fractional_year
 from kinoframe.functions.text import (parse_aka, parse_release, parse_votes, people_list, person_record,
                                       strip_author)
-from kinoframe.operators.priority import median_int, pick_release_dates, pick_titles, shortest_text
+from kinoframe.operators.priority import (median_int, median_of, pick_release_dates, pick_titles, release_dates_of, shortest_of,
+                                          shortest_text, titles_of)
+from kinoframe.plans.raw_records import main_records
 
 
 def one(spark, expr, value, schema="s string"):
@@ -16,13 +18,12 @@ def one(spark, expr, value, schema="s string"):
 
 
 @pytest.mark.parametrize("raw,country,date,tags", [
-    ("Czech Republic::5 August 1999", "Czech Republic", dt.datetime(1999, 8, 5), None),
-    ("Argentina::2 October 2003 (re-release)", "Argentina", dt.datetime(2003, 10, 2), ["re-release"]),
-    ("Portugal::9 June 1999 (Oporto)\n (premiere)", "Portugal", dt.datetime(1999, 6, 9), ["Oporto", "premiere"]),
-    ("USA::24 March 1999 (Westwood, California)\n (premiere)", "USA", dt.datetime(1999, 3, 24),
-     ["Westwood, California", "premiere"]),
-    ("USA::March 1999", "USA", dt.datetime(1999, 3, 1), None),
-    ("USA::1999 (a)\n (b)\n (c)", "USA", dt.datetime(1999, 1, 1), ["b", "c"]),
+    ("New Atlantis::17 May 2011", "New Atlantis", dt.datetime(2011, 5, 17), None),
+    ("Utopia::November 1984 (re-release)", "Utopia", dt.datetime(1984, 11, 1), ["re-release"]),
+    ("Erewhon::30 January 1956 (Old Town)\n (late show)", "Erewhon", dt.datetime(1956, 1, 30), ["Old Town", "late show"]),
+    ("Ruritania::8 December 1937 (Strelsau, Castle)\n (gala)", "Ruritania", dt.datetime(1937, 12, 8), ["Strelsau, Castle", "gala"]),
+    ("Laputa::1926", "Laputa", dt.datetime(1926, 1, 1), None),
+    ("Laputa::1926 (one)\n (two)\n (three)", "Laputa", dt.datetime(1926, 1, 1), ["two", "three"]),
 ])
 def test_parse_release(spark, raw, country, date, tags):
     r = one(spark, parse_release, raw)
@@ -31,19 +32,21 @@ def test_parse_release(spark, raw, country, date, tags):
     assert r["tags"] == tags
 
 
+def release(country, day, *tags):
+    return f"{country}::{day:%-d %B %Y}" + "\n".join(f" ({t})" for t in tags)
+
+
+D = [dt.datetime(1950, 6, 1) + dt.timedelta(days=k) for k in range(9)]
+HOME = "Netherlands"   # fixed value: the country whose own date is kept
+# (releases, earliest date, earliest date at home): a plain release goes before a limited one, that before any other;
+# a re-release never counts
 RELEASE_SETS = [
-    (["USA::24 March 1999 (Westwood, California)\n (premiere)", "USA::28 March 1999 (Westwood, California)\n (limited)",
-      "USA::30 March 1999"], dt.datetime(1999, 3, 30), None),
-    (["Netherlands::4 April 1999 (premiere)", "USA::24 March 1999 (Westwood, California)\n (premiere)",
-      "USA::28 March 1999 (Westwood, California)\n (limited)"], dt.datetime(1999, 3, 28), dt.datetime(1999, 4, 4)),
-    (["Netherlands::4 April 1999 (premiere)", "Netherlands::8 April 1999", "USA::25 March 1999"],
-     dt.datetime(1999, 3, 25), dt.datetime(1999, 4, 8)),
-    (["USA::24 March 1999 (Westwood, California)\n (premiere)", "Bangladesh::27 March 1999",
-      "Netherlands::5 April 1999 (limited)", "Netherlands::2 April 1999 (premiere)"],
-     dt.datetime(1999, 3, 27), dt.datetime(1999, 4, 5)),
-    (["Italy::21 December 1968", "Italy::24 December 1968 (Turin)", "USA::28 May 1969 (New York, New York City)",
-      "USA::4 July 1969", "Netherlands::3 November 2016 (re-release)"], dt.datetime(1968, 12, 21), None),
-    (["Afghanistan::29 March 1999", "Bangladesh::27 March 1999"], dt.datetime(1999, 3, 27), None),
+    ([release("Utopia", D[0], "gala"), release("Utopia", D[2], "limited"), release("Erewhon", D[5])], D[5], None),
+    ([release("Utopia", D[3], "gala"), release("Laputa", D[4], "limited"), release(HOME, D[1], "gala")], D[4], D[1]),
+    ([release(HOME, D[7]), release(HOME, D[6], "gala"), release("Utopia", D[8])], D[7], D[7]),
+    ([release(HOME, D[0], "gala"), release(HOME, D[4], "limited"), release("Laputa", D[2])], D[2], D[4]),
+    ([release(HOME, D[1], "re-release"), release("Utopia", D[6]), release("Utopia", D[8])], D[6], None),
+    ([release("Laputa", D[3], "gala"), release("Erewhon", D[2], "Old Town")], D[2], None),
 ]
 
 
@@ -62,29 +65,26 @@ def test_release_none_gives_no_row(spark):
 
 
 @pytest.mark.parametrize("raw,expect", [
-    ("Argentina::Matrix", ("Argentina", None, "Matrix")),
-    ("Canada (French title)::La matrice", ("Canada", "French title", "La matrice")),
-    ("Finland (video box title)::Matrix", ("Finland", "video box title", "Matrix")),
-    ("Europe (festival title) (English title)::Untouchable", ("Europe", "English title", "Untouchable")),
-    ("(original title)::Intouchables", ("", "original title", "Intouchables")),
+    ("Utopia::Red Kite", ("Utopia", None, "Red Kite")),
+    ("Laputa (Laputan title)::Kite Ed", ("Laputa", "Laputan title", "Kite Ed")),
+    ("New Atlantis (tv title)::Kite", ("New Atlantis", "tv title", "Kite")),
+    ("Erewhon (tv title) (English title)::The Kite", ("Erewhon", "English title", "The Kite")),
+    ("(original title)::Rode Vlieger", ("", "original title", "Rode Vlieger")),
 ])
 def test_parse_aka(spark, raw, expect):
     r = one(spark, parse_aka, raw)
     assert (r["country"], r["tag"], r["title"]) == expect
 
 
+# (titles, English title, original title): the four classes in turn, least title first; none without an original
 TITLE_SETS = [
-    (["Argentina::Matrix", "Belgium (French title)::Matrix", "Finland (video box title)::Matrix",
-      "Japan (English title)::Matrix", "Panama (alternative title)::La matriz"], None, None),
-    (["(original title)::Intouchables", "Argentina::Amigos intocables", "Bulgaria (Bulgarian title)::Недосегаемите",
-      "Europe (festival title) (English title)::Untouchable", "World-wide::The Intouchables"],
-     "The Intouchables", "Intouchables"),
-    (["(original title)::Le fils", "Argentina::El hijo", "Bulgaria (Bulgarian title)::Синът",
-      "World-wide (English title)::The Son"], "The Son", "Le fils"),
-    (["(original title)::Teströl és lélekröl", "Argentina::En cuerpo y alma",
-      "World-wide (English title)::On Body and Soul"], "On Body and Soul", "Teströl és lélekröl"),
-    (["(original title)::De lift", "Argentina::El ascensor", "Philippines (English title)::The Lift",
-      "Soviet Union (Russian title)::Лифт", "USA::The Lift"], "The Lift", "De lift"),
+    (["Utopia::Kite", "Laputa (English title)::The Kite", "World-wide::A Kite"], None, None),
+    (["(original title)::Vlieger", "USA::Kite 4", "Laputa (English title)::Kite 3", "World-wide::Kite 2",
+      "World-wide (English title)::Kite 1"], "Kite 1", "Vlieger"),
+    (["(original title)::Vlieger", "USA::A", "Laputa (English title)::B", "World-wide::D", "World-wide::C"], "C", "Vlieger"),
+    (["(original title)::Zeppelin", "(original title)::Vlieger", "USA::A", "Laputa (tv title) (English title)::B"], "B", "Vlieger"),
+    (["(original title)::Vlieger", "USA::Kite", "Laputa (Laputan title)::Etik"], "Kite", "Vlieger"),
+    (["(original title)::Vlieger", "Utopia::Kite"], None, "Vlieger"),
 ]
 
 
@@ -96,7 +96,35 @@ def test_title_priority(spark):
         assert (got[i]["english_title"], got[i]["original_title"]) == (eng, orig)
 
 
-@pytest.mark.parametrize("raw,expect", [(None, None), ("1000", 1000), ("(2,345)", 2345), ("xdfw2,345)", None)])
+def test_picks_from_lists_equal_picks_over_rows(spark):
+    releases = spark.createDataFrame([(lst,) for lst, _, _ in RELEASE_SETS] + [([],), (None,)], "r array<string>")
+    dates = releases.select(F.transform("r", parse_release).alias("p")).select(*release_dates_of("p")).collect()
+    assert [tuple(r) for r in dates] == [(o, h) for _, o, h in RELEASE_SETS] + [(None, None)] * 2
+    akas = spark.createDataFrame([(lst,) for lst, _, _ in TITLE_SETS] + [([],), (None,)], "a array<string>")
+    titles = akas.select(F.transform("a", parse_aka).alias("p")).select(*titles_of("p")).collect()
+    assert [tuple(r) for r in titles] == [(o, e) for _, e, o in TITLE_SETS] + [(None, None)] * 2
+    lists = spark.createDataFrame([(["bb", "aa", "ccc", None], [2, 3]), ([None], [3, None, 4]), ([], []), (None, None), (["x"], [9, 1, 7])],
+                                  "t array<string>, n array<int>")
+    got = lists.select(shortest_of(F.col("t")), median_of(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("bb", 2), (None, 4), (None, None), (None, None), ("x", 7)]
+
+
+def test_main_records_of_a_film_that_was_fetched_twice(spark):
+    raw = spark.createDataFrame(
+        [(1, ["Utopia::1 June 1990"], ["(original title)::A"], ["p::x"], ["100"], "7", "1.0", ["g"], ["k"], dt.datetime(2020, 1, 1)),
+         (1, ["Utopia::1 June 2001"], ["(original title)::B"], ["q::x"], ["200"], "8", None, ["h"], None, dt.datetime(2021, 1, 1)),
+         (2, None, None, None, None, None, None, None, None, None)],
+        "crit_id int, releases array<string>, akas array<string>, plots array<string>, runtimes array<string>, votes string, "
+        "score string, genres array<string>, keywords array<string>, fetched_at timestamp")
+    records = main_records(raw)
+    assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+    got = [(r["crit_id"], r["original_release_date"], r["original_title"], r["plot_storyline"], r["runtime"], r["imdb_votes"])
+           for r in records.collect()]
+    assert got == [(1, dt.datetime(1990, 6, 1), "A", "p", 100, 7), (1, dt.datetime(2001, 6, 1), "B", "q", 200, 8),
+                   (2, None, None, None, None, None)]
+
+
+@pytest.mark.parametrize("raw,expect", [(None, None), ("71", 71), ("(9,810,442)", 9810442), ("9,810)", None), ("many", None)])
 def test_parse_votes(spark, raw, expect):
     assert one(spark, parse_votes, raw) == expect
 
@@ -110,8 +138,8 @@ def test_person_and_dedupe(spark):
 
 
 def test_strip_author(spark):
-    assert one(spark, strip_author, "This is a plot.::Ada Lovelace") == "This is a plot."
-    assert one(spark, strip_author, "This is a plot.") == "This is a plot."
+    assert one(spark, strip_author, "A kite is lost::J. Doe") == "A kite is lost"
+    assert one(spark, strip_author, "A kite is lost") == "A kite is lost"
     assert one(spark, strip_author, "Two\nlines::someone") == "Two\nlines"
 
 
