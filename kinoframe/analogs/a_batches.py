@@ -5,8 +5,12 @@ from pyspark.sql import functions as F
 from kinoframe.analogs import register
 from kinoframe.analogs.common import t, ts_text
 from kinoframe.plans.film_batches import film_batch_writer, film_store
+from kinoframe.schemas import SCHEMAS
 from kinoframe.session import work_path
-from kinoframe.streaming.streams import file_stream, run_available
+from kinoframe.sources.batches import BatchStore
+from kinoframe.sources.key_filters import check_batch, write_filters
+from kinoframe.streaming.seen import drop_seen_writer, seen_store
+from kinoframe.streaming.streams import dedupe, file_stream, run_available
 
 NEW_FILMS = 1_000_000_000   # added to a part's key for the films of the last landing
 PEOPLE = "array<struct<canonical_name:string,name:string,person_id:bigint>>"
@@ -86,3 +90,53 @@ def stream_film_batch_query(spark, sf_dir):
                     rating=("me", "rating"), psi=("me", "psi"), your_rating=("you", "rating"))):
         out = out.join(part, "crit_id", "left")
     return out.withColumn("crit_id", F.col("crit_id").cast("long"))
+
+
+@register("create_table", """
+WITH b AS (SELECT p_partkey, g.genre, n.nth FROM part, (VALUES ('old'), ('new')) g(genre), (VALUES (1), (2)) n(nth)
+            WHERE n.nth = 1 OR p_partkey % 6 = 1)
+SELECT p_partkey, genre, CAST(nth AS INTEGER) AS nth, 'crit_id,genre' AS declared_keys,
+       CASE WHEN p_partkey % 50 = 0 THEN 'null_key' WHEN p_partkey % 3 = 0 THEN 'orphan'
+            WHEN genre = 'old' AND p_partkey % 4 = 0 THEN 'duplicate' WHEN nth = 2 THEN 'repeated' ELSE 'ok' END AS reason
+  FROM b
+""")
+def create_table_query(spark, sf_dir):
+    """S2 + S9 + S10 + U9: tables with declared keys, and a batch of child
+    rows checked against the filters of its buckets."""
+    p = t(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("int")
+    names = ["movies", "genres"]
+    store = BatchStore(spark, work_path(spark, "keyed"), {n: SCHEMAS[n] for n in names}, "crit_id",
+                       {"movies": ["crit_id"], "genres": ["crit_id", "genre"]}, buckets=4)
+    store.on_write.append(write_filters)
+    films = p.select(k.alias("crit_id"), "p_name")
+
+    def load(tables, rows):
+        typed = [F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS["movies"].fields if f.name not in ("crit_id", "title")]
+        return {"movies": rows.where("crit_id % 3 > 0").select("crit_id", F.col("p_name").alias("title"), *typed),
+                "genres": rows.where("crit_id % 4 = 0").select("crit_id", F.lit("old").alias("genre"))}
+
+    store.apply(films, load)
+    batch = p.select("p_partkey", F.when(k % 50 > 0, k).alias("crit_id"), F.explode(F.array(F.lit("old"), F.lit("new"))).alias("genre"))
+    batch = batch.withColumn("nth", F.explode(F.when(F.col("p_partkey") % 6 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    checked = check_batch(store, "genres", batch, ["nth"], parent="movies")
+    return checked.select("p_partkey", "genre", "nth", F.lit(",".join(store.declared_keys("genres"))).alias("declared_keys"), "reason")
+
+
+@register("stream_dedup_long", """
+SELECT event_id, user_id, event_type, round(value, 6) AS value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events
+""")
+def stream_dedup_long_query(spark, sf_dir):
+    """The same records delivered again, at once and 30 days later: the
+    watermark's state drops the first kind, the stored ids the second."""
+    events = t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("fetched", F.col("ts"))
+    later = events.withColumn("fetched", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
+    folder = work_path(spark, "fetched")
+    for rows in (events.unionByName(events), later):
+        rows.coalesce(4).write.mode("append").parquet(folder)
+    ids = events.select("event_id", "user_id", "event_type", "value", "ts")
+    store = seen_store(spark, work_path(spark, "seen"), ids.schema, "event_id", buckets=4)
+    recent = dedupe(file_stream(spark, folder, "*.parquet"), ["event_id"], "fetched", "1 day")
+    run_available(recent.select(*ids.columns), "dedup-long", "append", drop_seen_writer(store, "fetches"))
+    got = store.read("records")
+    return got.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"), ts_text("ts").alias("ts"))

@@ -39,6 +39,7 @@ class BatchStore:
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
         self.schemas, self.keys = schemas, {n: list(k) for n, k in (keys or {}).items()}
         self.database = "batches_" + hashlib.md5(self.root.encode()).hexdigest()[:16]
+        self.on_write: list[Callable[[BatchStore, str, int], None]] = []   # called for each table before the commit
         # a table bucketed by the key serves joins on more columns than the key
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         place = self.root.replace("'", "\\'")
@@ -101,6 +102,10 @@ class BatchStore:
         """The last batch taken from a source, -1 before the first."""
         return self._state(None).get(SOURCE + source, {}).get(0, -1)
 
+    def held(self, name: str, version: int | None = None) -> dict[int, int]:
+        """bucket -> version that holds it, at a commit (default: the last)."""
+        return dict(self._state(version).get(name, {}))
+
     # --- reading ---
 
     def _scan(self, name: str, held: dict[int, int]) -> DataFrame:
@@ -115,7 +120,7 @@ class BatchStore:
     def read(self, name: str, buckets: Sequence[int] | None = None, version: int | None = None) -> DataFrame:
         """The table at a commit (default: the last); only some buckets of it
         are scanned where ``buckets`` names them."""
-        held = self._state(version).get(name, {})
+        held = self.held(name, version)
         return self._scan(name, held if buckets is None else {b: held[b] for b in buckets if b in held})
 
     def read_all(self, buckets: Sequence[int] | None = None, version: int | None = None) -> dict[str, DataFrame]:
@@ -152,6 +157,8 @@ class BatchStore:
             list(pool.map(lambda given: self._write(*given, version), after.items()))
         for name in after:
             state[name].update(dict.fromkeys(touched, version))
+            for written in self.on_write:
+                written(self, name, version)
         if batch_id is not None:
             state[SOURCE + source] = {0: batch_id}
         self._commit(state, version)

@@ -76,7 +76,9 @@ class TableStore:
 def create_table(spark: SparkSession, store: TableStore, name: str, schema: T.StructType,
                  keys: Sequence[str], indexes: Sequence[str] = ()) -> DataFrame:
     """Declared-schema (re)creation. Rejects an empty or non-list key spec,
-    and keys / indexes that are not columns. Keys are kept as metadata."""
+    and keys / indexes that are not columns. The keys are checked here and not
+    kept; ``batches.BatchStore`` keeps them as table properties and checks
+    batches against them (``key_filters.check_batch``)."""
     if not isinstance(keys, (list, tuple)) or len(keys) == 0:
         raise ValueError("keys must be a non-empty list of column names")
     if not isinstance(indexes, (list, tuple)):

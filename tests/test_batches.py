@@ -11,6 +11,8 @@ from kinoframe.plans.catalogue import KEY, apply_film_batch
 from kinoframe.plans.film_batches import FILM_TABLES, film_store, merge_film_batch
 from kinoframe.schemas import SCHEMAS
 from kinoframe.sources.batches import BatchStore
+from kinoframe.sources.key_filters import _maybe_stored, check_batch, filter_pages, read_filters, write_filters
+from kinoframe.streaming.seen import drop_seen, seen_store
 
 BATCH = (f"crit_id int, at int, title string, year int, cast {PEOPLE}, genres array<string>, "
          "vote_details map<string,struct<rating:double,votes:int>>, my_ratings map<string,map<string,double>>")
@@ -94,3 +96,40 @@ def test_declared_keys_hold_in_the_catalog(spark, tmp_path):
     with pytest.raises(ValueError):
         BatchStore(spark, str(tmp_path / "bad"), {"movies": SCHEMAS["movies"]}, KEY, {"movies": ["nothing"]})
     assert store.read("movies").count() == 0 and store.version() == 0 and store.taken("s") == -1
+
+
+def test_filters_know_every_stored_key_and_few_others(spark):
+    rows = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("slot"))
+    pages = filter_pages(rows.where("k % 2 = 0"), ["k"], F.col("slot"))
+    assert pages.select("pages").distinct().collect()[0][0] == 2          # 3,334 keys of 10 bits
+    known = _maybe_stored(rows.withColumn("_row", F.col("k")), ["k"], pages)
+    got = {r["_row"] for r in known.collect()}
+    assert all(k in got for k in range(0, 20000, 2))
+    assert len([k for k in got if k % 2]) < 300                           # of 10,000
+
+
+def test_batch_keys_are_checked_by_filter_and_bucket(spark, tmp_path):
+    store = film_store(spark, str(tmp_path / "keyed"), buckets=8)
+    store.on_write.append(write_filters)
+    merge_film_batch(store, records(spark, [(k, 0, f"t{k}", 1, None, ["x"], None, None) for k in range(50)]), ["at"])
+    merge_film_batch(store, records(spark, [(7, 0, None, None, None, ["x", "y"], None, None)]), ["at"])
+    rows = [(7, "x"), (7, "y"), (7, "z"), (7, "z"), (8, "x"), (8, "y"), (99, "x"), (None, "x"), (9, None)]
+    batch = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "crit_id int, genre string, at int")
+    got = {r["at"]: r["reason"] for r in check_batch(store, "genres", batch, ["at"], parent="movies").collect()}
+    assert [got[i] for i in range(9)] == ["duplicate", "duplicate", "ok", "repeated", "duplicate", "ok", "orphan", "null_key", "null_key"]
+    one = store.touched(batch.where("crit_id = 7"))
+    assert read_filters(store, "genres", one).select("slot").distinct().count() == 1
+    assert all(f"_bucket={one[0]}/" in f for f in store.read("genres", one).inputFiles())
+    assert check_batch(store, "genres", batch.limit(0), ["at"], parent="movies").collect() == []
+
+
+def test_records_seen_long_ago_are_dropped(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"v{k}") for k in range(30)] * 2 + [(None, "none")], "id int, v string")
+    store = seen_store(spark, str(tmp_path / "seen"), rows.schema, "id", buckets=4)
+    drop_seen(store, rows.where("id < 20 or id is null"), "s", 0)
+    drop_seen(store, rows, "s", 1)
+    assert drop_seen(store, rows.withColumn("v", F.lit("again")), "s", 1) == 2       # a replay
+    drop_seen(store, rows.where("id = 3").withColumn("v", F.lit("again")), "s", 2)
+    assert rows_of(store.read("records")) == sorted(((k, f"v{k}") for k in range(30)), key=str)
+    touched = store.touched(rows.where("id = 3"))
+    assert {b for b, v in store.held("records").items() if v == 3} == set(touched)
