@@ -1,6 +1,7 @@
 """Film batches that arrive as a stream and change a bucketed store."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinoframe.analogs import register
 from kinoframe.analogs.common import t, ts_text
@@ -9,6 +10,7 @@ from kinoframe.schemas import SCHEMAS
 from kinoframe.session import work_path
 from kinoframe.sources.batches import BatchStore
 from kinoframe.sources.key_filters import check_batch, write_filters
+from kinoframe.sources.sketches import sketch_writer, statistics
 from kinoframe.streaming.seen import drop_seen_writer, seen_store
 from kinoframe.streaming.streams import dedupe, file_stream, run_available
 
@@ -140,3 +142,37 @@ def stream_dedup_long_query(spark, sf_dir):
     run_available(recent.select(*ids.columns), "dedup-long", "append", drop_seen_writer(store, "fetches"))
     got = store.read("records")
     return got.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"), ts_text("ts").alias("ts"))
+
+
+@register("population_sketch", """
+WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price, o_custkey FROM orders),
+long AS (SELECT 'price' AS feature, price AS v FROM x UNION ALL SELECT 'customer', CAST(o_custkey AS DOUBLE) FROM x)
+SELECT feature, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, TRUE AS p10_within, TRUE AS p50_within, TRUE AS p90_within
+  FROM long GROUP BY feature
+""")
+def population_sketch_query(spark, sf_dir):
+    """A10 + A19: statistics of a store after a batch changed every fourth
+    row, from the sketches of its buckets; each quantile's exact rank lies
+    within 1 % of the wanted one."""
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_totalprice").cast("double").alias("price"),
+                                               F.col("o_custkey").cast("double").alias("customer"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("price", T.DoubleType()), T.StructField("customer", T.DoubleType())])
+    store = BatchStore(spark, work_path(spark, "sketched"), {"films": schema}, "id", {"films": ["id"]}, buckets=8)
+    store.on_write.append(sketch_writer({"films": ["price", "customer"]}))
+    store.apply(orders, lambda old, new: {"films": new})
+    change = orders.where("id % 4 = 0").withColumn("price", F.col("price") * 2)
+    store.apply(change, lambda old, new: {"films": old["films"].join(store.spread(new.select("id")), "id", "left_anti")
+                                          .unionByName(new)}, "later")
+    probs = (0.1, 0.5, 0.9)
+    stats = statistics(store, "films", probs)
+    one = stats.select(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("p10", "p50", "p90")))).alias("m")).scalar()
+    now = store.read("films")
+    names = ["price", "customer"]
+    # the share of rows below and up to each quantile brackets the wanted rank
+    ranks = now.agg(*[F.avg((F.col(c) < one[c][f"p{int(p * 100)}"]).cast("double")).alias(f"{c}_{i}_lt") for c in names for i, p in enumerate(probs)],
+                    *[F.avg((F.col(c) <= one[c][f"p{int(p * 100)}"]).cast("double")).alias(f"{c}_{i}_le") for c in names for i, p in enumerate(probs)])
+    rows = ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[
+        ((F.col(f"{c}_{i}_lt") <= p + 0.01) & (F.col(f"{c}_{i}_le") >= p - 0.01)).alias(f"p{int(p * 100)}_within")
+        for i, p in enumerate(probs)]) for c in names])))
+    return stats.join(rows, "feature").select("feature", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"),
+                                              "p10_within", "p50_within", "p90_within")

@@ -12,6 +12,7 @@ from kinoframe.plans.film_batches import FILM_TABLES, film_store, merge_film_bat
 from kinoframe.schemas import SCHEMAS
 from kinoframe.sources.batches import BatchStore
 from kinoframe.sources.key_filters import _maybe_stored, check_batch, filter_pages, read_filters, write_filters
+from kinoframe.sources.sketches import sketch_writer, statistics
 from kinoframe.streaming.seen import drop_seen, seen_store
 
 BATCH = (f"crit_id int, at int, title string, year int, cast {PEOPLE}, genres array<string>, "
@@ -133,3 +134,17 @@ def test_records_seen_long_ago_are_dropped(spark, tmp_path):
     assert rows_of(store.read("records")) == sorted(((k, f"v{k}") for k in range(30)), key=str)
     touched = store.touched(rows.where("id = 3"))
     assert {b for b, v in store.held("records").items() if v == 3} == set(touched)
+
+
+def test_sketches_follow_the_touched_buckets(spark, tmp_path):
+    store = film_store(spark, str(tmp_path / "sketched"), buckets=4)
+    store.on_write.append(sketch_writer({"movies": ["year", "crit_popularity"]}))
+    merge_film_batch(store, records(spark, [(k, 0, None, 1900 + k, None, None, None, None) for k in range(101)]), ["at"])
+    got = statistics(store, "movies", [0.5]).collect()
+    assert [(r["feature"], r["n"], r["low"], r["high"]) for r in got] == [("year", 101, 1900.0, 2000.0)]   # no popularity yet
+    assert abs(got[0]["p50"] - 1950) <= 1
+    merge_film_batch(store, records(spark, [(100, 0, None, 1800, None, None, None, None)]), ["at"])
+    assert store.spark.read.parquet(f"{store.root}/sketches/movies/made=2").count() == 1                     # one bucket
+    again = statistics(store, "movies", [0.5]).first()
+    assert (again["n"], again["low"], again["high"]) == (101, 1800.0, 1999.0)
+    assert statistics(store, "movies", [0.5], version=1).first()["high"] == 2000.0
