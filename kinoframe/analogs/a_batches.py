@@ -11,6 +11,7 @@ from kinoframe.session import work_path
 from kinoframe.sources.batches import BatchStore
 from kinoframe.sources.key_filters import check_batch, write_filters
 from kinoframe.sources.sketches import sketch_writer, statistics
+from kinoframe.streaming.pace import pace_store, pace_writer
 from kinoframe.streaming.seen import drop_seen_writer, seen_store
 from kinoframe.streaming.streams import dedupe, file_stream, run_available
 
@@ -176,3 +177,32 @@ def population_sketch_query(spark, sf_dir):
         for i, p in enumerate(probs)]) for c in names])))
     return stats.join(rows, "feature").select("feature", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"),
                                               "p10_within", "p50_within", "p90_within")
+
+
+PACE_CAPS = {"click": 4, "error": 2, "purchase": 8, "signup": 4}    # an hour; views have none
+
+
+@register("stream_pace", """
+WITH c AS (SELECT * FROM (VALUES ('click', 4), ('error', 2), ('purchase', 8), ('signup', 4)) v(event_type, cap)),
+i AS (SELECT event_id, event_type, ts, cap, epoch_us(ts) // 3600000000 AS hour,
+             row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events JOIN c USING (event_type)),
+s AS (SELECT *, i + max(cap * hour - i) OVER (PARTITION BY event_type ORDER BY i) AS slot FROM i)
+SELECT event_id, event_type, CAST(slot AS BIGINT) AS slot,
+       strftime(greatest(ts, TIMESTAMP '1970-01-01' + INTERVAL 1 HOUR * CAST(slot // cap AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS release_at FROM s
+UNION ALL
+SELECT event_id, event_type, NULL, strftime(ts, '%Y-%m-%d %H:%M:%S') FROM events WHERE event_type = 'view'
+""")
+def stream_pace_query(spark, sf_dir):
+    """R8 + T4: events as tasks, landed in four parts of time; a source over
+    its cap is held back to the next hour with a free slot."""
+    e = t(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    quarter = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.struct("a", "b")).scalar()
+    part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(quarter["a"])) * 4
+                           / (F.unix_micros(quarter["b"]) - F.unix_micros(quarter["a"]) + 1)), F.lit(3))
+    folder = work_path(spark, "tasks")
+    for n in range(4):
+        e.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    stores = pace_store(spark, work_path(spark, "paced"), e.schema, "event_id", buckets=4)
+    run_available(file_stream(spark, folder, "*.parquet", max_files_per_trigger=1), "pace", "append",
+                  pace_writer(stores, "tasks", "event_type", "ts", ["ts", "event_id"], PACE_CAPS))
+    return stores[0].read("tasks").select("event_id", "event_type", "slot", ts_text("release_at").alias("release_at"))
