@@ -41,4 +41,5 @@ def load_all() -> None:
         a_scalar,
         a_film,
         a_batches,
+        a_rows,
     )

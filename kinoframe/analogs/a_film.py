@@ -10,6 +10,7 @@ from kinoframe.analogs.common import r6, t, ts_text
 from kinoframe.plans.catalogue import apply_film_batch
 from kinoframe.plans.raw_records import enrich_films, main_records, stamp_genres
 from kinoframe.schemas import SCHEMAS
+from kinoframe.sources.elements import extract_film_elements
 from kinoframe.sources.pages import extract_film_list, extract_film_page
 
 
@@ -202,3 +203,32 @@ def catalogue_enrich_query(spark, sf_dir):
     return (films.join(stamped, "genreid", "left")
             .select("crit_id", "title", "netflix_id", "netflix_title", r6("netflix_rating").alias("netflix_rating"),
                     ts_text("netflix_updated").alias("netflix_updated"), ts_text("movies_updated").alias("genre_stamp")))
+
+
+@register("film_page_nested", """
+SELECT p_partkey AS crit_id, 'http://img/' || p_partkey || '.jpg?a>b' AS poster_url,
+       CASE WHEN p_partkey % 3 > 0 THEN p_size END AS my_rating, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size + 2 END AS my_psi,
+       CASE WHEN p_partkey % 5 > 0 THEN 'https://www.youtube.com/watch?v=t_' || p_partkey END AS trailer_url,
+       CASE WHEN p_partkey % 6 > 0 THEN p_partkey END AS imdbid, round(p_size / 8.0, 6) AS crit_rating,
+       CAST(p_size * 10 AS INTEGER) AS crit_votes
+  FROM part
+""")
+def film_page_nested_query(spark, sf_dir):
+    """S8 + N11: film pages whose blocks hold other blocks, with comments,
+    scripts and signs in attributes that look like tags."""
+    p = t(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("int"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    html = _quoted([
+        "<!-- <div class=~fi_score_div~>99</div> --><script>var a = ~<div class='fi_psi_div'>98</div>~; // PSI</script>",
+        "<meta title=~a > b~ itemprop=~image~ content=~http://img/", k, ".jpg?a>b~>",
+        "<div class=~fi_score_div~><div class=~note~><div>96</div>97</div> ", F.when(k % 3 > 0, size.cast("string")).otherwise(F.lit("none")), " <br></div>",
+        "<div class=~big fi_psi_div~><div>95</div>", F.when(k % 4 == 0, (size + 1).cast("string")).otherwise(F.lit("n/a")), "</div>",
+        "Your PSI: <!-- <span>94</span> --><div><b>is</b>", F.repeat(F.lit("<i>.</i>"), 40), "<span title=~x > y~>", size + 2, "</span></div>",
+        "<div id=~fi_trailer~><div><div></div></div>", F.when(k % 5 > 0, F.concat(F.lit("<div><iframe src=~https://www.youtube.com/embed/t_"), k.cast("string"),
+                                                                              F.lit("~></iframe></div>"))).otherwise(F.lit("")),
+        "</div><iframe src=~https://www.youtube.com/embed/advert~></iframe><p id=~fi_info_ext~><!-- <a href=~http://db/title/tt9999998/~> -->",
+        F.when(k % 6 > 0, F.concat(F.lit("<a title=~</p>~ href=~http://db/title/tt"), F.lpad(k.cast("string"), 7, "0"), F.lit("/~>db</a>"))).otherwise(F.lit("")),
+        "</p><a href=~http://db/title/tt9999999/~>other</a><span itemprop=~ratingValue~><i>of 10</i>", size / 8.0, "</span>",
+        "<b itemprop=~reviewCount~>", size * 10, "<span> votes</span></b>"])
+    got = extract_film_elements(p.select(k.alias("crit_id"), html.alias("html")))
+    return got.withColumn("crit_rating", F.round("crit_rating", 6))

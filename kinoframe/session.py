@@ -124,3 +124,13 @@ def fixed_broadcast(df: DataFrame) -> DataFrame:
 
 def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names]
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a
+    checkout on a shared path; an installed package needs nothing)."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, home])
