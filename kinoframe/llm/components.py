@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinoframe.llm.shards import written
@@ -60,3 +62,46 @@ def open_members(members: DataFrame, classes: DataFrame, bucket: str = "bucket")
                .where("__first < __last").select(F.col(bucket).alias("__bucket"), "__first"))
     return (named.join(several, F.col(bucket) == F.col("__bucket"))
             .withColumn("minor", F.col("class") != F.col("__first")).drop("__bucket", "__first"))
+
+
+def shared_buckets(banded: DataFrame, name: str) -> DataFrame:
+    """(bucket, id) of the buckets with several ids, written. One exchange; a
+    window streams a bucket's rows, however many."""
+    whole = Window.partitionBy("bucket")
+    shared = banded.withColumn("__lo", F.min("id").over(whole)).withColumn("__hi", F.max("id").over(whole))
+    return written(shared.where("__lo < __hi").select("bucket", "id").distinct(), name + "-buckets")
+
+
+def bucket_classes(members: DataFrame, info: DataFrame, plausible: Callable[[str, str], Column],
+                   verified: Callable[[DataFrame], DataFrame], piece: int, name: str) -> DataFrame:
+    """(id, class) of the ids that links within buckets connect.
+
+    ``members`` are (bucket, id); ``info`` has what ``plausible`` compares for
+    each id (it gets the two rows' column prefixes); ``verified`` gives the
+    linked ones of pairs (a, b). A bucket's members first meet its most
+    connected one; then those of buckets that still hold several classes meet
+    the members of other classes, ``piece`` of them at a time. No pair within
+    a class is made, and none with the first one a second time.
+    """
+    facts = [c for c in info.columns if c != "id"]
+    ties = members.groupBy("id").agg(F.count(F.lit(1)).alias("__ties"))
+    members = members.join(ties, "id")
+    centre = members.groupBy("bucket").agg(F.max_by("id", F.struct("__ties", "id")).alias("b"), F.count(F.lit(1)).alias("size"))
+    members = written(members.join(centre, "bucket").where("id <> b").select("bucket", "id", "b", "size"), name + "-centred")
+    of = lambda c: info.select(F.col("id").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in facts])
+    star = (members.select(F.col("id").alias("a"), "b").distinct().join(of("a"), "a").join(of("b"), "b")
+            .where(plausible("a_", "b_")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    star = written(star, name + "-star")
+    links = written(verified(star).select("a", "b"), name + "-links")
+    named = with_class(members.where("size > 2").select("bucket", "id", "size"), connected_components(links))
+    several = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rest = (named.join(several.select("bucket", "low"), "bucket").join(info, "id")
+            .withColumn("pieces", F.ceil(F.col("size") / piece).cast("int")))
+    rest = written(rest, name + "-rest")
+    x = rest.where("class <> low").withColumn("piece", F.pmod(F.hash("id"), "pieces")).alias("x")
+    y = rest.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("y")
+    cross = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.piece") == F.col("y.piece"))
+                    & (F.col("x.class") != F.col("y.class")) & plausible("x.", "y."))
+             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+             .join(star, ["a", "b"], "left_anti"))
+    return connected_components(links.unionByName(verified(cross).select("a", "b")))

@@ -5,8 +5,8 @@ inverse document frequency, counted over all documents in 2**20 hashed
 cells). Consistent weighted samples, banded by three, propose pairs, four bits
 of each sample drop those that cannot be similar, and weighted Jaccard
 similarity verifies the rest. Every member of a band bucket meets the
-bucket's first member; members of buckets that still hold several classes
-then meet those of the other classes.
+bucket's most connected member; members of buckets that still hold several
+classes then meet those of the other classes.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinoframe.llm.components import connected_components, open_members, with_class
+from kinoframe.llm.components import bucket_classes, shared_buckets, with_class
 from kinoframe.llm.shards import Block, _mixed, annotate, blob, blocks, importable, ngram_starts, ngrams, written
 
 SHINGLE_WORDS = 5
@@ -30,6 +30,7 @@ MIN_AGREE = 34             # of 4 bits from each of 60 samples: at 0.8, 49 agree
 SKETCH = ["s0", "s1", "s2", "s3"]   # 15 samples of 4 bits each
 CELLS = 1 << 20            # of the frequency table: 4 MB to each executor, at every corpus size
 CHUNK = 1 << 14
+PIECE = 2000               # members of a bucket that one salted piece compares with all others
 IDF_SHARE = 0.5            # weights run from 1 (in every text) to 1.5 (in one)
 
 
@@ -228,22 +229,10 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     reps = written(rows.groupBy("m1", "m2").agg(F.min("id").alias("rep")), "distinct-texts")
     member = rows.select("id", "m1", "m2").join(reps, ["m1", "m2"]).select("id", "rep")
     banded = (rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-              .select("id", *SKETCH, F.explode("bands").alias("bucket")).repartition("bucket"))
-    # one exchange of bands serves the search for shared ones and the joins with them
-    first = (banded.groupBy("bucket").agg(F.min(F.struct("id", *SKETCH)).alias("f"), F.max("id").alias("hi"))
-             .where("f.id < hi").select("bucket", F.col("f.id").alias("b"), *[F.col(f"f.{n}").alias(f"f_{n}") for n in SKETCH]))
-    members = written(banded.join(first, "bucket"), "bands")
-    star = members.where((F.col("id") != F.col("b")) & _plausible("", "f_")).select(F.col("id").alias("a"), "b").distinct()
-    links = written(_verified(star, texts, table, similarity), "near-links")
-    rest = open_members(members.select("bucket", "id", *SKETCH), connected_components(links.select("a", "b")))
-    rest = written(rest, "near-rest")
-    x, y = rest.where("minor").alias("x"), rest.alias("y")
-    cross = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class"))
-                    & _plausible("x.", "y."))
-             .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
-    more = _verified(cross, texts, table, similarity)
-    classes = connected_components(links.select("a", "b").unionByName(more.select("a", "b")))
+              .select("id", F.explode("bands").alias("bucket")))
+    members = shared_buckets(banded, "near")
+    classes = bucket_classes(members, rows.select("id", *SKETCH), _plausible,
+                             lambda pairs: _verified(pairs, texts, table, similarity), PIECE, "near")
     return with_class(member, classes, "rep").select("id", "class")
 
 
