@@ -54,6 +54,116 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+ORACLE["op11_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+class AS (SELECT component_id, count(*) AS class_size FROM least GROUP BY component_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, coalesce(class_size, 1) AS class_size
+  FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least l USING (doc_id) LEFT JOIN class c ON c.component_id = l.component_id
+"""
+
+# CRC-32 of a string in SQL: its bytes from the hexadecimal form, one table step each.
+CRC_SQL = """(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+             lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text column; ``crc.t`` is the table of CRC_SQL."""
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS INT), 2))::BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295, {bytes_}),
+                 lambda c, b: xor(c // 256, crc.t[CAST(xor(c % 256, b) AS INT) + 1])), 4294967295)"""
+
+
+ORACLE["op12_spelling"] = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_SQL} AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+each AS (SELECT doc, run, doc || ':' || run AS given, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (SELECT run, k, {crc_sql("given")} AS h FROM each, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+                     ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS rest FROM words, unnest(range(length(word))) u(i)),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+         UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form,
+                 CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+steps AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+          UNION SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n
+  FROM forms f LEFT JOIN (SELECT s.word, arg_max(s.at, w.n) AS root FROM steps s JOIN words w ON w.word = s.at GROUP BY s.word) r USING (word)
+"""
+
+
+def _script_sql() -> dict[str, str]:
+    """The cheapest script of each state before a row, in SQL: structs of cost
+    and audit, of which the least is taken. S: nothing yet, P: after the
+    system, A: an answer is due, U: a question is due or the end."""
+    then = lambda letter, cost, state: f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a}}"
+    least = lambda *ways: f"list_sort([{', '.join(ways)}])[1]"
+    never = "{'c': 1000000000, 'a': ''}"
+    keep = lambda letter, to: f"CASE WHEN NOT gone AND initial = '{letter}' THEN {then('K', 'late', to)} ELSE {never} END"
+    role = lambda to: f"CASE WHEN NOT gone THEN {then('R', '3 + late', to)} ELSE {never} END"
+    row = {"S": least(then("D", "4", "S"), keep("s", "P"), keep("u", "A"), role("A")),
+           "P": least(then("D", "4", "P"), keep("u", "A"), role("A")),
+           "A": least(then("D", "4", "A"), keep("a", "U"), role("U")),
+           "U": least(then("D", "4", "U"), keep("u", "A"), role("A"))}
+    due = least("a0", then("I", "3", "u0"))
+    return row | {"S1": least("s0", then("I", "3", "a1")), "P1": least("p0", then("I", "3", "a1")), "A1": due,
+                  "U1": least("u0", then("I", "3", "a0"))}
+
+
+_STEP = _script_sql()
+ORACLE["op13_conversation_repair"] = f"""
+WITH RECURSIVE crc AS (SELECT {CRC_SQL} AS t),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS given FROM conversations),
+hashed AS (SELECT *, {crc_sql("g.given")} % 20 AS h FROM given g, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE h > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM hurt),
+judged AS (SELECT *, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final,
+                  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+faulty AS (SELECT *, CASE WHEN final = '' THEN 1 WHEN again THEN 2 WHEN final NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM judged),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+                   count(*) FILTER (WHERE fault = 3) AS truncated,
+                   count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+dp AS (SELECT conv_id, n AS i, {{'c': 0, 'a': ''}} AS S, {{'c': 6, 'a': 'II'}} AS P, {{'c': 3, 'a': 'I'}} AS A, {{'c': 0, 'a': ''}} AS U FROM counted
+       UNION ALL
+       SELECT conv_id, i, {_STEP["S1"]}, {_STEP["P1"]}, a1, {_STEP["U1"]}
+         FROM (SELECT *, {_STEP["A1"]} AS a1
+                 FROM (SELECT dp.conv_id, dp.i - 1 AS i, {_STEP["S"]} AS s0, {_STEP["P"]} AS p0, {_STEP["A"]} AS a0, {_STEP["U"]} AS u0
+                         FROM dp JOIN (SELECT conv_id, i, initial, fault IN (1, 2) AS gone, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS late
+                                         FROM faulty) r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i))),
+best AS (SELECT conv_id, S.c AS cost, S.a AS audit FROM dp WHERE i = 0),
+edits AS (SELECT conv_id, spot, substr(audit, CAST(spot AS INT), 1) AS edit FROM best, unnest(range(1, length(audit) + 1)) u(spot)),
+numbered AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS out
+               FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY spot)),
+kept AS (SELECT e.conv_id, e.spot, e.edit, e.out, f.role, f.text,
+                max(CASE WHEN e.out = 1 AND e.edit = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+           FROM numbered e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE e.edit <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                     || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS whole FROM kept GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate,
+       coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost,
+       coalesce(b.audit, '') AS audit, sha256(coalesce(l.whole, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) c
+  LEFT JOIN counted n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn

@@ -1,6 +1,7 @@
 """The pipeline: stages keep the columns and take effect."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinoframe.llm import queries
@@ -42,8 +43,26 @@ def test_documents_without_lines_of_their_own_go(spark):
     assert left == {0: text, 3: "short", 4: "", 5: "", 6: "..."}
 
 
+def test_stages_keep_columns_named_as_results(spark):
+    names = ["score", "predicted", "held_out", "n_lines", "n_removed", "kept"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({n: F.lit("mine") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = written(stage(spark, docs, SF), "test-stage")
+        assert docs.count() and docs.where(" or ".join(f"{n} <> 'mine'" for n in names)).isEmpty()
+
+
+def test_stages_take_empty_tables_and_awkward_texts(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.drop_lines(spark, corpus_pipeline.drop_toxic(spark, given.limit(0), SF), SF).columns == given.columns
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate([None, "", " \n", "a", "\u00e9" * 400, "x " * 30000])]
+    docs = spark.createDataFrame(rows, given.schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test-stage")
+    assert {r["doc_id"] for r in docs.collect()} == {0, 1, 2, 3, 4, 5}
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
