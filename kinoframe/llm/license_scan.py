@@ -4,7 +4,9 @@ The notices' words are weighted by their inverse document frequency over all
 documents. Of each notice the rarest words, and of each mandatory phrase its
 rarest word, are indexed with their positions. A file's indexed words are
 looked up; postings that agree on where the notice would begin vote for that
-place, and a mandatory phrase is verified word by word around its rare word.
+place. Where enough of a notice's rare words agree, its mandatory phrase is
+verified word by word; a phrase that is quoted without its notice gives no
+label, unless it is a base one.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from kinoframe.llm.shards import POLY, Block, annotate
 
 RARE_WORDS = 6
+MIN_SHARE = 0.75    # of a notice's rare words that must stand in place
 
 # Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -106,7 +109,8 @@ class Phrase:
 class Index:
     """Postings of the rarest words of notices and phrases."""
 
-    def __init__(self, idf: dict[str, float], notices=NOTICES, base=BASE, rare_words: int = RARE_WORDS):
+    def __init__(self, idf: dict[str, float], notices=NOTICES, base=BASE, rare_words: int = RARE_WORDS,
+                 found: set[str] | None = None):
         rarest = lambda words: max(range(len(words)), key=lambda k: (idf[words[k]], -k))
         hashes = lambda words: np.array([word_hash(w) for w in words], np.uint64)
         self.phrases: list[Phrase] = []
@@ -118,7 +122,9 @@ class Index:
         for n, (label, text, phrase) in enumerate(notices):
             words, must = text.split(), phrase.split()
             at = next(k for k in range(len(words)) if words[k:k + len(must)] == must)
-            top = sorted(range(len(words)), key=lambda k: (-idf[words[k]], k))[:rare_words]
+            # a word that stands in no text can vote nowhere
+            some = [k for k in range(len(words)) if found is None or words[k] in found]
+            top = sorted(some, key=lambda k: (-idf[words[k]], k))[:rare_words]
             self.notices.append((label, len(top), at))
             postings += [(word_hash(words[k]), n, k) for k in top]
             self.phrases.append(Phrase(hashes(must), rarest(must), label, False, n))
@@ -150,6 +156,15 @@ class Index:
             start, stop = at[hit] - p.anchor, at[hit] - p.anchor + len(p.words)
             ok = (start >= first[hit]) & (stop <= end[hit])
             start, d = start[ok], doc[hit][ok]
+            if not p.base:
+                _, rare, place = self.notices[p.notice]
+                key = (start - place + 4096) * len(self.notices) + p.notice
+                j = np.searchsorted(vote, key)
+                j[j == len(vote)] = 0
+                share = np.where(vote[j] == key, votes[j], 0) / max(rare, 1) if len(vote) else np.zeros(len(start))
+                np.maximum.at(score, d, share)
+                agreed = share >= MIN_SHARE
+                start, d = start[agreed], d[agreed]
             for j, h in enumerate(p.words):
                 same = w.hash[start + j] == h
                 start, d = start[same], d[same]
@@ -164,14 +179,8 @@ class Index:
                     base[i].add(p.label)
                     labels[i].add(p.label)
             else:
-                label, rare, place = self.notices[p.notice]
-                key = (start - place + 4096) * len(self.notices) + p.notice
-                j = np.searchsorted(vote, key)
-                j[j == len(vote)] = 0
-                share = np.where(vote[j] == key, votes[j], 0) / rare if len(vote) else np.zeros(len(start))
-                np.maximum.at(score, d, share)
                 for i in np.unique(d).tolist():
-                    labels[i].add(label)
+                    labels[i].add(p.label)
         some = n_base > 0
         where = lambda a: [int(v) if s else None for v, s in zip(a, some)]
         return {"n_words": w.counts.astype(np.int64), "n_base": n_base, "first_word": where(first_at),
@@ -185,15 +194,17 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
     Adds n_words, n_base (places where a base phrase's words stand
     consecutively), first_word and last_word (smallest and largest start of
-    such a place; null without one), base_labels, labels (those of verified
-    notices too) and score (1 with a base phrase, else the best share of a
-    verified notice's rare words found in place). Null and empty texts have
+    such a place; null without one), base_labels, labels (those of notices
+    too whose rare words agree on a place and whose phrase stands there) and
+    score (1 with a base phrase, else the best share of a notice's rare words
+    in place). Null and empty texts have
     no words, no labels and score 0. Words of equal rarity are taken in the
     notice's order; equal rows get equal answers. An empty table has no
-    frequencies: all words then count as equally rare.
+    frequencies and no words to look up.
     """
     vocabulary = sorted({w for _, t, _ in NOTICES for w in t.split()} | {w for t in BASE for w in t.split()})
     total, df = document_frequency(docs, text_col, vocabulary)
-    index = Index({w: math.log((total + 1) / (n + 1)) for w, n in df.items()}, rare_words=rare_words)
+    index = Index({w: math.log((total + 1) / (n + 1)) for w, n in df.items()}, rare_words=rare_words,
+                  found={w for w, n in df.items() if n})
     shared = docs.sparkSession.sparkContext.broadcast(index)   # bounded by the notices above
     return annotate(docs, text_col, RESULT, lambda b: shared.value.scan(b), keep)

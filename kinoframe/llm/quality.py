@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinoframe.llm.shards import (POLY, SOLID_BYTES, Block, Words, annotate, blocks, byte_class, importable, ngram_starts,
+from kinoframe.llm.parity_join import word_hashes
+from kinoframe.llm.shards import (SOLID_BYTES, Block, Words, annotate, blocks, byte_class, importable, ngram_starts,
                                   ngrams, spread)
 
 SAMPLE_ROWS = 2000
@@ -75,7 +76,7 @@ class Texts:
         ends = ends - (b.data[ends - 1] == NEWLINE)
         solid = np.searchsorted(self.words.starts, ends) > np.searchsorted(self.words.ends, starts, "right")
         starts, ends = starts[solid], ends[solid]
-        return b.doc_of(starts), POLY.spans(b.data, starts, ends), starts
+        return b.doc_of(starts), word_hashes(b.data, starts, ends), starts
 
     def n_lines(self) -> np.ndarray:
         return np.bincount(self.lines()[0], minlength=self.block.n)
@@ -103,14 +104,19 @@ class Texts:
         return np.bincount(docs[covered[:len(docs)]], minlength=self.block.n) if len(docs) \
             else np.zeros(self.block.n, np.int64)
 
+    def total(self, member: np.ndarray) -> np.ndarray:
+        return _sums(member[self.block.data], self.block.off)
+
     def share(self, member: np.ndarray, of: np.ndarray) -> np.ndarray:
-        b = self.block
-        return _sums(member[b.data], b.off) / np.maximum(_sums(of[b.data], b.off), 1)
+        return self.total(member) / np.maximum(self.total(of), 1)
 
 
 UPPER = byte_class((0x41, 0x5A))
 ASCII_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
-LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0xC2, 0xF4))
+# a character's first byte, of any; of a letter or a character beyond ASCII
+FIRST = byte_class((0x00, 0x7F), (0xC2, 0xF4))
+LETTER = ASCII_LETTER | byte_class((0xC2, 0xF4))
+ASCII_SOLID = SOLID_BYTES & byte_class((0x00, 0x7F))
 MARK = byte_class((0x21, 0x21), (0x3F, 0x3F))
 
 
@@ -126,11 +132,12 @@ RULES = [
     Rule("few_words", lambda t: t.n_words() < MIN_WORDS),
     Rule("repeated_words", lambda t: 100 * t.n_repeat_words() > 50 * t.n_words()),
     Rule("symbols_per_word", lambda t: t.n_symbols() > 0.3 * t.n_words()),
-    Rule("exclamations_per_word", lambda t: _sums(MARK[t.block.data], t.block.off) > 0.5 * t.n_words()),
+    Rule("exclamations_per_word", lambda t: t.total(MARK) > 0.5 * t.n_words()),
     Rule("duplicate_lines", lambda t: 10 * t.n_dup_lines() > 5 * np.maximum(t.n_lines(), 1)),
     Rule("upper_case", lambda t: t.share(UPPER, ASCII_LETTER) > 0.7),
-    Rule("few_letters", lambda t: t.share(LETTER, SOLID_BYTES) < 0.4),
-    Rule("word_length", lambda t: (t.word_chars() > 25 * t.n_words()) | (t.word_chars() < 2 * t.n_words())),
+    Rule("few_letters", lambda t: t.share(LETTER, SOLID_BYTES & FIRST) < 0.4),
+    # scripts without blanks have long words, and characters of several bytes that say more
+    Rule("word_length", lambda t: (t.total(ASCII_SOLID) > 25 * t.n_words()) | (t.total(SOLID_BYTES) < 2 * t.n_words())),
 ]
 
 

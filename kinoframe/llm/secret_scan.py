@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Patterns give candidates; each candidate's hash is aggregated over the whole
-corpus by distinct repositories and owners. A value that many owners carry
-is a copied example; one that stays with a single owner looks live.
+corpus by distinct repositories and owners. A value that many owners carry,
+or two of them in many repositories, is a copied example; one that stays
+with its owner, in however many repositories, looks live.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 
 from kinoframe.llm.shards import Block, annotate, byte_class, runs, written
 
-EXAMPLE_OWNERS = 3
+EXAMPLE_OWNERS = 3     # that carry a copied example
+EXAMPLE_REPOS = 8      # or two owners in so many repositories
 
 # The base kinds in their order, then the kinds this method adds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -25,7 +27,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ADDED = [
-    ("key", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    ("key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
     ("git", re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}")),
     ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
@@ -92,11 +94,13 @@ def ownership(found: DataFrame, values_col: str, repo_col: str, owner_col: str)
                                                           F.sum("o").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source",
-                 owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None,
+                 owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS,
+                 example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row a document: the id, base counts, base_sha256, all spans, and
-    how many distinct values look live (under ``example_owners`` owners) or
-    are widely copied examples.
+    how many distinct values look live or are widely copied examples: with
+    ``example_owners`` owners, or two of them and ``example_repos``
+    repositories (without ``repo_col`` each document is one).
 
     Null and empty texts have no spans; a null repository or owner counts as
     one named ''. Spans that start together go by kind. Repeated rows are
@@ -104,17 +108,17 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     no rows; other columns of ``docs`` are not used.
     """
     given = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
-                        F.col(f"`{repo_col}`").alias("__repo"), F.col(f"`{owner_col}`").alias("__owner"))
+                        F.col(f"`{repo_col or id_col}`").alias("__repo"), F.col(f"`{owner_col}`").alias("__owner"))
     found = annotate(given, "__text", RESULT + [("__values", T.ArrayType(T.StringType()))], _scan,
                      keep=["__id", "__repo", "__owner"])
     found = written(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
     some = found.where(F.size("__values") > 0)
     counts = ownership(some, "__values", "__repo", "__owner")
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     verdict = (some.select("__row", F.explode("__values").alias("value")).join(counts, "value")
-               .groupBy("__row").agg(F.sum(F.when(F.col("n_owners") < example_owners, 1).otherwise(0)).alias("n_live"),
-                                     F.sum(F.when(F.col("n_owners") >= example_owners, 1).otherwise(0))
-                                     .alias("n_example"), F.max("n_owners").alias("most_owners")))
+               .groupBy("__row").agg(F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_example"),
+                                     F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos")))
     return (found.join(verdict, "__row", "left")
             .select(F.col("__id").alias(id_col), *[n for n, _ in RESULT],
                     *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                      for c in ("n_live", "n_example", "most_owners")]))
+                      for c in ("n_live", "n_example", "most_owners", "most_repos")]))

@@ -2,7 +2,8 @@
 
 A payload becomes rows (record, chunk number, bytes) of at most a chunk's
 size; each row is one archive record: the first carries the record's type,
-later ones are ``continuation`` segments, as the format provides. Spark's
+later ones are ``continuation`` segments that name the first, as the format
+provides; a revisit names the response whose payload it repeats. Spark's
 text writer puts the rows into gzip files, its text reader streams them back
 line by line, and a reader in each task cuts records by Content-Length,
 feeding every segment to the record's digest. No task holds a whole record.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ MIN_REVISIT_BYTES = 0
 VERSION = b"WARC/1.1"
 WRITTEN = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 END = b"\r\n\r\n"
+# The format's profile of a revisit by equal payloads, and the payloads' type.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CONTENT = "text/html; charset=utf-8"
 
 SCHEMA = ("page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
           "url string, n_chunks long")
@@ -80,27 +85,49 @@ def _header(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "%", "%25"), "\r", "%0D"), "\n", "%0A")
 
 
+def _base32(sha1: Column) -> Column:
+    """RFC 4648 base32 of a digest in hexadecimal: ten digits are eight letters."""
+    parts = [F.lpad(F.conv(F.substring(sha1, 1 + 10 * k, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def _page_of(urn: str | None) -> str | None:
+    """The page id in a record's name; a record without one goes by its row."""
+    parts = (urn or "").strip("<>").split(":")
+    return unquote_plus(parts[2]) if parts[:2] == ["urn", "page"] else None
+
+
 def write_archives(chunks: DataFrame, path: str) -> None:
     """The chunk table as .gz archives under ``path``: chunks of a record
-    follow one another in one file. gzip files are read by one task each."""
+    follow one another in one file. gzip files are read by one task each.
+
+    A response is named by its page id and payload digest, so that a revisit
+    elsewhere can name it; rows that repeat both repeat the name too."""
     kind = (F.when(F.col("chunk") > 1, "continuation").when(F.col("refers_to").isNotNull(), "revisit")
             .otherwise("response"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    no = F.lit("")
-    segmented = F.col("n_chunks") > 1
+    only = lambda when, *lines: F.when(when, F.concat(*lines)).otherwise(F.lit(""))
+    digest = _base32(F.col("sha1"))
+    of_page = lambda page: F.concat(F.lit("urn:page:"), F.url_encode(page), F.lit(":"), digest)
+    row = F.col("__row").cast("string")
+    origin = (F.when(F.col("record").isNull(), F.concat(F.lit("urn:row:"), row))
+              .when(F.col("refers_to").isNotNull(), F.concat(of_page(F.col("record")), F.lit(":"), row))
+              .otherwise(of_page(F.col("record"))))
+    number = F.col("chunk").cast("string")
+    in_angles = lambda value: F.concat(F.lit("<"), value, F.lit(">"))
+    first, later, revisit = F.col("chunk") == 1, F.col("chunk") > 1, F.col("refers_to").isNotNull()
     head = F.concat(
         F.lit(VERSION.decode() + "\r\n"), line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("__row"), F.lit(":"), F.col("chunk"), F.lit(">"))),
-        line("WARC-Date", F.lit(WRITTEN)),
-        F.when(F.col("record").isNotNull(), line("X-Page-ID", _header(F.col("record")))).otherwise(no),
-        F.when(F.col("chunk") == 1, line("WARC-Target-URI", _header(F.col("url")))).otherwise(no),
-        F.when(F.col("chunk") == 1, line("X-Payload-Length", F.col("total").cast("string"))).otherwise(no),
-        F.when((F.col("chunk") == 1) & F.col("refers_to").isNotNull(),
-               F.concat(line("X-Refers-To", _header(F.col("refers_to"))), line("X-Payload-SHA1", F.col("sha1"))))
-        .otherwise(no),
-        F.when(segmented, line("WARC-Segment-Number", F.col("chunk").cast("string"))).otherwise(no),
-        F.when(segmented & (F.col("chunk") == F.col("n_chunks")),
-               line("WARC-Segment-Total-Length", F.col("total").cast("string"))).otherwise(no),
+        line("WARC-Record-ID", in_angles(F.when(first, origin).otherwise(F.concat(origin, F.lit(":segment:"), number)))),
+        line("WARC-Date", F.lit(WRITTEN)), line("WARC-Target-URI", _header(F.col("url"))),
+        only(first, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest))),
+        only(first & ~revisit, line("Content-Type", F.lit(CONTENT))),
+        # the length of a payload that is not stored again has no header of its own in the format
+        only(revisit, line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", in_angles(of_page(F.col("refers_to")))),
+             line("X-Payload-Length", F.col("total").cast("string"))),
+        only(F.col("n_chunks") > 1, line("WARC-Segment-Number", number)),
+        only(later, line("WARC-Segment-Origin-ID", in_angles(origin))),
+        only(later & (F.col("chunk") == F.col("n_chunks")), line("WARC-Segment-Total-Length", F.col("total").cast("string"))),
         line("Content-Length", F.octet_length("bytes").cast("string")), F.lit("\r\n"))
     # the writer ends each row with the last byte of CR LF CR LF
     record = F.concat(head.cast("binary"), F.col("bytes"), F.lit(b"\r\n\r")).cast("string")
@@ -157,25 +184,33 @@ class Reader:
         if h["WARC-Type"] != "continuation":
             yield from self.close()
             self.sha = hashlib.sha1()
-            self.open = {"page_id": plain(h.get("X-Page-ID")), "record_type": h["WARC-Type"],
-                         "refers_to": plain(h.get("X-Refers-To")), "url": plain(h.get("WARC-Target-URI")),
-                         "total": int(h["X-Payload-Length"]), "sha1": h.get("X-Payload-SHA1"), "read": 0, "n_chunks": 0}
+            self.open = {"page_id": _page_of(h["WARC-Record-ID"]), "record_type": h["WARC-Type"],
+                         "refers_to": _page_of(h.get("WARC-Refers-To")), "url": plain(h["WARC-Target-URI"]),
+                         "total": int(h.get("X-Payload-Length", h["Content-Length"])),
+                         "digest": h["WARC-Payload-Digest"].removeprefix("sha1:"), "id": h["WARC-Record-ID"],
+                         "read": 0, "n_chunks": 0}
+        elif h["WARC-Segment-Origin-ID"] != self.open["id"]:
+            raise ValueError(f"a segment of {h['WARC-Segment-Origin-ID']} after {self.open['id']}")
+        if "WARC-Segment-Total-Length" in h:
+            self.open["total"] = int(h["WARC-Segment-Total-Length"])
         self.open["n_chunks"] += 1
         self.left = int(h["Content-Length"])
         if not self.left:
             self.skip = len(END)
 
     def close(self) -> Iterator[dict]:
-        """The record that is open, complete: its digest is that of all its
-        chunks, or for a revisit the one its header states."""
+        """The record that is open, complete: a response's chunks must have
+        the length and digest that its headers state."""
         if self.open is None:
             return
         r, self.open = self.open, None
-        if r["record_type"] == "response" and r["read"] != r["total"]:
-            raise ValueError(f"record {r['page_id']}: {r['read']} of {r['total']} bytes")
-        digest = bytes.fromhex(r["sha1"]) if r["sha1"] else self.sha.digest()
-        yield {"page_id": r["page_id"], "payload_bytes": r["total"],
-               "payload_digest": base64.b32encode(digest).decode(), "record_type": r["record_type"],
+        if r["record_type"] == "response":
+            if r["read"] != r["total"]:
+                raise ValueError(f"record {r['page_id']}: {r['read']} of {r['total']} bytes")
+            if base64.b32encode(self.sha.digest()).decode() != r["digest"]:
+                raise ValueError(f"record {r['page_id']}: its payload has another digest")
+        yield {"page_id": r["page_id"], "payload_bytes": r["total"], "payload_digest": r["digest"],
+               "record_type": r["record_type"],
                "refers_to": r["refers_to"], "url": r["url"], "n_chunks": r["n_chunks"]}
 
 

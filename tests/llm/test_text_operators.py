@@ -93,6 +93,16 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_a_quoted_phrase_is_no_notice(spark):
+    whole = "This work is licensed under the GNU General Public License version 3"
+    free = "This is free and unencumbered software released into the public domain"
+    quoted = 'do not use "the GNU General Public License, version 3" here, we refuse the free and unencumbered software idea'
+    base = 'do not say "under the MIT License"'
+    got = by_id(license_scan.scan_licenses(documents(spark, [whole, free, quoted, quoted, base, whole + ". " + free])))
+    assert [got[k]["labels"] for k in range(6)] == ["gpl-3", "unlicense", "", "", "mit", "gpl-3,unlicense"]
+    assert got[2]["score"] < license_scan.MIN_SHARE <= got[0]["score"] and got[4]["score"] == 1
+
+
 def test_quality(spark):
     good = ". ".join(prose(k, 30) for k in range(4)).translate(str.maketrans("0123456789", "aeioulnrst"))
     texts = awkward() + [good, good + "\n" + good, "w " * 60, "a b c " * 40, "%$ " * 100, good.upper() + "!! " * 60,
@@ -113,6 +123,31 @@ def test_quality(spark):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_scripts_are_judged_by_their_characters(spark):
+    r = random.Random(6)
+    text = lambda lo, hi, size: " ".join("".join(chr(r.randrange(lo, hi)) for _ in range(r.randint(2, size))) for _ in range(120))
+    chinese, cyrillic, unspaced, symbols = text(0x4E00, 0x9000, 4), text(0x430, 0x450, 9), text(0x4E00, 0x9000, 90), text(0x30, 0x3A, 9)
+    got = by_id(quality.quality(documents(spark, [chinese, cyrillic, unspaced, symbols, text(0x61, 0x7B, 90)])))
+    assert [got[k]["kept"] for k in range(5)] == [True, True, True, False, False]
+    assert got[3]["failed_rule"] == "few_letters" and got[4]["failed_rule"] == "word_length"
+
+
+def test_lines_that_differ_like_the_thue_morse_sequence_are_not_equal(spark):
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    line, other = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    got = by_id(quality.quality(documents(spark, [f"{line}\n{other}", f"{line}\n{line}"])))
+    assert [got[k]["n_dup_lines"] for k in range(2)] == [0, 1]
+
+
+def test_a_rejected_text_is_not_measured_further(spark):
+    texts = ["x"] * 3 + [prose(k, 70) for k in range(2)]
+    block = next(blocks(documents(spark, texts).select("text").toArrow().combine_chunks().to_batches()[0], "text"))
+    seen = []
+    count = quality.Rule("count", lambda t: np.zeros(t.block.n, bool) if seen.append(t.block.n) is None else None)
+    assert quality.cascade(block, [count, quality.RULES[0], count]) == ["few_words"] * 3 + [None] * 2
+    assert seen == [5, 2]
+
+
 def test_cascade_order_changes_work_not_verdicts(spark):
     df = documents(spark, awkward() + [prose(k, 70) for k in range(5)] + ["!! " * 90])
     batch = df.select("text").toArrow().to_batches()[0]
@@ -156,6 +191,20 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(empty(spark)).count() == 0
 
 
+def test_owners_and_repositories_decide(spark):
+    token = lambda k: f'token = "{hashlib.md5(str(k).encode()).hexdigest()}"'
+    rows = [("a", f"r{k}", token(0)) for k in range(12)]                      # one owner's, in many repositories
+    rows += [("ab"[k % 2], f"r{k}", token(1)) for k in range(8)]              # two owners', in many
+    rows += [("ab"[k % 2], f"r{k % 7}", token(2)) for k in range(14)]         # two owners', in seven
+    rows += [("abc"[k], "r0", token(3)) for k in range(3)]                    # three owners', in one
+    rows += [(None, None, token(4))]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, source string, repo string, text string")
+    got = by_id(secret_scan.scan_secrets(df, repo_col="repo"))
+    of = lambda k: {(r["n_live"], r["n_example"], r["most_owners"], r["most_repos"]) for i, r in got.items() if rows[i][2] == token(k)}
+    assert [of(k) for k in range(5)] == [{(1, 0, 1, 12)}, {(0, 1, 2, 8)}, {(1, 0, 2, 7)}, {(0, 1, 3, 1)}, {(1, 0, 1, 1)}]
+    assert {r["most_repos"] for r in by_id(secret_scan.scan_secrets(df)).values()} == {12, 8, 14, 3, 1}   # a document each
+
+
 def test_transducers():
     run = lambda *s: toxicity.GRAMMAR.run(list(s))
     assert run(toxicity.INSULT) == [toxicity.INSULT]
