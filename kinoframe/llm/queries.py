@@ -23,6 +23,85 @@ ORACLE: dict[str, str] = {}
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+ORACLE["op1_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT r, 4096 * c AS lo, substr(h, CAST(8192 * c + 1 AS INT), 8590) AS part FROM d, unnest(range(length(h) // 8192 + 1)) u(c)),
+w AS (SELECT r, lo + s AS s, hash(substr(part, CAST(2 * s + 1 AS INT), 400)) AS k
+        FROM parts, unnest(range(least(4096, length(part) // 2 - 199))) u(s)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+heads AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 0 ELSE 1 END AS head FROM again),
+runs AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM (SELECT r, s, sum(head) OVER (PARTITION BY r ORDER BY s) AS run FROM heads)
+          GROUP BY r, run),
+ends AS (SELECT r, a, b FROM runs UNION ALL SELECT r, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS a, a AS b FROM ends),
+texts AS (SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS INT), CAST(2 * (b - a) AS INT)), '' ORDER BY a) AS kept
+            FROM kept JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(kept)) AS kept_sha256
+  FROM d JOIN texts USING (r) LEFT JOIN sums USING (r)
+"""
+
+ORACLE["op5_quality"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!?]', '', 'g')) AS marks,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+             length(regexp_replace(text, '[^A-Z]', '', 'g')) AS uppers, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS ascii_letters,
+             length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters FROM t),
+grams AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM m, unnest(range(1, len(w) - 1)) u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+again AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, unnest(range(3)) v(j) GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(solid) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+             marks, uppers, ascii_letters, letters, octet_length(encode(solid)) AS octets,
+             length(regexp_replace(solid, '[^\x00-\x7F]', '', 'g')) AS ascii_chars FROM m LEFT JOIN again USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols > 0.3::DOUBLE * n_words OR marks > 0.5::DOUBLE * n_words OR 10 * n_dup_lines > 5 * greatest(n_lines, 1)
+            OR uppers / greatest(ascii_letters, 1) > 0.7::DOUBLE OR letters / greatest(word_chars, 1) < 0.4::DOUBLE
+            OR ascii_chars > 25 * n_words OR octets < 2 * n_words) AS kept
+  FROM b
+"""
+
+# The kinds of secrets in their order: pattern, group of the value, its least length.
+_EITHER = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_BLANKS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SECRETS = {
+    "assign": ("(" + "|".join(map(_EITHER, ("password", "passwd", "secret", "token", "api_?key")))
+               + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24),
+    "key": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), "git": ("gh[opsur]_[A-Za-z0-9]{36,}", 0, 0),
+    "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    "url": (f"[a-z][a-z0-9+.-]{{1,20}}://[^{_BLANKS}/:@]+:([^{_BLANKS}/:@]{{3,}})@", 1, 0)}
+_FOUND = " UNION ALL ".join(
+    f"SELECT r, {no} AS no, '{kind}' AS kind, {least} AS least, string_split_regex(text, '{p}') AS parts,"
+    f" regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS v FROM t"
+    for no, (kind, (p, group, least)) in enumerate(_SECRETS.items()))
+ORACLE["op6_secrets"] = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ({_FOUND}),
+each AS (SELECT r, no, kind, v[i] AS v, CAST(length(m[i]) AS BIGINT) AS n, least,
+              CAST(list_sum(list_transform(parts[1:i], lambda x: length(x)))
+                   + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+         FROM found, unnest(range(1, len(m) + 1)) u(i)),
+spans AS (SELECT r, no, v, s, kind || ':' || s || ':' || (s + n) AS span FROM each WHERE length(v) >= least),
+counts AS (SELECT r, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access,
+                  count(*) FILTER (WHERE no = 2) AS n_hex, string_agg(span, ',' ORDER BY s, no) FILTER (WHERE no < 3) AS base,
+                  string_agg(span, ',' ORDER BY s, no) AS spans FROM spans GROUP BY r),
+owned AS (SELECT v, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repos, count(DISTINCT coalesce(source, '')) AS owners
+            FROM spans JOIN t USING (r) GROUP BY v),
+verdict AS (SELECT r, count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_example,
+                   max(owners) AS most_owners, max(repos) AS most_repos
+              FROM (SELECT DISTINCT r, v FROM spans) JOIN (SELECT *, owners >= 3 OR owners > 1 AND repos >= 8 AS copied FROM owned) USING (v)
+             GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
+  FROM t LEFT JOIN counts USING (r) LEFT JOIN verdict USING (r)
+"""
+
 ORACLE["op7_warc"] = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top, CAST(from_hex(digest) AS BIT)::VARCHAR AS bits FROM p)
