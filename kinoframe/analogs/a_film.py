@@ -10,6 +10,7 @@ from kinoframe.analogs.common import r6, t, ts_text
 from kinoframe.plans.catalogue import apply_film_batch
 from kinoframe.plans.raw_records import enrich_films, main_records, stamp_genres
 from kinoframe.schemas import SCHEMAS
+from kinoframe.session import spread_rows
 from kinoframe.sources.elements import extract_film_elements
 from kinoframe.sources.pages import extract_film_list, extract_film_page
 
@@ -216,7 +217,7 @@ SELECT p_partkey AS crit_id, 'http://img/' || p_partkey || '.jpg?a>b' AS poster_
 def film_page_nested_query(spark, sf_dir):
     """S8 + N11: film pages whose blocks hold other blocks, with comments,
     scripts and signs in attributes that look like tags."""
-    p = t(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("int"))
+    p = spread_rows(t(spark, sf_dir, "part").select("p_partkey", "p_size")).withColumn("p_size", F.col("p_size").cast("int"))
     k, size = F.col("p_partkey"), F.col("p_size")
     html = _quoted([
         "<!-- <div class=~fi_score_div~>99</div> --><script>var a = ~<div class='fi_psi_div'>98</div>~; // PSI</script>",

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinoframe.sources.elements import extract_film_elements, pages_of
+from kinoframe.session import spread_rows
+from kinoframe.sources import elements
+from kinoframe.sources.elements import extract_film_elements, film_page_fields, pages_of
 from kinoframe.sources.pages import extract_film_page
 
 
@@ -50,3 +52,24 @@ def test_flat_pages_give_what_the_patterns_give(spark):
     assert rows(extract_film_elements(df)) == rows(extract_film_page(df))
     nothing = spark.createDataFrame([(1, None)], "crit_id int, html string")
     assert extract_film_elements(nothing).where(F.col("crit_votes") == 0).count() == 1
+
+
+def test_a_tag_is_read_once_however_many_fields_look_at_it(monkeypatch):
+    read = []
+    unescape = elements.entities.unescape
+    monkeypatch.setattr(elements.entities, "unescape", lambda x: read.append(x) or unescape(x))
+    page = pages_of(["<i>.</i>" * 30 + "<b itemprop='ratingValue' class=q>7.5</b><p id=r>x</p>"])[0]
+    assert film_page_fields(page)["crit_rating"] == "7.5"
+    assert [read.count(x) for x in ("ratingValue", "q", "r")] == [1, 1, 1]
+    # an absent attribute still fits a pattern of nothing
+    assert [page.names[i] for i in page.find(None, title="")][-2:] == ["b", "p"] and len(list(page.find("i", title=""))) == 30
+
+
+def test_a_small_file_is_dealt_over_the_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    got = spread_rows(one)
+    sizes = got.rdd.glom().map(len).collect()
+    assert len(sizes) >= 2 * spark.sparkContext.defaultParallelism and max(sizes) < 1000 // 4
+    assert sorted(r.id for r in got.collect()) == list(range(1000))
+    assert spread_rows(got) is got
