@@ -149,7 +149,7 @@ SELECT CAST(p_partkey AS BIGINT), '2007-07-07', NULL, NULL, NULL, p_size, 1.5, '
 def main_record_query(spark, sf_dir):
     """Raw text records made of parts, turned into film records; every
     seventh film was fetched a second time, with other values."""
-    p = t(spark, sf_dir, "part")
+    p = spread_rows(t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
     k, size = F.col("p_partkey"), F.col("p_size").cast("int")
     text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
     person = lambda name, i: F.struct(name.alias("name"), F.lit(i).alias("personID"))

@@ -23,6 +23,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value, use) -> Column:
+    """``use`` of a value that is worked out once per row, however often
+    ``use`` names it (inside a lambda nothing is shared by itself)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # Shapes of the three date forms, tried in the same order as the formats.
 RELEASE_DATE_SHAPES = (r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$", r"^[A-Za-z]+ [0-9]{4}$", r"^[0-9]{4}$")
 
@@ -32,12 +38,14 @@ def parse_loose_date(s) -> Column:
 
     The shape of the text picks the one format to try, so a row is parsed
     once instead of failing through the formats (a failed parse is costly)."""
-    v = F.trim(_c(s))
-    out = None
-    for shape, fmt in zip(RELEASE_DATE_SHAPES, RELEASE_DATE_FORMATS):
-        parsed = F.try_to_timestamp(v, F.lit(fmt))
-        out = F.when(v.rlike(shape), parsed) if out is None else out.when(v.rlike(shape), parsed)
-    return out
+    def parse(v: Column) -> Column:
+        out = None
+        for shape, fmt in zip(RELEASE_DATE_SHAPES, RELEASE_DATE_FORMATS):
+            parsed = F.try_to_timestamp(v, F.lit(fmt))
+            out = F.when(v.rlike(shape), parsed) if out is None else out.when(v.rlike(shape), parsed)
+        return out
+
+    return bound(F.trim(_c(s)), parse)
 
 
 def parse_release(s) -> Column:
@@ -53,15 +61,14 @@ def parse_release(s) -> Column:
     country = F.regexp_extract(v, head, 1)
     date_txt = F.regexp_extract(v, head, 2)
     rest = F.regexp_extract(v, head, 3)
-    all_tags = F.regexp_extract_all(rest, F.lit(r"\((.*?)\)"), 1)
-    n = F.size(all_tags)
-    last_two = F.when(n > 2, F.slice(all_tags, -2, 2)).otherwise(all_tags)
+    last_two = bound(F.regexp_extract_all(rest, F.lit(r"\((.*?)\)"), 1),
+                     lambda found: F.when(F.size(found) > 2, F.slice(found, -2, 2)).otherwise(found))
     kept = F.filter(last_two, lambda x: x != F.lit(""))
     matched = v.contains("::")
     return F.when(matched, F.struct(
         country.alias("country"),
         parse_loose_date(date_txt).alias("date"),
-        F.when(F.size(kept) > 0, kept).alias("tags")))
+        bound(kept, lambda x: F.when(F.size(x) > 0, x)).alias("tags")))
 
 
 def parse_aka(s) -> Column:
@@ -105,10 +112,14 @@ def canonical_name(name) -> Column:
     the prefixes right before it ('Anna van der Berg' -> 'van der Berg,
     Anna'); a name keeps at least one word before the surname. Already
     canonical or one-word names are unchanged."""
-    v = F.regexp_replace(F.trim(_c(name)), r"\s+", " ")
-    pattern = rf"^(\S.*?) ((?:(?:{'|'.join(SURNAME_PREFIXES)}) )*\S+)$"
-    first, last = F.regexp_extract(v, "(?i)" + pattern, 1), F.regexp_extract(v, "(?i)" + pattern, 2)
-    return F.when(v.contains(", ") | (last == ""), F.trim(_c(name))).otherwise(F.concat_ws(", ", last, first))
+    pattern = rf"(?i)^(\S.*?) ((?:(?:{'|'.join(SURNAME_PREFIXES)}) )*\S+)$"
+
+    def turn(v: Column) -> Column:
+        first = F.regexp_extract(v, pattern, 1)
+        return bound(F.regexp_extract(v, pattern, 2), lambda last: F.when(
+            v.contains(", ") | (last == ""), F.trim(_c(name))).otherwise(F.concat_ws(", ", last, first)))
+
+    return bound(F.regexp_replace(F.trim(_c(name)), r"\s+", " "), turn)
 
 
 def person_record(person) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoframe.functions.text import (ENGLISH_TITLE_TAG, LIMITED_TAG, ORIGINAL_TITLE_TAG,
-                                      RE_RELEASE_TAG, USA_COUNTRY, WORLDWIDE_COUNTRY)
+                                      RE_RELEASE_TAG, USA_COUNTRY, WORLDWIDE_COUNTRY, bound)
 from kinoframe.operators.quality import exact_percentiles
 
 
@@ -84,7 +84,7 @@ def release_dates_of(releases: str, country: str = "Netherlands") -> tuple[Colum
     dated = F.filter(F.col(releases), lambda r: r["date"].isNotNull() & ~F.array_contains(tags(r), RE_RELEASE_TAG))
     classes = [lambda r: r["tags"].isNull(), lambda r: F.array_contains(tags(r), LIMITED_TAG), lambda r: r["date"].isNotNull()]
     local = F.filter(dated, lambda r: r["country"] == country)
-    return _best_of(dated, "date", classes), _best_of(local, "date", classes)
+    return tuple(bound(x, lambda items: _best_of(items, "date", classes)) for x in (dated, local))
 
 
 def titles_of(akas: str) -> tuple[Column, Column]:
@@ -105,7 +105,9 @@ def shortest_of(texts: Column) -> Column:
 
 def median_of(numbers: Column) -> Column:
     """A14 on a list: the median, rounded half to even, as int."""
-    x = F.array_sort(F.array_compact(numbers))
-    n = F.size(x)
-    at = lambda i: F.get(x, i.cast("int")).cast("double")
-    return F.when(n > 0, F.bround((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 0).cast("int"))
+    def middle(x: Column) -> Column:
+        n = F.size(x)
+        at = lambda i: F.get(x, i.cast("int")).cast("double")
+        return F.when(n > 0, F.bround((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 0).cast("int"))
+
+    return bound(F.array_sort(F.array_compact(numbers)), middle)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinoframe.functions.dates import fractional_year
-from kinoframe.functions.text import (parse_aka, parse_release, parse_votes, people_list, person_record,
+from kinoframe.functions.text import (canonical_name, parse_aka, parse_release, parse_votes, people_list, person_record,
                                       strip_author)
 from kinoframe.operators.priority import (median_int, median_of, pick_release_dates, pick_titles, release_dates_of, shortest_of,
                                           shortest_text, titles_of)
@@ -168,3 +168,13 @@ def test_humanized_age(spark):
     df = spark.createDataFrame([(c,) for c, _ in cases], "t timestamp")
     got = [r[0] for r in df.select(humanized_age(F.col("t"), as_of)).collect()]
     assert got == [e for _, e in cases]
+
+
+def test_a_text_is_parsed_once_however_often_its_parts_are_used(spark):
+    got = spark.createDataFrame([("USA::5 March 1999 (limited) (a) (b)", "Jo van Dam")], "r string, n string")
+    parsed = got.select(parse_release("r").alias("r"), canonical_name("n").alias("n"))
+    plan = parsed._jdf.queryExecution().analyzed().toString()
+    # country, date and rest of a release, its tags; first and last name
+    assert plan.count("regexp_extract(") + plan.count("regexp_extract_all(") <= 8 and plan.count("regexp_replace(") == 1
+    row = parsed.first()
+    assert row["n"] == "van Dam, Jo" and row["r"]["tags"] == ["a", "b"] and row["r"]["date"].year == 1999
