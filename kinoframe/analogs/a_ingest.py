@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinoframe.analogs import register
 from kinoframe.analogs.common import r6, t, ts_text
-from kinoframe.operators.lookup import (append_frames, bridge, bridge_sets, dedupe_first,
+from kinoframe.operators.lookup import (append_frames, bridge, bridge_sets, dedupe_first_words,
                                         exclude_blocked, first_by_alternate, genre_catalogue,
                                         get_one, popularity_tiers, recent_first, stale_first,
                                         tier_select)
@@ -220,9 +220,7 @@ SELECT doc_id, word, min(pos) AS first_pos
 def dedupe_first_query(spark, sf_dir):
     """W5 on rows: each distinct word of each whole document with its first
     position."""
-    d = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos0", "word"))
-    d = d.withColumn("first_pos", (F.col("pos0") + 1).cast("long"))
-    return dedupe_first(d, ["doc_id", "word"], ["first_pos"])
+    return dedupe_first_words(t(spark, sf_dir, "documents"), "doc_id", "text", " ")
 
 
 @register("distinct_sorted", """

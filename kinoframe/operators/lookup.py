@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +121,27 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(F.min(pos).alias("_first")).select(*keys, "_first.*")
 
 
+def dedupe_first_words(docs: DataFrame, key: str, text: str, sep: str, hot_rows: int = 1000) -> DataFrame:
+    """(key, word, first_pos): ``dedupe_first`` of the words of each key's
+    texts (positions from 1). The texts are dealt by key and cut afterwards,
+    so each crosses the exchange once, in place of a row for each of its
+    words. The words of a key with more than ``hot_rows`` rows are dealt by
+    key and word, as one task would have all of them."""
+    def words(rows: DataFrame) -> DataFrame:
+        # the separator is a plain text; split takes a pattern
+        cut = rows.select(key, F.posexplode(F.split(text, re.escape(sep))).alias("_pos", "word"))
+        return dedupe_first(cut.select(key, "word", (F.col("_pos") + 1).cast("long").alias("first_pos")),
+                            [key, "word"], ["first_pos"])
+
+    docs = docs.select(key, text)
+    hot = docs.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows).select("_hot")
+    hot = checked_broadcast(hot)   # one key for each ``hot_rows`` rows at most
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_key = docs.join(hot, same, "left_anti").repartition(parts, key)
+    return words(by_key).unionByName(words(docs.join(hot, same, "left_semi")))
+
+
 def distinct_sorted(arr) -> Column:
     """Distinct + sorted list."""
     return F.array_sort(F.array_distinct(F.col(arr) if isinstance(arr, str) else arr))

@@ -1,11 +1,12 @@
 """Cases that the registered queries do not reach: payload columns, ties,
 partial batches, page forms."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinoframe.functions.text import canonical_name, parse_votes, strip_author
-from kinoframe.operators.lookup import popularity_tiers
+from kinoframe.operators.lookup import dedupe_first_words, popularity_tiers
 from kinoframe.operators.merge import quarantine
 from kinoframe.operators.prefix import running_sum
 from kinoframe.operators.quality import exact_percentiles
@@ -131,3 +132,22 @@ def test_names_votes_and_plots(spark):
     row = spark.createDataFrame([("Anna van der Berg", "12 (3,456)", "plot\nmore::me")], "n string, v string, p string")
     r = row.select(canonical_name("n").alias("n"), parse_votes("v").alias("v"), strip_author("p").alias("p")).first()
     assert (r["n"], r["v"], r["p"]) == ("van der Berg, Anna", 3456, "plot\nmore")
+
+
+@pytest.mark.parametrize("hot_rows", [0, 2, 1000])
+def test_words_cross_the_exchange_inside_their_texts(spark, hot_rows):
+    texts = [(1, "a b a"), (1, "b c  c"), (2, ""), (None, "x y"), (None, "y"), (None, "y x"), (3, None), (4, "a.b (c a.b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = dedupe_first_words(docs, "doc_id", "text", " ", hot_rows=hot_rows)
+    want: dict = {}
+    for doc, text in texts:
+        for pos, word in enumerate(text.split(" ") if text is not None else [], 1):
+            want[doc, word] = min(pos, want.get((doc, word), pos))
+    assert sorted((r.doc_id or 0, r.word, r.first_pos) for r in got.collect()) == sorted((d or 0, w, p) for (d, w), p in want.items())
+
+
+def test_only_hot_keys_words_are_exchanged_one_by_one(spark):
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    plan = dedupe_first_words(docs, "doc_id", "text", " ")._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("posexplode")[0]
+    assert first.count("HashAggregate(keys=[doc_id") == 2 and "Exchange" not in first
