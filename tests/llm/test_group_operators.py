@@ -316,3 +316,40 @@ def test_edit_distances_do_not_pass_the_bits_of_the_sketch():
     finally:
         line_dedup.WINDOWS = was
     assert (parts[0] == sim).all() and (parts[1] == keys).all()
+
+
+def test_lines_that_share_no_band_are_linked(spark):
+    """Pairs at the threshold without a common five-character shingle, and others far apart in their sketches."""
+    r = random.Random(23)
+    first = ["abcdefghijklmno"] + ["".join(r.choice("abcdefghijklmn") for _ in range(n)) for n in (20, 60, 63, 64, 65, 128, 200, 400, 900)]
+    later = []
+    for t in first:
+        at = range(3, 12, 4) if len(t) == 15 else range(0, 5 * int(0.2 * len(t)), 5)
+        later.append("".join("q" if k in at else c for k, c in enumerate(t)))
+    assert all(edit_distance(a, b) <= 0.2 * max(len(a), len(b)) for a, b in zip(first, later))
+    other = [prose(k, 20, 5000) for k in range(3)]
+    rows = by_id(line_dedup.dedup_lines(documents(spark, first + other + later).coalesce(1), keep=["doc_id"]))
+    n = len(first) + len(other)
+    assert all(rows[k]["kept"] for k in range(n))
+    assert [rows[n + k]["kept"] for k in range(len(later))] == [""] * len(later)
+
+
+@pytest.mark.parametrize("most", [1000, 7])
+def test_all_pairs_of_lines_within_the_allowed_edits(spark, most):
+    from kinoframe.llm.line_pairs import links_between
+    r = random.Random(29)
+    lines = []
+    for n in (15, 16, 40, 64, 90, 150, 300):
+        for _ in range(4):
+            t = "".join(r.choice("abcde ") for _ in range(n))
+            lines.append(t)
+            for share in (0.1, 0.2, 0.22):
+                u = list(t)
+                for at in sorted(r.sample(range(n), int(share * n)), reverse=True):
+                    u[at:at + 1] = r.choice(["", "xy", "é", "\U0001F600"])
+                lines.append("".join(u))
+    rows = [(k, k if k % 5 else k - k % 2, t) for k, t in enumerate(lines)]   # some are of one class already
+    got = links_between(spark.createDataFrame(rows, "id long, class long, line string").repartition(3), 0.8, most).collect()
+    want = {(min(c, d), max(c, d)) for _, c, t in rows for _, d, u in rows
+            if c != d and edit_distance(t, u) <= 0.2 * max(len(t), len(u)) + 1e-9}
+    assert len(got) == len(want) and {(x["a"], x["b"]) for x in got} == want
