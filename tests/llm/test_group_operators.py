@@ -213,6 +213,19 @@ def test_weighted_samples_estimate_similarity():
     assert near_dup.similarity_of((mark[a], w[a]), (mark[b], w[b])) == pytest.approx(true)
 
 
+def test_samples_do_not_depend_on_the_block():
+    import numpy as np
+    r = random.Random(5)
+    sizes = [1, 40, 700, 3, 90]
+    mark = np.array([r.getrandbits(64) for _ in range(sum(sizes))], np.uint64)
+    weight = np.array([1 + r.random() for _ in mark], np.float32)
+    first = np.cumsum([0] + sizes)
+    whole = near_dup.signatures(first, mark, weight)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        assert (near_dup.signatures(np.array([0, b - a]), mark[a:b], weight[a:b])[0] == whole[i]).all()
+    assert near_dup._draws()[0] is near_dup._draws()[0]   # made once, however small the blocks
+
+
 def test_pairs_at_the_threshold_share_a_band():
     import numpy as np
     r = np.random.default_rng(4)
