@@ -6,7 +6,8 @@ cells). Consistent weighted samples, banded by three, propose pairs, four bits
 of each sample drop those that cannot be similar, and weighted Jaccard
 similarity verifies the rest. Every member of a band bucket meets the
 bucket's most connected member; members of buckets that still hold several
-classes then meet those of the other classes.
+classes then meet those of other classes that share a shingle with them among
+the rarest ones of each, early enough for the similarity.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ SKETCH = ["s0", "s1", "s2", "s3"]   # 15 samples of 4 bits each
 CELLS = 1 << 20            # of the frequency table: 4 MB to each executor, at every corpus size
 CHUNK = 1 << 14
 BLOCK_BYTES = 1 << 18      # of texts whose samples are drawn at a time: a draw's values stay in the processor's cache
-PIECE = 2000               # members of a bucket that one salted piece compares with all others
+STEP = 1.05                # between the weights of one size class of texts and the next
 IDF_SHARE = 0.5            # weights run from 1 (in every text) to 1.5 (in one)
 
 
@@ -224,6 +225,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, similarity: float) -> D
     return both.mapInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= similarity)
 
 
+def _between(rest: DataFrame, texts: DataFrame, table, similarity: float) -> DataFrame:
+    """The pairs (a > b) of ``rest`` (id, class, minor) of different classes,
+    one of them minor, whose similarity may reach the threshold.
+
+    Shingles are ordered alike in all texts, rare ones first. What two texts
+    share stands at and after their first common shingle in both, so the
+    weights from there on bound their similarity: a text has to show only its
+    first shingles, up to a share of 1 - similarity of its weight, and a minor
+    one only to those texts whose weight the rest of its own still allows. No
+    pair that is similar enough is left out.
+    """
+    share = similarity / (1 + similarity)   # of both weights that two similar texts have in common
+    slack = 1e-6
+
+    def leading(block: Block) -> dict:
+        first, mark, count, _ = shingles(block)
+        cell = (mark % np.uint64(CELLS)).astype(np.int64)
+        weight = (count * table.value[cell]).astype(np.float64)
+        text = np.repeat(np.arange(block.n), np.diff(first))
+        order = np.lexsort((mark, table.value[cell] * np.float32(-1), text))   # the rarer, the heavier
+        mark, weight = mark[order].view(np.int64), weight[order]
+        upto = np.concatenate([[0], np.cumsum(weight)])
+        total = upto[first[1:]] - upto[first[:-1]]
+        before = upto[:-1] - upto[first[:-1]][text]
+        shown = before <= (1 - similarity + slack) * total[text]
+        parts = [np.flatnonzero(shown[a:b]) + a for a, b in zip(first[:-1], first[1:])]
+        return {"weight": total, "marks": [mark[k] for k in parts], "before": [before[k] for k in parts]}
+
+    add = [("weight", T.DoubleType()), ("marks", T.ArrayType(T.LongType())), ("before", T.ArrayType(T.DoubleType()))]
+    shown = written(annotate(texts.join(rest, "id"), "__text", add, leading, keep=["id", "class", "minor"]), "near-leading")
+    each = (shown.select("id", "class", "minor", "weight", F.explode(F.arrays_zip("marks", "before")).alias("r"))
+            .select("id", "class", "minor", "weight", F.col("r.marks").alias("mark"), (F.col("weight") - F.col("r.before")).alias("left")))
+    size = lambda w: F.floor(F.log(w) / float(np.log(STEP))).cast("int")
+    low = F.col("weight") * (similarity - slack)
+    high = F.least(F.col("weight") / similarity, F.col("left") / share - F.col("weight")) * (1 + slack)
+    x = (each.where("minor").where(low <= high).withColumn("size", F.explode(F.sequence(size(low), size(high)))).alias("x"))
+    y = each.withColumn("size", size(F.col("weight"))).alias("y")
+    alike = F.least("x.left", "y.left") >= (share - slack) * (F.col("x.weight") + F.col("y.weight"))
+    once = ~F.col("y.minor") | (F.col("x.id") > F.col("y.id"))
+    return (x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.size") == F.col("y.size"))
+                   & (F.col("x.class") != F.col("y.class")) & once & alike)
+            .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct())
+
+
 def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class) of every text (id, __text) with words; class is the
     smallest id of its group. Texts of equal words are one from the start."""
@@ -236,7 +281,8 @@ def near_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
               .select("id", F.explode("bands").alias("bucket")))
     members = shared_buckets(banded, "near")
     classes = bucket_classes(members, rows.select("id", *SKETCH), _plausible,
-                             lambda pairs: _verified(pairs, texts, table, similarity), PIECE, "near")
+                             lambda pairs: _verified(pairs, texts, table, similarity),
+                             lambda rest: _between(rest, texts, table, similarity), "near")
     return with_class(member, classes, "rep").select("id", "class")
 
 

@@ -201,6 +201,53 @@ def test_near_duplicates(spark):
     assert near_dup.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def copies_of_a_text(n, changes):
+    """A text and copies of it, each with words of its own in a few places, some without others."""
+    r = random.Random(41)
+    base = prose(600, 200, 4000).split()
+    texts = [" ".join(base)]
+    for k in range(n):
+        w = list(base)
+        for c in range(changes[k % len(changes)]):
+            w[r.randrange(len(w))] = f"own{k}x{c}"
+        if k % 3 == 0:
+            del w[10 * r.randrange(20)]
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_pairs_of_a_large_group_of_copies(spark, monkeypatch):
+    """Copies that resemble their group's text, but are no links, are not all compared with each other."""
+    texts = copies_of_a_text(150, [6, 6, 6, 2])
+    compared, verified = [], near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(documents(spark, texts).repartition(3))[1].collect()}
+    assert sum(got[k] == 0 for k in got) >= 30 and len(set(got.values())) >= 90
+    assert compared[-1] <= 5 * len(texts)   # the last are those between classes
+
+
+def test_pairs_between_classes_leave_out_no_link(spark):
+    import numpy as np
+    texts = copies_of_a_text(60, [1, 2, 3, 5]) + [" ".join(prose(600, 200, 4000).split()[:n]) for n in (150, 165, 180)] \
+        + ["a b c d e f g h", "a b c d e f g h a b c d e f g", "one two"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    weights = near_dup.weights_of(np.arange(near_dup.CELLS) % 977, 977)
+    sets = []
+    for t in texts:
+        raw = t.encode()
+        block = near_dup.Block(0, 1, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        _, mark, count, _ = near_dup.shingles(block)
+        sets.append((mark, count * weights[(mark % np.uint64(near_dup.CELLS)).astype(np.int64)]))
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if near_dup.similarity_of(sets[i], sets[j]) >= 0.8}
+    rest = [(k, k // 2, k % 4 > 1) for k in range(len(texts))]
+    want = {(i, j) for i, j in links if i // 2 != j // 2 and (i % 4 > 1 or j % 4 > 1)}
+    got = near_dup._between(spark.createDataFrame(rest, "id long, class long, minor boolean"),
+                            spark.createDataFrame(rows, "id long, __text string").repartition(3),
+                            spark.sparkContext.broadcast(weights), 0.8).collect()
+    assert len(want) > 100 and want <= {(r["a"], r["b"]) for r in got}
+    assert all(i // 2 != j // 2 and (i % 4 > 1 or j % 4 > 1) for i, j in got) and len(got) == len(set(got))
+
+
 def test_weighted_samples_estimate_similarity():
     import numpy as np
     r = np.random.default_rng(1)
