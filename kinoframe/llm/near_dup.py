@@ -33,6 +33,7 @@ SKETCH = ["s0", "s1", "s2", "s3"]   # 15 samples of 4 bits each
 CELLS = 1 << 20            # of the frequency table: 4 MB to each executor, at every corpus size
 CHUNK = 1 << 14
 BLOCK_BYTES = 1 << 18      # of texts whose samples are drawn at a time: a draw's values stay in the processor's cache
+ID_BITS = 1 << 24          # of the table that tells wanted texts: up to 262,144 rows to each executor, at every corpus size
 STEP = 1.05                # between the weights of one size class of texts and the next
 IDF_SHARE = 0.5            # weights run from 1 (in every text) to 1.5 (in one)
 
@@ -189,6 +190,20 @@ def _plausible(a: str, b: str) -> F.Column:
     return F.lit(SAMPLES) - differ >= MIN_AGREE
 
 
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (id, ...) that ``wanted`` (id, ...) names, with its columns.
+    Most others are left where they stand, by a table of bits of hashed ids;
+    the join by the ids themselves decides."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    word, bit = F.shiftright(cell, 6), cell.bitwiseAND(F.lit(63)).cast("int")
+    known = (wanted.select(word.alias("__word"), F.expr("1L").alias("__one"), bit.alias("__bit"))
+             .groupBy("__word").agg(F.bit_or(F.expr("shiftleft(__one, __bit)")).alias("__bits")))
+    maybe = (texts.withColumn("__at", word).withColumn("__bit", bit)
+             .join(F.broadcast(known), F.col("__at") == F.col("__word"))
+             .where(F.expr("shiftrightunsigned(__bits, __bit) & 1L = 1L")).select(texts.columns))
+    return maybe.join(wanted, "id")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, table, similarity: float) -> DataFrame:
     """The pairs of at least the wanted weighted Jaccard similarity."""
     pairs = written(pairs, "near-pairs")
@@ -202,7 +217,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, table, similarity: float) -> D
         return {"keys": [blob(raw[a:b]) for a, b in zip(first[:-1], first[1:])],
                 "weights": [blob(weight[a:b]) for a, b in zip(first[:-1], first[1:])]}
 
-    vectors = written(annotate(texts.join(ids, "id", "left_semi"), "__text",
+    vectors = written(annotate(_only(texts, ids), "__text",
                                [("keys", T.BinaryType()), ("weights", T.BinaryType())], sets, keep=["id"]), "near-sets")
     both = (pairs.join(vectors.toDF("a", "ka", "wa"), "a").join(vectors.toDF("b", "kb", "wb"), "b"))
 
@@ -254,7 +269,7 @@ def _between(rest: DataFrame, texts: DataFrame, table, similarity: float) -> Dat
         return {"weight": total, "marks": [mark[k] for k in parts], "before": [before[k] for k in parts]}
 
     add = [("weight", T.DoubleType()), ("marks", T.ArrayType(T.LongType())), ("before", T.ArrayType(T.DoubleType()))]
-    shown = written(annotate(texts.join(rest, "id"), "__text", add, leading, keep=["id", "class", "minor"]), "near-leading")
+    shown = written(annotate(_only(texts, rest), "__text", add, leading, keep=["id", "class", "minor"]), "near-leading")
     each = (shown.select("id", "class", "minor", "weight", F.explode(F.arrays_zip("marks", "before")).alias("r"))
             .select("id", "class", "minor", "weight", F.col("r.marks").alias("mark"), (F.col("weight") - F.col("r.before")).alias("left")))
     size = lambda w: F.floor(F.log(w) / float(np.log(STEP))).cast("int")

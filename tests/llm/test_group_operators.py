@@ -248,6 +248,16 @@ def test_pairs_between_classes_leave_out_no_link(spark):
     assert all(i // 2 != j // 2 and (i % 4 > 1 or j % 4 > 1) for i, j in got) and len(got) == len(set(got))
 
 
+def test_wanted_texts_cross_alone(spark, monkeypatch):
+    texts = spark.range(-300, 5000).withColumn("__text", F.col("id").cast("string"))
+    wanted = spark.createDataFrame([(k, k + 1) for k in range(-300, 5000, 90)] + [(9000, 1)], "id long, class long")
+    for bits in (near_dup.ID_BITS, 64):   # nearly all bits of the smaller are set
+        monkeypatch.setattr(near_dup, "ID_BITS", bits)
+        got = near_dup._only(texts, wanted).collect()
+        assert sorted((r["id"], r["__text"], r["class"]) for r in got) == [(k, str(k), k + 1) for k in range(-300, 5000, 90)]
+    assert near_dup._only(texts, wanted.limit(0)).count() == 0
+
+
 def test_weighted_samples_estimate_similarity():
     import numpy as np
     r = np.random.default_rng(1)
