@@ -423,3 +423,59 @@ def test_all_pairs_of_lines_within_the_allowed_edits(spark, most):
     want = {(min(c, d), max(c, d)) for _, c, t in rows for _, d, u in rows
             if c != d and edit_distance(t, u) <= 0.2 * max(len(t), len(u)) + 1e-9}
     assert len(got) == len(want) and {(x["a"], x["b"]) for x in got} == want
+
+
+def test_missing_grams_bound_the_edits():
+    """The bound by places drops no pair within the allowed edits, and most of the others before their parts are compared."""
+    import numpy as np
+    from kinoframe.llm import line_pairs
+    from kinoframe.llm.edit_distance import within
+    from kinoframe.llm.shards import blob
+    r = random.Random(31)
+    syllables = ["an", "be", "er", "ion", "the", "ou", "ti", " ", "st", "re", "in ", "le", "qu", "a ", "o", "é", "\U0001F600"]
+
+    def tile(lines, at):
+        ids = np.arange(at, at + len(lines))
+        return line_pairs.Tile(blob(ids), blob(ids), blob(np.cumsum([0] + [len(t) for t in lines])), "".join(lines))
+
+    for n in (15, 64, 150, 300, 1100):
+        first = ["".join(r.choice(syllables) for _ in range(n))[:r.randint(9 * n // 10, n)] for _ in range(12)]
+        later = []
+        for t in first:
+            u, much = list(t), 0.2 if n < 1000 else 0.1
+            start = r.randrange(len(t) // 2)   # edits everywhere, or as an inserted or lost stretch
+            kind = r.randrange(3)
+            if kind == 0:
+                for at in sorted(r.sample(range(len(t)), int(much * len(t))), reverse=True):
+                    u[at:at + 1] = r.choice(["", "z", u[at] + "z"])
+            elif kind == 1:
+                u[start:start] = "".join(r.choice("wxyz") for _ in range(int(0.2 * len(t))))
+            else:
+                del u[start:start + int(0.2 * len(t))]
+            later.append("".join(u))
+        first, later = sorted(first, key=len), sorted(later, key=len)
+        x, y = tile(first, 0), tile(later, len(first))
+        i, j = (a.ravel() for a in np.indices((len(first), len(later))))
+        allowed = np.floor(0.2 * np.maximum(x.chars[i], y.chars[j]) + 1e-9).astype(np.int64)
+        near = within([first[a] for a in i], [later[b] for b in j], allowed)
+        assert near.sum() >= 8
+        for gram in (2, 3, 4):
+            x.gram, x._places = gram, None
+            stay = line_pairs._by_places(x, y, i, j, allowed)
+            assert stay[near].all()
+            if gram == 3 and 64 <= n <= 300:
+                assert stay[~near].mean() < 0.1, (n, stay[~near].mean())
+
+
+def test_tiles_hold_lines_of_like_length(spark):
+    """A line's places are kept as wide as its tile's longest: no line is twice as long as another of its tile."""
+    import pyarrow as pa
+    from kinoframe.llm import line_pairs
+    lines = ["x" * n for n in (15, 20, 30, 31, 200, 390, 401, 30_000)]
+
+    def count(batches):
+        got = [len(b.column("ids")[0].as_py()) // 8 for b in line_pairs._packed(batches, 1000)]
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["n"])
+
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(lines)], "id long, class long, line string").coalesce(1)
+    assert [r["n"] for r in rows.mapInArrow(count, "n long").collect()] == [3, 1, 2, 1, 1]
