@@ -479,3 +479,15 @@ def test_tiles_hold_lines_of_like_length(spark):
 
     rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(lines)], "id long, class long, line string").coalesce(1)
     assert [r["n"] for r in rows.mapInArrow(count, "n long").collect()] == [3, 1, 2, 1, 1]
+
+
+def test_texts_of_lines_keep_their_longs(spark):
+    """Normal forms come with the columns that were asked for, without a join that would move them again."""
+    texts = ["One line, of some words\nAnother line: of others", "A third line"]
+    shards = suffix_dedup.shard_table(documents(spark, texts).coalesce(1).select(F.struct("doc_id").alias("row"), "text"), "row", "text", 1 << 20, 4)
+    _, lines, _ = line_dedup.line_groups(shards)
+    assert "bands" not in lines.columns   # they would pass another exchange
+    asked = lines.select("id", (F.col("id") + 1).alias("class"), "shard", "place")
+    got = line_dedup._texts(shards, asked).collect()
+    assert sorted(r["line"] for r in got) == ["a third line", "another line of others", "one line of some words"]
+    assert all(r["class"] == r["id"] + 1 for r in got)
