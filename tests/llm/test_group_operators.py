@@ -491,3 +491,72 @@ def test_texts_of_lines_keep_their_longs(spark):
     got = line_dedup._texts(shards, asked).collect()
     assert sorted(r["line"] for r in got) == ["a third line", "another line of others", "one line of some words"]
     assert all(r["class"] == r["id"] + 1 for r in got)
+
+
+def edited(r, t, much):
+    """A text with edits everywhere, or with an inserted or lost stretch."""
+    u, kind, start = list(t), r.randrange(4), r.randrange(len(t) // 2)
+    if kind == 0:
+        for at in sorted(r.sample(range(len(t)), int(much * len(t))), reverse=True):
+            u[at:at + 1] = r.choice(["", "z", u[at] + "z"])
+    elif kind == 1:
+        u[start:start] = "".join(r.choice("wxyz") for _ in range(int(much * len(t))))
+    elif kind == 2:
+        del u[start:start + int(much * len(t))]
+    else:   # at every fifth place, so that no longer gram stays
+        for at in range(0, 5 * int(much * len(t)), 5):
+            u[at] = "q"
+    return "".join(u)
+
+
+@pytest.mark.parametrize("most", [1000, 5])
+def test_chosen_grams_bound_the_edits(most):
+    """The count of missing grams drops no pair within the allowed edits, and nearly all others at once."""
+    import numpy as np
+    from kinoframe.llm import line_pairs
+    from kinoframe.llm.edit_distance import within
+    r = random.Random(37)
+    syllables = ["an", "be", "er", "ion", "the", "ou", "ti", " ", "st", "re", "in ", "le", "qu", "a ", "o", "é", "\U0001F600"]
+
+    def lines(texts):
+        ids = np.arange(len(texts))
+        off = np.cumsum([0] + [len(t) for t in texts])
+        return line_pairs.Lines(ids.tobytes(), ids.tobytes(), off.tobytes(), "".join(texts), most)
+
+    left = others = 0
+    for n in (15, 64, 150, 300, 790, 1100, 2100, 4200):
+        first = ["".join(r.choice(syllables) for _ in range(n))[:r.randint(9 * n // 10, n)] for _ in range(12)]
+        first.append(("st " * n)[:n])   # the same grams again and again
+        later = sorted([edited(r, t, r.choice([0.05, 0.15, 0.2])) for t in first] + ["".join(r.choice(syllables) for _ in range(n))[:n]], key=len)
+        first.sort(key=len)
+        i, j = (a.ravel() for a in np.indices((len(first), len(later))))
+        allowed = np.array([int(0.2 * max(len(first[a]), len(later[b])) + 1e-9) for a, b in zip(i, j)])
+        near = within([first[a] for a in i], [later[b] for b in j], allowed)
+        assert near.sum() >= 8
+        want = {(int(a), int(b)) for a, b in zip(i[near], j[near])}
+        for u, v, there in ((first, later, want), (later, first, {(b, a) for a, b in want})):
+            got = set()
+            for x in lines(u).slices:
+                for y in lines(v).slices:
+                    a, b = line_pairs._few_missing(x, y, 0.8)
+                    got |= {(int(c + x.first), int(d + y.first)) for c, d in zip(a, b)}
+            assert there <= got
+            left, others = left + len(got - there), others + len(u) * len(v) - len(there)
+    assert left < (0.2 if most == 1000 else 0.3) * others, (left, others)   # a few lines tell less of what most lack
+
+
+def test_texts_of_one_band_are_told_apart_by_parts(monkeypatch):
+    """Pairs that parts rule out are not compared as wholes."""
+    import numpy as np
+    import pyarrow as pa
+    from kinoframe.llm import line_pairs
+    r, compared = random.Random(41), []
+    exact = line_pairs.within
+    monkeypatch.setattr(line_pairs, "within", lambda a, b, k: compared.append(len(a)) or exact(a, b, k))
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(r.randint(700, 800))) for _ in range(200)]
+    other = [edited(r, t, 0.15) if k % 10 == 0 else texts[k - 1] for k, t in enumerate(texts)]
+    allowed = [int(0.2 * max(len(a), len(b))) for a, b in zip(texts, other)]
+    batch = pa.RecordBatch.from_pydict({"a": list(range(200)), "b": list(range(200)), "ta": texts, "tb": other, "allowed": pa.array(allowed, pa.int32())})
+    near = [k for part in line_dedup._near(iter([batch])) for k in part.column("a").to_pylist()]
+    assert near == list(np.flatnonzero(exact(texts, other, np.array(allowed)))) and len(near) == 20
+    assert 20 <= sum(compared) < 60
